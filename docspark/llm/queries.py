@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import conversations, lookalike, split
+from docspark.llm import conversations, lookalike, near_duplicates, split
 from docspark.sources.tables import table
 from docspark.work import Work
 
@@ -26,6 +26,28 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def _passages(spark: SparkSession, d: str, work: Work) -> DataFrame:
+    chunks = table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), F.col("text_for_embedding").alias("text"))
+    return near_duplicates.near_duplicate_classes(chunks, work, n=3, similarity=0.6, least_words=20)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks whose passages are tied directly or through a chain."""
+    work = Work(spark, "p3")
+    classes = work.table(_passages(spark, d, work), "classes")
+    shared = classes.join(classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "class")
+    a, b = (shared.select("class", F.col("id").alias(f"chunk_id_{x}")) for x in "ab")
+    return a.join(b, "class").where("chunk_id_a < chunk_id_b").select("chunk_id_a", "chunk_id_b").distinct()
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with the smallest chunk_id of its class of near-duplicates and the class's size."""
+    work = Work(spark, "p3")
+    classes = work.table(_passages(spark, d, work), "classes")
+    sizes = classes.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n_members"))
+    return classes.join(sizes, "class").select(F.col("id").alias("chunk_id"), "class_id", "n_members")
+
+
 def _conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     messages, sessions, aliases = (table(spark, d, t) for t in ("chat_messages", "chat_sessions", "role_aliases"))
     return conversations.rebuild(messages, sessions, aliases, Work(spark, "p5"))
@@ -52,4 +74,4 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical", (F.md5("canonical") != F.col("digest")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_conversations, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_classes, p5_found, p5_conversations, p9_found, p9_canonical)}

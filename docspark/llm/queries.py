@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import conversations, lookalike, near_duplicates, split
+from docspark.llm import clusters, conversations, lookalike, near_duplicates, split
 from docspark.sources.tables import table
 from docspark.work import Work
 
@@ -48,6 +48,23 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return classes.join(sizes, "class").select(F.col("id").alias("chunk_id"), "class_id", "n_members")
 
 
+def _clusters(spark: SparkSession, d: str, work: Work) -> DataFrame:
+    rows = table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), F.col("dense_vector").alias("vector"))
+    return work.table(clusters.similarity_clusters(rows, work), "clusters")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the clusters of 3 or more chunks."""
+    found = _clusters(spark, d, Work(spark, "p4")).select("cluster_key", F.col("id").alias("chunk_id")).distinct()
+    large = found.groupBy("cluster_key").agg(F.count("*").alias("n")).where("n >= 3").select("cluster_key")
+    return found.join(large, "cluster_key")
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every cluster with its size and most typical members."""
+    return clusters.describe(_clusters(spark, d, Work(spark, "p4"))).withColumn("typical", F.array_join("typical", ","))
+
+
 def _conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     messages, sessions, aliases = (table(spark, d, t) for t in ("chat_messages", "chat_sessions", "role_aliases"))
     return conversations.rebuild(messages, sessions, aliases, Work(spark, "p5"))
@@ -74,4 +91,4 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical", (F.md5("canonical") != F.col("digest")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_classes, p5_found, p5_conversations, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_classes, p4_found, p4_clusters, p5_found, p5_conversations, p9_found, p9_canonical)}

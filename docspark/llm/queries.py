@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import clusters, conversations, lookalike, near_duplicates, split
+from docspark.llm import clusters, conversations, lookalike, mixing, near_duplicates, packing, split, tokens
 from docspark.sources.tables import table
 from docspark.work import Work
 
@@ -80,6 +80,38 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
     return _conversations(spark, d)[1]
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    work = Work(spark, "p7")
+    sizes = work.table(tokens.token_sizes(table(spark, d, "documents")).select("doc_id", "tokens"), "sizes")
+    return packing.pack(sizes, table(spark, d, "pack_profiles"), work)
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document (or part of one above the capacity), for each capacity."""
+    return _packed(spark, d)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers needed and share of their capacity used, for each capacity."""
+    return packing.fill_report(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    work = Work(spark, "p8")
+    sizes = work.table(tokens.token_sizes(table(spark, d, "documents")), "sizes")
+    return mixing.mix(sizes, table(spark, d, "mix_targets"), work)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mixed(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same and are written with different characters."""
     work = Work(spark, "p9")
@@ -91,4 +123,4 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical", (F.md5("canonical") != F.col("digest")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_classes, p4_found, p4_clusters, p5_found, p5_conversations, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_classes, p4_found, p4_clusters, p5_found, p5_conversations, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_canonical)}

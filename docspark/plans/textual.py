@@ -59,10 +59,10 @@ def doc_chunk_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"SELECT doc_id, sha256({_clean('text')}) AS clean_hash, length({_clean('text')})::BIGINT AS clean_chars FROM documents")
+@query(f"SELECT doc_id, sha256({_clean('text')}) AS clean_hash, coalesce(length({_clean('text')}), -1)::BIGINT AS clean_chars FROM documents")
 def text_clean(spark: SparkSession, d: str) -> DataFrame:
     t = text.clean_text(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", text.hash_text(t).alias("clean_hash"), F.length(t).alias("clean_chars"))
+    return table(spark, d, "documents").select("doc_id", text.hash_text(t).alias("clean_hash"), F.coalesce(F.length(t), F.lit(-1)).alias("clean_chars"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b[0-9]+\.?[0-9]*\b'))), ' ') AS numbers FROM documents WHERE text IS NOT NULL""")
@@ -200,14 +200,14 @@ _DELAYS = (r"try again in ([0-9]+\.?[0-9]*)s", r"retry after ([0-9]+) second", r
 
 
 @query("""SELECT n::BIGINT AS n, coalesce(trunc(try_cast(nullif(regexp_extract(message, 'try again in ([0-9]+\\.?[0-9]*)s', 1), '') AS DOUBLE))::BIGINT, trunc(try_cast(nullif(regexp_extract(message, 'retry after ([0-9]+) second', 1), '') AS DOUBLE))::BIGINT,
-trunc(try_cast(nullif(regexp_extract(message, 'retryDelay\\W+([0-9]+)s', 1), '') AS DOUBLE))::BIGINT) AS wait, least(120.0, 5.0 * pow(2.0, attempt))::DOUBLE AS backoff,
+trunc(try_cast(nullif(regexp_extract(message, 'retryDelay\\W+([0-9]+)s', 1), '') AS DOUBLE))::BIGINT, -1) AS wait, least(120.0, 5.0 * pow(2.0, attempt))::DOUBLE AS backoff,
 CASE WHEN message ILIKE '%rate limit%' OR message ILIKE '%quota%' THEN 'limit' WHEN message ILIKE '%unavailable%' THEN 'server' ELSE 'other' END AS kind FROM (VALUES """ + ", ".join(f"({n}, '{m}', {a})" for n, m, a in _MESSAGES) + ") t(n, message, attempt)")
 def call_limits(spark: SparkSession, d: str) -> DataFrame:
     """Wait named by a message, back-off by attempt, and class of the message."""
     rows = spark.createDataFrame(_MESSAGES, "n int, message string, attempt int")
     m = F.lower("message")
     kind = F.when(m.contains("rate limit") | m.contains("quota"), "limit").when(m.contains("unavailable"), "server").otherwise("other")
-    return rows.select("n", text.first_number(F.col("message"), _DELAYS).alias("wait"), text.backoff(F.col("attempt"), 5, 120).alias("backoff"), kind.alias("kind"))
+    return rows.select("n", F.coalesce(text.first_number(F.col("message"), _DELAYS), F.lit(-1)).alias("wait"), text.backoff(F.col("attempt"), 5, 120).alias("backoff"), kind.alias("kind"))
 
 
 def _sum(words: list[str]) -> str:

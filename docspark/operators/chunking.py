@@ -168,7 +168,7 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def newest_elements(elements: DataFrame) -> DataFrame:
     """One row per element id, the one parsed last."""
     keep = [c for c in elements.columns if c != "element_id"]
-    one = elements.where("element_id is not null").groupBy("element_id").agg(F.max_by(F.struct(*keep), "parsed_at").alias("e"))
+    one = elements.where("element_id is not null").groupBy("element_id").agg(F.max_by(F.struct(*keep), F.struct("parsed_at")).alias("e"))
     return one.select("element_id", *[F.col(f"e.{c}").alias(c) for c in keep])
 
 

@@ -180,7 +180,7 @@ def live_messages(spark: SparkSession, d: str) -> DataFrame:
     """Newest versions of messages that are neither deleted nor cleared."""
     m = table(spark, d, "chat_messages").where("id is not null")
     keep = [c for c in m.columns if c != "id"]
-    one = m.groupBy("id").agg(F.max_by(F.struct(*keep), "updated_at").alias("m")).select("id", *[F.col(f"m.{c}").alias(c) for c in keep])
+    one = m.groupBy("id").agg(F.max_by(F.struct(*keep), F.struct("updated_at")).alias("m")).select("id", *[F.col(f"m.{c}").alias(c) for c in keep])
     s = table(spark, d, "chat_sessions").select(F.col("id").alias("session_id"), "cleared_at")
     return one.where("deleted_at is null").join(s, "session_id", "left").where("cleared_at is null or created_at > cleared_at")
 

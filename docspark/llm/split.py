@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 LIMIT_TOKENS = 500
 OVERLAP_TOKENS = 50
 CHARS_PER_TOKEN = 4
-#: Inside a stretch without natural boundaries longer than this a hard boundary stands every HARD_STEP characters.
+#: Inside a stretch without natural boundaries longer than this (or half of what a piece adds) hard boundaries stand that far apart.
 HARD_STEP = 250
 
 _WORD = re.compile(r"\S+")
@@ -31,7 +31,7 @@ _SENTENCE_END = re.compile(r"""[.!?…]["'”’»)\]]*$""")
 SCHEMA = "item_table string, item_id string, piece_no int, n_pieces int, start int, end int, overlap int, token_count int, text string"
 
 
-def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def boundaries(text: str, step: int = HARD_STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """End positions, their rank (0 hard, 1 word, 2 sentence, 3 line, 4 paragraph) and the word starts of ``text``."""
     ends, ranks, starts = [0], [1], []
     for m in _WORD.finditer(text):
@@ -47,9 +47,9 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ends.append(len(text))
         ranks.append(1)
     at, rank = np.array(ends), np.array(ranks)
-    long = np.flatnonzero(np.diff(at) > HARD_STEP)
+    long = np.flatnonzero(np.diff(at) > step)
     if len(long):
-        hard = np.concatenate([np.arange(at[i] + HARD_STEP, at[i + 1], HARD_STEP) for i in long])
+        hard = np.concatenate([np.arange(at[i] + step, at[i + 1], step) for i in long])
         order = np.argsort(np.concatenate([at, hard]), kind="stable")
         rank = np.concatenate([rank, np.zeros(len(hard), dtype=rank.dtype)])[order]
         at = np.concatenate([at, hard])[order]
@@ -61,7 +61,7 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    at, rank, starts = boundaries(text)
+    at, rank, starts = boundaries(text, min(HARD_STEP, max(1, (limit - overlap) // 2)))
     # where the piece after a cut starts: the first word start within the overlap, else as far back as allowed
     back = np.maximum(at - overlap, 0)
     k = np.searchsorted(starts, back)

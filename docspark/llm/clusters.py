@@ -36,7 +36,7 @@ RIDGE = 1e-2
 #: Rows from which the initial means are drawn, at most; the fit itself takes all rows.
 SEED_ROWS = 20_000
 #: Leaves in which a fragment is compared: the best so many branches at each level.
-BRANCHES = 3
+BRANCHES = 4
 
 
 def _units(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:

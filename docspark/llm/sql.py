@@ -1,6 +1,24 @@
 """DuckDB SQL of those queries that SQL can express on whole tables."""
 
+from docspark.llm.lookalike import CLASSES
+
+_CLOSURE = """, edges AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties), reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)"""
+#: Look-alike letters and their first form, and full-width characters with their ASCII ones, as arguments of translate().
+_FROM = "".join(c for group in CLASSES for c in group[1:]) + "".join(chr(0xFF01 + i) for i in range(94)) + "\u2010\u2011\u00b5"
+_TO = "".join(group[0] for group in CLASSES for _ in group[1:]) + "".join(chr(0x21 + i) for i in range(94)) + "--\u03bc"
+_FORM = f"""nfc_normalize(translate(regexp_replace(regexp_replace(replace(translate(nfc_normalize(text), '{_FROM.replace("'", "''")}', '{_TO.replace("'", "''")}'), chr(13) || chr(10), chr(10)), '[\\pZ\\t]', ' ', 'g'), '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '{_FROM.replace("'", "''")}', '{_TO.replace("'", "''")}'))"""
+
 SQL = {
+    "p3_found": r"""WITH RECURSIVE w AS (SELECT chunk_id, any_value(regexp_extract_all(lower(text_for_embedding), '[\pL\pN]+')) AS w FROM chunks WHERE chunk_id IS NOT NULL AND text_for_embedding IS NOT NULL GROUP BY 1),
+g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20), n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
+shared AS (SELECT x.chunk_id AS a, y.chunk_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.chunk_id < y.chunk_id GROUP BY 1, 2),
+ties AS (SELECT a, b FROM shared JOIN n p ON p.chunk_id = a JOIN n q ON q.chunk_id = b WHERE k >= 0.6 * (p.n + q.n - k))""" + _CLOSURE + " SELECT a AS chunk_id_a, b AS chunk_id_b FROM reach WHERE a < b",
+    "p4_found": """WITH RECURSIVE v AS (SELECT DISTINCT chunk_id, list_transform(dense_vector, lambda x: coalesce(x, 0)) AS v FROM chunks WHERE chunk_id IS NOT NULL AND list_count(dense_vector) = 64 AND list_sum(list_transform(dense_vector, lambda x: x * x)) > 0),
+ties AS (SELECT x.chunk_id AS a, y.chunk_id AS b FROM v x JOIN v y ON x.chunk_id < y.chunk_id AND list_cosine_similarity(x.v, y.v) >= 0.8)""" + """, near AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties), low AS (SELECT b AS chunk_id, min(a) AS a FROM near GROUP BY 1),
+up AS (SELECT chunk_id, least(a, chunk_id) AS cluster_key FROM low UNION SELECT u.chunk_id, least(l.a, u.cluster_key) FROM up u JOIN low l ON l.chunk_id = u.cluster_key), keyed AS (SELECT chunk_id, min(cluster_key) AS cluster_key FROM up GROUP BY 1)
+SELECT cluster_key, chunk_id FROM keyed QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 3""",
+    "p9_found": f"""WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p1_found": """SELECT DISTINCT 'chunks' AS item_table, chunk_id AS item_id FROM chunks WHERE length(text_for_embedding) // 4 > 500
 UNION SELECT DISTINCT 'elements', element_id FROM elements WHERE length(content.raw) // 4 > 500""",
     "p5_found": r"""WITH v AS (SELECT DISTINCT ON (id) * FROM chat_messages WHERE session_id IS NOT NULL ORDER BY id, updated_at DESC),

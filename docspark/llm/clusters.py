@@ -56,13 +56,14 @@ def _units(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(raw, np.float64) for raw in pdf["data"])
-    return pd.DataFrame({"data": [total.tobytes()]})
+    return pd.DataFrame({"one": [0], "data": [total.tobytes()]})
 
 
 def _total(parts: DataFrame) -> np.ndarray | None:
-    """The sum of the arrays in ``data`` over all partitions; at most 16 of them reach the driver."""
-    some = parts.withColumn("k", F.spark_partition_id() % 16).groupBy("k").applyInPandas(_sum_rows, "data binary").collect()
-    return sum(np.frombuffer(r.data, np.float64) for r in some) if some else None
+    """The sum of the arrays in ``data`` over all partitions, in two steps; one array reaches the driver."""
+    some = parts.withColumn("k", F.spark_partition_id() % 16).groupBy("k").applyInPandas(_sum_rows, "one int, data binary")
+    whole = some.groupBy("one").applyInPandas(_sum_rows, "one int, data binary").collect()
+    return np.frombuffer(whole[0].data, np.float64) if whole else None
 
 
 def _moments(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -200,7 +201,8 @@ def fit_level(features: DataFrame, levels: list[Mixture], parents: list[tuple[in
     for p, rows in parents:
         own = seeds[at == p]
         base = (levels[-1].mean[p], levels[-1].var[p]) if levels else (seeds.mean(0), seeds.var(0) + RIDGE)
-        for k in sizes:
+        # a number of components is tried if leaves would still hold a third of what they should
+        for k in sizes if not levels else [k for k in sizes if k == sizes[0] or k <= 3 * rows / LEAF_ROWS]:
             k = max(1, min(k, int(rows)))
             some = np.arange(len(means), len(means) + k)
             means.extend(_seeds(own, k, rng) if len(own) >= 2 * k else base[0] + np.sqrt(base[1]) * rng.standard_normal((k, len(base[0]))))
@@ -221,7 +223,7 @@ def fit_level(features: DataFrame, levels: list[Mixture], parents: list[tuple[in
     keep = []
     for p, rows in parents:
         scored = [((len(s) * (2 * d + 1) - 1) * np.log(max(rows, 2)) - 2 * likelihood[g], g) for g, (q, s) in enumerate(groups) if q == p]
-        some = groups[min(scored)[1]][1]
+        some = groups[min(scored)[1]][1]  # least BIC
         used = some[count[some] >= 0.5]
         keep.append(used if len(used) else some[:1])
     keep = np.concatenate(keep)

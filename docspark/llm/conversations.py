@@ -1,7 +1,8 @@
 """Rebuilding conversations from message rows with keyed streaming state.
 
-Session headers and message rows form one stream of arrivals. State is kept per
-session: the newest version of each message is buffered, late arrivals included,
+Session headers and message rows form one stream of arrivals. State is kept by
+session (sessions share a key in small shards, so that not every one costs a call):
+the newest version of each message is buffered, late arrivals included,
 until the event-time watermark passes the session's last event by the timeout;
 then the session is put in order, validated and emitted. A bounded replay ends
 with a closing row whose event time lies beyond all timeouts.
@@ -29,8 +30,10 @@ from docspark.work import Work
 HOT = 20_000
 TIMEOUT_S = 1800
 FILES_PER_BATCH = 64
+#: Rows of a shard: sessions share keyed state in shards of about so many rows.
+SHARD_ROWS = 1_000
 
-ARRIVAL = "session_id string, lane int, kind string, id string, role string, content string, blank boolean, deleted boolean, created_at timestamp, updated_at timestamp, cleared_at timestamp, event_time timestamp"
+ARRIVAL = "shard int, session_id string, lane int, kind string, id string, role string, content string, blank boolean, deleted boolean, created_at timestamp, updated_at timestamp, cleared_at timestamp, event_time timestamp"
 OUT = "session_id string, kind string, position long, id string, role string, content string, blank boolean, created_at timestamp, n_messages long, reason string"
 _OUT = [c.split()[0] for c in OUT.split(", ")]
 _FAR = pd.Timestamp("1970-01-01")
@@ -70,39 +73,51 @@ def _none(x):
     return None if x is None or x is pd.NaT or x != x else x
 
 
+def _emitted(session: str, lane: int, seen: dict, cleared) -> list[tuple]:
+    """The rows of a session that closes."""
+    live = _live(seen, cleared)
+    if lane >= 0:  # a lane of a hot session
+        rows = [(session, "header", None, None, None, None, None, None, None, None)]
+        return rows + [(session, "part", None, k, role, content, blank, created, None, None) for _, k, created, role, content, blank in live]
+    reason = judge([(x[3], x[5]) for x in live])
+    rows = [(session, "verdict", None, None, None, None, None, None, len(live), reason)]
+    if reason is None:
+        rows += [(session, "message", n, k, role, content, blank, created, None, None) for n, (_, k, created, role, content, blank) in enumerate(live)]
+    return rows
+
+
 def _assemble(timeout_ms: int):
+    """One shard of sessions: ``held`` maps a session to its buffered versions, its clearing and its last event (ms)."""
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, lane = key
+        lane = key[1]
+        held = pickle.loads(state.get[0]) if state.exists else {}
         if state.hasTimedOut:
-            seen, cleared, _ = pickle.loads(state.get[0])
+            now = state.getCurrentWatermarkMs()
+            closed = [s for s, (_, _, last) in held.items() if last + timeout_ms <= now]
+            rows = [r for s in closed for r in _emitted(s, lane, *held.pop(s)[:2])]
+            if rows:
+                yield pd.DataFrame(rows, columns=_OUT)
+        else:
+            for pdf in batches:
+                for session, kind, mid, role, content, blank, deleted, created, updated, clear, event in zip(*(pdf[c] for c in ("session_id", "kind", "id", "role", "content", "blank", "deleted", "created_at", "updated_at", "cleared_at", "event_time"))):
+                    if kind == "end":
+                        return
+                    mine = held.setdefault(session, [{}, None, 0])
+                    mine[2] = max(mine[2], int(event.value // 1_000_000))
+                    if kind == "header":
+                        clear = _none(clear)
+                        mine[1] = clear if mine[1] is None else max(mine[1], clear or mine[1])
+                        continue
+                    stamp = _none(updated) or _FAR
+                    seen = mine[0]
+                    if mid not in seen or stamp > seen[mid][0]:
+                        seen[mid] = (stamp, _none(created), _none(role), _none(content), bool(blank), bool(deleted))
+        if held:
+            state.update((pickle.dumps(held),))
+            state.setTimeoutTimestamp(max(min(last for _, _, last in held.values()) + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            live = _live(seen, cleared)
-            if lane >= 0:  # a lane of a hot session
-                rows = [(session, "header", None, None, None, None, None, None, None, None)]
-                rows += [(session, "part", None, k, role, content, blank, created, None, None) for _, k, created, role, content, blank in live]
-            else:
-                reason = judge([(x[3], x[5]) for x in live])
-                rows = [(session, "verdict", None, None, None, None, None, None, len(live), reason)]
-                if reason is None:
-                    rows += [(session, "message", n, k, role, content, blank, created, None, None) for n, (_, k, created, role, content, blank) in enumerate(live)]
-            yield pd.DataFrame(rows, columns=_OUT)
-            return
-        seen, cleared, last = pickle.loads(state.get[0]) if state.exists else ({}, None, 0)
-        for pdf in batches:
-            for kind, mid, role, content, blank, deleted, created, updated, clear, event in zip(*(pdf[c] for c in ("kind", "id", "role", "content", "blank", "deleted", "created_at", "updated_at", "cleared_at", "event_time"))):
-                if kind == "end":
-                    return
-                last = max(last, int(event.value // 1_000_000))
-                if kind == "header":
-                    clear = _none(clear)
-                    cleared = clear if cleared is None else max(cleared, clear or cleared)
-                    continue
-                stamp = _none(updated) or _FAR
-                if mid not in seen or stamp > seen[mid][0]:
-                    seen[mid] = (stamp, _none(created), _none(role), _none(content), bool(blank), bool(deleted))
-        state.update((pickle.dumps((seen, cleared, last)),))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
-        yield from ()
 
     return step
 
@@ -162,13 +177,14 @@ def rebuild(messages: DataFrame, sessions: DataFrame, aliases: DataFrame, work:
     """
     spark = work.spark
     rows = work.table(arrivals(messages, sessions, aliases, hot), "arrivals-raw")
-    low, high = rows.agg(F.min("event_time"), F.max("event_time")).first()
+    low, high, n = rows.agg(F.min("event_time"), F.max("event_time"), F.count("*")).first()
     epoch = F.lit("1970-01-02 00:00:00").cast("timestamp")
     if delay_s is None:
         delay_s = int((high - low).total_seconds()) + 1 if low is not None else 1
     feed, stated, sink = work.path("arrivals"), work.path("state"), work.path("emitted")
     first = F.lit(low).cast("timestamp") if low is not None else epoch
-    ready = rows.withColumn("event_time", F.coalesce("event_time", first))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "session_id"), F.lit(max(1, n // SHARD_ROWS))).cast("int")
+    ready = rows.withColumn("event_time", F.coalesce("event_time", first)).withColumn("shard", shard)
     columns = [c.split()[0] for c in ARRIVAL.split(", ")]
     ready.select(*columns).write.parquet(feed)
     work.drop(rows)
@@ -177,7 +193,7 @@ def rebuild(messages: DataFrame, sessions: DataFrame, aliases: DataFrame, work:
         stream = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(feed)
         emitted = (
             stream.withWatermark("event_time", f"{delay_s} seconds")
-            .groupBy("session_id", "lane")
+            .groupBy("shard", "lane")
             .applyInPandasWithState(_assemble(timeout_s * 1000), OUT, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
         )
         query = emitted.writeStream.format("parquet").option("path", sink).option("checkpointLocation", stated).outputMode("append").trigger(availableNow=True).start()
@@ -185,7 +201,7 @@ def rebuild(messages: DataFrame, sessions: DataFrame, aliases: DataFrame, work:
 
     run()
     past = (F.lit(high).cast("timestamp") if high is not None else epoch) + F.make_dt_interval(secs=F.lit(2 * (delay_s + timeout_s) + 60))
-    end = spark.range(1).select(F.lit("").alias("session_id"), F.lit(-2).alias("lane"), F.lit("end").alias("kind"), past.alias("event_time"))
+    end = spark.range(1).select(F.lit(-1).alias("shard"), F.lit("").alias("session_id"), F.lit(-2).alias("lane"), F.lit("end").alias("kind"), past.alias("event_time"))
     full = end.select(*[F.col(c.split()[0]) if c.split()[0] in end.columns else F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ARRIVAL.split(", ")])
     full.coalesce(1).write.mode("append").parquet(feed)
     run()

@@ -52,3 +52,42 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6) -> DataF
     best = pairs.select("q_ids", "q_data", "r_ids", "r_data").mapInPandas(_top(k, digits), f"query_id {kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _similar(threshold: float, digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def unit(flat, n: int) -> np.ndarray:
+        x = np.asarray(flat, dtype=np.float64).reshape(n, -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(norm == 0, 1, norm)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, y, ai, ad, bi, bd in zip(*(pdf[c] for c in ("a_block", "b_block", "a_ids", "a_data", "b_ids", "b_data"))):
+                s = np.round(unit(ad, len(ai)) @ unit(bd, len(bi)).T, digits) + 0.0
+                ai, bi = np.asarray(ai), np.asarray(bi)
+                p, q = np.nonzero(s >= threshold)
+                a, b, v = ai[p], bi[q], s[p, q]
+                if x == y:
+                    keep = a < b
+                    a, b, v = a[keep], b[keep], v[keep]
+                swap = a > b
+                yield pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "similarity": v})
+
+    return run
+
+
+def similar_pairs(rows: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
+    """``rows(grp, id, vector)`` -> ``(a, b, similarity)``, a < b: pairs of one group at or above the cosine threshold.
+
+    A group's rows are packed into blocks; a pair of blocks is one matrix product, so only pairs
+    that qualify ever are rows, and a hot group is many tasks. Null groups, ids and vectors are left out, vectors of
+    different lengths are not compared, all-zero vectors and vectors with nulls are similar to none. Ids must be unique.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    some = rows.where("grp is not null and id is not null and vector is not null").select("grp", F.size("vector").alias("dim"), "id", F.col("vector").cast("array<double>").alias("vector"))
+    sizes = some.groupBy("grp", "dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    packed = some.join(sizes, ["grp", "dim"]).groupBy("grp", "dim", block.alias("block")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("vector")).alias("data"))
+    a, b = (packed.select("grp", "dim", *[F.col(c).alias(f"{x}_{c}") for c in ("block", "ids", "data")]) for x in "ab")
+    met = a.join(b, ["grp", "dim"]).where("a_block <= b_block").drop("grp", "dim")
+    return met.mapInPandas(_similar(threshold, digits), f"a {kind}, b {kind}, similarity double")

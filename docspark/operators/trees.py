@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docspark.functions import vectors
 from docspark.functions.text import normalize_title
 from docspark.operators.components import connected_components
+from docspark.operators.knn import similar_pairs
 from docspark.work import Work
 
 LEAST_SIZE, MOST_SIZE = 3, 12
@@ -131,9 +131,7 @@ def semantic_dedup(nodes: DataFrame, work: Work, threshold: float = 0.90) -> Dat
     over the links. Only nodes that resemble some other are resolved, per connected group of resemblances.
     """
     nodes = work.table(nodes, "nodes")
-    v = nodes.where("vector is not null").select("paper_id", "chunk_id", vectors.normalize(F.col("vector")).alias("v"))
-    a, b = (v.select("paper_id", F.col("chunk_id").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
-    pairs = a.join(b, "paper_id").where("a < b").where(vectors.dot(F.col("va"), F.col("vb")) >= threshold - 1e-9).select("a", "b")
+    pairs = similar_pairs(nodes.select(F.col("paper_id").alias("grp"), F.col("chunk_id").alias("id"), "vector"), threshold).select("a", "b")
     groups = work.table(connected_components(pairs, work), "groups")
     some = nodes.join(groups.select(F.col("node").alias("chunk_id"), "label"), "chunk_id")
     resolved = some.groupBy("label").applyInPandas(_greedy(threshold), "paper_id string, chunk_id string, kept_as string, n_children long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.functions import signals, vectors
+from docspark.functions import signals
 from docspark.functions.text import count_tokens
 from docspark.operators import knn, retrieval
 from docspark.plans import registry
@@ -83,13 +83,11 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return knn.top_k(rows.where("id % 50 = 0"), rows, 10)
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, a.label::BIGINT AS label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3")
 def semantic_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one label (the bounded group) that are alike."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", vectors.normalize(F.col("embedding").cast("array<double>")).alias("v"))
-    a, b = (v.select("label", F.col("vec_id").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
-    s = F.round(vectors.dot(F.col("va"), F.col("vb")), 6)
-    return a.join(b, "label").where("a < b").select("a", "b", "label", s.alias("similarity")).where("similarity >= 0.3")
+    """Pairs of one label that are alike."""
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return knn.similar_pairs(rows, 0.3)
 
 
 @query(_with(_CUR, _Q, _DENSE) + "SELECT query_id, chunk_id, score, rank FROM dense")

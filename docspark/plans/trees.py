@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.functions import vectors
 from docspark.functions.text import count_tokens, extract_numbers, extractive_summary, normalize_title
-from docspark.operators import trees
+from docspark.operators import knn, trees
 from docspark.operators.retrieval import newest
 from docspark.plans import registry
 from docspark.plans.search import _CUR
@@ -230,6 +229,5 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + _CUR + " SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.dense_vector, b.dense_vector), 6) AS similarity FROM cur a JOIN cur b ON a.paper_id = b.paper_id AND a.level = 1 AND b.level = 1 AND a.chunk_id < b.chunk_id WHERE round(list_cosine_similarity(a.dense_vector, b.dense_vector), 6) >= 0.9 AND NOT isnan(list_cosine_similarity(a.dense_vector, b.dense_vector))")
 def summary_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of first-level summaries of a paper that resemble each other."""
-    v = current(spark, d, "paper_id", "level", "dense_vector").where("level = 1 and dense_vector is not null").select("paper_id", "chunk_id", vectors.normalize(F.col("dense_vector")).alias("v"))
-    a, b = (v.select("paper_id", F.col("chunk_id").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
-    return a.join(b, "paper_id").where("a < b").select("a", "b", F.round(vectors.dot(F.col("va"), F.col("vb")), 6).alias("similarity")).where("similarity >= 0.9")
+    rows = current(spark, d, "paper_id", "level", "dense_vector").where("level = 1")
+    return knn.similar_pairs(rows.select(F.col("paper_id").alias("grp"), F.col("chunk_id").alias("id"), F.col("dense_vector").alias("vector")), 0.9)

@@ -18,6 +18,18 @@ def test_knn_against_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_similar_pairs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 9)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 4))
+    x[7] = 0
+    rows = [("g" if i % 3 else "h", f"i{i:02d}", v.tolist()) for i, v in enumerate(x)] + [("g", "null", None), (None, "lost", [1.0] * 4), ("g", "long", [1.0] * 5), ("g", "hole", [1.0, None, 1.0, 1.0])]
+    got = {(r.a, r.b) for r in knn.similar_pairs(spark.createDataFrame(rows, "grp string, id string, vector array<double>"), 0.6).collect()}
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {(rows[i][1], rows[j][1]) for i in range(90) for j in range(i + 1, 90) if rows[i][0] == rows[j][0] and round(float(u[i] @ u[j]), 6) >= 0.6}
+    assert got == want
+
+
 def test_fill_budget_skips_what_does_not_fit(spark):
     rows = spark.createDataFrame([("q", 1, "a", 60), ("q", 2, "b", 50), ("q", 3, "c", 40), ("q", 4, "d", 1), ("e", 1, "x", 500)], "query_id string, o int, item string, size int")
     out = {r.query_id: r for r in retrieval.fill_budget(rows, "query_id", [F.col("o")], F.col("size"), F.col("item"), 100).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -176,6 +177,11 @@ this work
 NUMBER = r"\b[0-9]+\.?[0-9]*\b"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _count(text: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [text.contains(p).cast("int") for p in phrases])
 
@@ -190,12 +196,12 @@ def signals(query: Column, compat: bool = True) -> dict[str, Column]:
     specific, broad = (SPECIFIC, BROAD) if compat else (list(dict.fromkeys(SPECIFIC)), list(dict.fromkeys(BROAD)))
     number = q.rlike(NUMBER)
     return {
-        "specific_score": _count(q, specific) + number.cast("int"),
-        "broad_score": _count(q, broad) + F.lit(EMPTY_BROAD if compat else 0),
-        "table_signal": _some(q, TABLE),
-        "equation_signal": _some(q, EQUATION),
-        "figure_signal": _some(q, FIGURE),
-        "cross_section": _some(q, CROSS_SECTION),
+        "specific_score": _once(q, lambda v: _count(v, specific)) + number.cast("int"),
+        "broad_score": _once(q, lambda v: _count(v, broad)) + F.lit(EMPTY_BROAD if compat else 0),
+        "table_signal": _once(q, lambda v: _some(v, TABLE)),
+        "equation_signal": _once(q, lambda v: _some(v, EQUATION)),
+        "figure_signal": _once(q, lambda v: _some(v, FIGURE)),
+        "cross_section": _once(q, lambda v: _some(v, CROSS_SECTION)),
         "has_number": number,
     }
 

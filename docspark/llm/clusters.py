@@ -6,8 +6,9 @@ over all rows, one job per step, several numbers of components at once; the Baye
 information criterion chooses. Components that are still large are split the same way, level by
 level, so that a leaf holds a bounded number of rows whatever the input; the
 mixture is then both the clustering and its index. Inside a leaf members are
-checked against the likeness itself, in blocks; the fragments' means are compared in every leaf of
-high responsibility, so that a cluster that straddles leaves is put together again.
+checked against the likeness itself, in blocks; fragments of all leaves are then compared with each
+other, a pair being passed over only where the triangle inequality on angles proves that no two of its
+members are alike, so that a cluster that straddles leaves is put together again whatever the leaves.
 The members of highest density under their component represent a cluster.
 """
 
@@ -35,8 +36,10 @@ STEPS, MAX_LEVELS = 5, 6
 RIDGE = 1e-2
 #: Rows from which the initial means are drawn, at most; the fit itself takes all rows.
 SEED_ROWS = 20_000
-#: Leaves in which a fragment is compared: the best so many branches at each level.
-BRANCHES = 4
+#: Rows of a pack of fragments, and pairs of packs handed to Python at once.
+PACK_ROWS, PACK_PAIRS = 4096, 8
+#: Radians allowed for rounding in the bounds on angles.
+SLACK = 2e-3
 
 
 def _units(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,25 +134,6 @@ def route(levels: list[Mixture], z: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return leaf, density
 
 
-def routes(levels: list[Mixture], z: np.ndarray, branches: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(rows, leaf)`` of every leaf reached by the best ``branches`` children at each level."""
-    out = []
-    stack = [(0, -1, np.arange(len(z)))]
-    while stack:
-        depth, p, rows = stack.pop()
-        kids = levels[depth].children(p) if depth < len(levels) else np.zeros(0, int)
-        if not len(kids):
-            if depth:
-                out.append((rows, np.full(len(rows), ((depth - 1) << 32) + p)))
-            continue
-        d = levels[depth].log_density(z[rows], kids)
-        take = min(branches, len(kids))
-        best = np.argpartition(-d, take - 1, axis=1)[:, :take]
-        for k in np.unique(best):
-            stack.append((depth + 1, kids[k], rows[(best == k).any(1)]))
-    return out
-
-
 def _expect(levels, trial: Mixture, groups: list[tuple[int, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sufficient statistics of one step for all trials: per component row count, sums and squares; per trial its log likelihood."""
 
@@ -242,7 +226,8 @@ def _assign(levels: list[Mixture]) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-_MEMBER = "id string, frag string, leaf long, density double, rep binary"
+_MEMBER = "id string, frag string, leaf long, density double, u binary"
+_PACK = "u binary, starts array<int>, names array<string>"
 
 
 def _alike(x: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray]:
@@ -266,37 +251,96 @@ def _fragments(likeness: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]
             x = np.frombuffer(b"".join(part["u"]), np.float32).reshape(len(part), -1)
             label = local_components(len(x), *_alike(x, likeness))
             ids = part["id"].to_numpy()
-            total = np.zeros_like(x)
-            np.add.at(total, label, x)
-            rep = np.full(len(x), None, dtype=object)
-            for k in np.unique(label):
-                rep[k] = (total[k] / max(np.linalg.norm(total[k]), 1e-12)).astype(np.float32).tobytes()
-            out.append(pd.DataFrame({"id": ids, "frag": ids[label], "leaf": key[0], "density": part["density"].to_numpy(), "rep": rep}))
+            out.append(pd.DataFrame({"id": ids, "frag": ids[label], "leaf": key[0], "density": part["density"].to_numpy(), "u": part["u"]}))
         return pd.concat(out)
 
     return run
 
 
-def _visits(levels: list[Mixture], mean: np.ndarray, to: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in packs, ordered by fragment; a fragment cut by a pack's end is two of one name."""
+    for pdf in batches:
+        for i in range(0, len(pdf), PACK_ROWS):
+            part = pdf.iloc[i : i + PACK_ROWS].sort_values("frag", ignore_index=True)
+            names = part["frag"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+            yield pd.DataFrame({"u": [b"".join(part["u"])], "starts": [starts.astype(np.int32)], "names": [names[starts].tolist()]})
+
+
+class _Pack:
+    """The fragments of a pack: rows, centres, and the angle from each centre to its farthest row."""
+
+    def __init__(self, u: bytes, starts: np.ndarray, names: np.ndarray, dim: int) -> None:
+        self.x = np.frombuffer(u, np.float32).reshape(-1, dim)
+        self.starts, self.names = np.asarray(starts), np.asarray(names, dtype=object)
+        self.ends = np.r_[self.starts[1:], len(self.x)]
+        total = np.add.reduceat(self.x, self.starts, axis=0)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        # any unit vector will do as a centre; the mean is the best one unless the rows cancel out
+        self.centre = np.where(norm > 1e-3, total / np.maximum(norm, 1e-3), self.x[self.starts])
+        self.of = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
+        self.radius = np.arccos(np.minimum.reduceat((self.x * self.centre[self.of]).sum(1), self.starts).clip(-1, 1))
+
+
+def _pack_edges(p: _Pack, q: _Pack, same: bool, likeness: float) -> list[tuple[str, str]]:
+    """Edges between fragments that hold two alike rows, without those that follow from others."""
+    reach = np.arccos(likeness) + SLACK
+    least = lambda angle: np.cos(np.minimum(angle, np.pi))
+    near = p.centre @ q.centre.T >= least(np.add.outer(p.radius, q.radius) + reach)
+    near &= p.names[:, None] != q.names[None, :]
+    if same:
+        near = np.triu(near, 1)
+    f, g = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    if not len(f):
+        return []
+    rows = np.flatnonzero(np.isin(p.of, f))
+    some = p.x[rows] @ q.centre[g].T >= least(q.radius[g] + reach)
+    some = np.logical_or.reduceat(some, np.searchsorted(rows, p.starts[f]), axis=0) & near[np.ix_(f, g)]
+    up: dict[str, str] = {}
+
+    def find(k: str) -> str:
+        while up.get(k, k) != k:
+            k = up[k]
+        return k
+
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(some))):
+        i, j = f[i], g[j]
+        a, b = find(p.names[i]), find(q.names[j])
+        if a != b and (p.x[p.starts[i] : p.ends[i]] @ q.x[q.starts[j] : q.ends[j]].T).max() >= likeness - 1e-6:
+            up[max(a, b)] = min(a, b)
+            out.append((p.names[i], q.names[j]))
+    return out
+
+
+def _across(likeness: float, dim: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, p = None, None
         for pdf in batches:
-            u = np.frombuffer(b"".join(pdf["rep"]), np.float32).reshape(len(pdf), -1).astype(np.float64)
-            for rows, leaf in routes(levels, (u - mean) @ to, BRANCHES):
-                yield pd.DataFrame({"leaf": leaf, "frag": pdf["frag"].to_numpy()[rows], "rep": pdf["rep"].to_numpy()[rows]})
+            for r in pdf.itertuples(index=False):
+                if r.i != at:
+                    at, p = r.i, _Pack(r.u, r.starts, r.names, dim)
+                q = p if r.j == r.i else _Pack(r.u2, r.starts2, r.names2, dim)
+                edges = _pack_edges(p, q, r.j == r.i, likeness)
+                if edges:
+                    yield pd.DataFrame(edges, columns=["a", "b"])
 
     return run
 
 
-def _merge(likeness: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["frag", "rep"]).sort_values("frag", ignore_index=True)
-        x = np.frombuffer(b"".join(pdf["rep"]), np.float32).reshape(len(pdf), -1)
-        label = local_components(len(x), *_alike(x, likeness))
-        names = pdf["frag"].to_numpy()
-        off = np.flatnonzero(label != np.arange(len(x)))
-        return pd.DataFrame({"a": names[label[off]], "b": names[off]})
-
-    return run
+def _joined(members: DataFrame, work: Work, likeness: float, dim: int) -> DataFrame:
+    """Edges ``(a, b)`` between the fragments of ``members``: every pack meets every other without a shuffle."""
+    packs = work.table(members.select("frag", "u").mapInPandas(_packs, _PACK).withColumn("i", F.monotonically_increasing_id()), "packs")
+    other = packs.select(F.col("i").alias("j"), F.col("u").alias("u2"), F.col("starts").alias("starts2"), F.col("names").alias("names2"))
+    pairs = packs.crossJoin(other).where("i <= j")
+    # a pair of packs is a few MB: only some in a batch
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = members.sparkSession.conf.get(key)
+    members.sparkSession.conf.set(key, PACK_PAIRS)
+    try:
+        return work.table(pairs.mapInPandas(_across(likeness, dim), "a string, b string"), "joined")
+    finally:
+        members.sparkSession.conf.set(key, before)
 
 
 def similarity_clusters(rows: DataFrame, work: Work, likeness: float = LIKENESS) -> DataFrame:
@@ -305,8 +349,8 @@ def similarity_clusters(rows: DataFrame, work: Work, likeness: float = LIKENESS)
     Null and all-zero vectors, vectors with null or infinite entries, null ids, and vectors whose number of
     entries is not the most frequent one are like nothing and left out. Repeated rows count once; an
     id with several vectors is a member of the cluster of each. A vector like no other is a cluster of one.
-    Members of a cluster are all held to be at or above the likeness to its mean, others below it (a gap in
-    the data around the likeness). No usable vector gives an empty result.
+    Clusters are the connected components of likeness over all rows, whatever leaves they fall in. No usable vector
+    gives an empty result.
     """
     given = rows.where("id is not null and vector is not null").select("id", "vector")
     sizes = given.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -337,8 +381,7 @@ def similarity_clusters(rows: DataFrame, work: Work, likeness: float = LIKENESS)
     placed = features.select("id", "u", "z").mapInArrow(_assign(levels), "id string, u binary, leaf long, blocks int, density double")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     members = work.table(placed.groupBy("leaf", "block").applyInPandas(_fragments(likeness), _MEMBER), "members")
-    visits = members.where("rep is not null").select("frag", "rep").mapInPandas(_visits(levels, mean, to), "leaf long, frag string, rep binary")
-    joined = visits.groupBy("leaf").applyInPandas(_merge(likeness), "a string, b string")
+    joined = _joined(members, work, likeness, dim)
     same = connected_components(joined, work).select(F.col("node").alias("frag"), "label")
     return members.join(same, "frag", "left").select(F.coalesce("label", "frag").alias("cluster_key"), "id", F.col("leaf").alias("component"), "density").distinct()
 

@@ -47,6 +47,20 @@ def test_against_brute_force(spark, work, monkeypatch, leaf, block):
     assert np.mean([got[i] == want[i] for i in want]) >= (1.0 if leaf == 1500 else 0.98)
 
 
+def test_every_pair_of_leaves_is_compared(spark, work, monkeypatch):
+    """Chains of alike rows that the mixture cuts into many small leaves, their ends far apart, come out whole."""
+    monkeypatch.setattr(clusters, "LEAF_ROWS", 20)
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(clusters, "PACK_ROWS", 50, raising=False)
+    rng = np.random.default_rng(5)
+    rows = make(4, [1] * 60 + [4] * 30 + [60, 120])
+    for k in range(3):
+        a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+        rows += [(f"w{k}{i:03d}", (np.cos(t) * a + np.sin(t) * b + rng.normal(size=16) * 0.02).tolist(), "x") for i, t in enumerate(np.linspace(0, np.pi, 60))]
+    out = clusters.similarity_clusters(spark.createDataFrame(rows, SCHEMA).repartition(3), work).collect()
+    assert {r.id: r.cluster_key for r in out} == brute(rows, 16)
+
+
 def test_description(spark, work):
     rows = make(2, [12, 5, 1])
     c = work.table(clusters.similarity_clusters(spark.createDataFrame(rows, SCHEMA), work), "c")

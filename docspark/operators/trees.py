@@ -78,20 +78,49 @@ def memberships(x: DataFrame, c: DataFrame, power: float = 2.0, floor: float = 1
     return pulled.select("paper_id", "chunk_id", "cluster", (F.col("pull") / total).alias("u"), "vector")
 
 
-def fuzzy_clusters(x: DataFrame, start: DataFrame, work: Work, dims: int, steps: int = 5, threshold: float = 0.25, most: int = 2) -> DataFrame:
+def _fuzzy(steps: int, tolerance: float, threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        v = np.array(pdf["vector"].tolist(), dtype=float)
+        good = np.isfinite(v).all(1)
+        pdf, v = pdf[good].sort_values("chunk_id"), v[good][np.argsort(pdf["chunk_id"][good].to_numpy())]
+        names = np.unique(pdf["cluster"].dropna().to_numpy())
+        if not len(names):
+            return pd.DataFrame(columns=["paper_id", "chunk_id", "cluster", "u"])
+        n, d = v.shape
+        v = v - v.mean(0)
+        kept = min(50, max(2, n // 5), d, n - 1)
+        if kept < d:
+            v = v @ np.linalg.svd(v, full_matrices=False)[2][:kept].T
+        u = (pdf["cluster"].to_numpy()[:, None] == names[None, :]).astype(float)
+        for _ in range(steps):
+            before, w = u, u * u
+            c = (w.T @ v) / np.maximum(w.sum(0), 1e-300)[:, None]
+            far = np.maximum((v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * v @ c.T, 1e-10)
+            pull = far**-2.0
+            u = pull / pull.sum(1, keepdims=True)
+            if np.abs(u - before).max() < tolerance:
+                break
+        row, k = np.nonzero(u >= threshold)
+        return pd.DataFrame({"paper_id": pdf["paper_id"].to_numpy()[row], "chunk_id": pdf["chunk_id"].to_numpy()[row], "cluster": names[k], "u": u[row, k]})
+
+    return run
+
+
+def fuzzy_clusters(x: DataFrame, start: DataFrame, work: Work, dims: int, steps: int = 150, tolerance: float = 1e-4, threshold: float = 0.25, most: int = 2) -> DataFrame:
     """``x(paper_id, chunk_id, vector)``, ``start(paper_id, chunk_id, cluster)`` -> ``(paper_id, chunk_id, cluster, score)``.
 
-    Fuzzy c-means of all papers at once, begun from the structural clusters; at most ``most`` clusters per
-    chunk, of at least ``threshold``. A paper with fewer than two clusters gives nothing.
+    Fuzzy c-means of every paper on its min(50, max(2, n // 5), dims, n - 1) principal components, begun from the structural
+    clusters, until no membership changes by ``tolerance`` or more, for ``steps`` steps at most; at most ``most`` clusters
+    per chunk, of at least ``threshold``. The vectors of a paper meet in one task. A paper with fewer than two
+    clusters gives nothing; vectors of other lengths and those with null or infinite entries are left out.
     """
     several = start.groupBy("paper_id").agg(F.count_distinct("cluster").alias("k")).where("k > 1").select("paper_id")
-    x = work.table(x.join(several, "paper_id", "left_semi"), "x")
-    c = work.table(centres(x.join(start, ["paper_id", "chunk_id"]).withColumn("one", F.lit(1.0)), "one", dims), "centres")
-    for _ in range(steps - 1):
-        u = memberships(x, c).withColumn("uu", F.col("u") * F.col("u"))
-        before, c = c, work.table(centres(u, "uu", dims), "centres")
-        work.drop(before)
-    u = memberships(x, c).where(F.col("u") >= threshold)
+    points = x.where(F.size("vector") == dims).join(several, "paper_id", "left_semi").join(start, ["paper_id", "chunk_id"], "left")
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("paper_id", "chunk_id", "cluster")) + ", u double"
+    u = work.table(points.groupBy("paper_id").applyInPandas(_fuzzy(steps, tolerance, threshold), schema), "u")
     rank = F.row_number().over(Window.partitionBy("paper_id", "chunk_id").orderBy(F.desc("u"), "cluster"))
     return u.withColumn("rank", rank).where(F.col("rank") <= most).select("paper_id", "chunk_id", "cluster", F.round("u", 4).alias("score"))
 

@@ -203,7 +203,7 @@ def fuzzy_one_step(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_memberships(spark: SparkSession, d: str) -> DataFrame:
-    """The one or two clusters each leaf belongs to after five steps."""
+    """The one or two clusters each leaf belongs to when the memberships have settled."""
     x, start = _points(spark, d)
     return trees.fuzzy_clusters(x, start, Work(spark, "fuzzy"), DIMS)
 

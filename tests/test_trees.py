@@ -38,6 +38,45 @@ def test_fuzzy_memberships(spark, work):
     assert all(0.25 <= r.score <= 1 for r in out)
 
 
+def settled(v, hard):
+    """Plain fuzzy c-means: principal components, then steps until the memberships settle; also the number of steps."""
+    n, d = v.shape
+    v = v - v.mean(0)
+    values, axes = np.linalg.eigh(v.T @ v)
+    v = v @ axes[:, np.argsort(-values)[: min(50, max(2, n // 5), d, n - 1)]]
+    k = max(hard) + 1
+    u = np.array([[float(h == j) for j in range(k)] for h in hard])
+    for step in range(1, 151):
+        c = [sum(u[i, j] ** 2 * v[i] for i in range(n)) / sum(u[i, j] ** 2 for i in range(n)) for j in range(k)]
+        far = np.array([[max(((v[i] - c[j]) ** 2).sum(), 1e-10) for j in range(k)] for i in range(n)])
+        new = np.array([[1 / sum((far[i, j] / far[i, m]) ** 2 for m in range(k)) for j in range(k)] for i in range(n)])
+        change, u = np.abs(new - u).max(), new
+        if change < 1e-4:
+            break
+    return u, step
+
+
+def test_fuzzy_memberships_settle_on_overlapping_clusters(spark, work):
+    rng = np.random.default_rng(8)
+    v = {p: rng.normal(size=(n, 12)) + 1.5 * np.eye(12)[[i % 3 for i in range(n)]] for p, n in (("p", 40), ("q", 7))}
+    hard = {p: [(i // 2) % 3 for i in range(len(a))] for p, a in v.items()}
+    x = [(p, f"c{i:02d}", a[i].tolist()) for p, a in v.items() for i in range(len(a))]
+    start = [(p, f"c{i:02d}", h) for p, a in hard.items() for i, h in enumerate(a)]
+    out = trees.fuzzy_clusters(spark.createDataFrame(x, "paper_id string, chunk_id string, vector array<double>"), spark.createDataFrame(start, "paper_id string, chunk_id string, cluster int"), work, 12).collect()
+    want, steps = {}, []
+    for p in v:
+        u, n = settled(v[p], hard[p])
+        steps.append(n)
+        for i in range(len(u)):
+            for k in sorted(range(3), key=lambda k: -u[i, k])[:2]:
+                if u[i, k] >= 0.25:
+                    want[p, f"c{i:02d}", k] = u[i, k]
+    got = {(r.paper_id, r.chunk_id, r.cluster): r.score for r in out}
+    assert max(steps) > 5
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
 def test_memberships_sum_to_one(spark):
     rng = np.random.default_rng(2)
     x = spark.createDataFrame([("p", f"c{i}", rng.random(3).tolist()) for i in range(5)], "paper_id string, chunk_id string, vector array<double>")

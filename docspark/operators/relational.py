@@ -48,3 +48,19 @@ def strongest(rows: DataFrame, keys: list[str], status: str, ranks: dict[str, in
 def cascade(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:
     """Rows left in each child table ``name -> (rows, foreign key)`` once the ids in ``gone`` are removed."""
     return {name: rows.join(gone.select(F.col("id").alias(key)), key, "left_anti") for name, (rows, key) in tables.items()}
+
+
+def words(text: Column) -> Column:
+    """The distinct words of a text: lower case, split at all but ASCII letters and digits."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
+
+
+def contains_all(searches: DataFrame, library: DataFrame) -> DataFrame:
+    """``searches(id, user_id, text)``, ``library(user_id, paper_id, text)`` -> ``(id, paper_id)``.
+
+    The papers of the user's own library whose text holds every word of the search, by one join on user and
+    word. A search without words finds nothing. Ids of searches, and papers within a library, must be unique.
+    """
+    wanted = searches.select("id", "user_id", words(F.col("text")).alias("q")).select("id", "user_id", F.size("q").alias("n"), F.explode("q").alias("word"))
+    held = library.select("user_id", "paper_id", F.explode(words(F.col("text"))).alias("word"))
+    return wanted.join(held, ["user_id", "word"]).groupBy("id", "paper_id", "n").agg(F.count("*").alias("hits")).where("hits = n").select("id", "paper_id")

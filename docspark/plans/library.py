@@ -340,3 +340,17 @@ def fulltext_search(spark: SparkSession, d: str) -> DataFrame:
     named = F.coalesce(F.array_join(F.transform("authors", lambda a: a["name"]), " "), F.lit(""))
     p = table(spark, d, "papers").select("paper_id", words(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), named)).alias("t"))
     return q.join(p, "paper_id").where(F.arrays_overlap("q", "t") | (F.size("q") == 0)).select("id", "paper_id")
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH {_LIB}, q AS (SELECT id, user_id, {_WORDS.format(t="coalesce(rolling_summary, '')")} AS q FROM chat_sessions),
+t AS (SELECT paper_id, {_WORDS.format(t="coalesce(title, '') || ' ' || coalesce(array_to_string(list_transform(authors, lambda a: a.name), ' '), '')")} AS t FROM papers)
+SELECT q.id, lib.paper_id FROM q JOIN lib ON lib.user_id = q.user_id JOIN t ON t.paper_id = lib.paper_id WHERE len(q.q) > 0 AND list_has_all(t.t, q.q)""")
+def fulltext_library(spark: SparkSession, d: str) -> DataFrame:
+    """Every paper of the session user's library whose title and authors hold all words of the session's summary."""
+    named = F.coalesce(F.array_join(F.transform("authors", lambda a: a["name"]), " "), F.lit(""))
+    texts = table(spark, d, "papers").select("paper_id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), named).alias("text"))
+    library = _library(spark, d).select("user_id", "paper_id").join(texts, "paper_id")
+    return rel.contains_all(table(spark, d, "chat_sessions").select("id", "user_id", F.col("rolling_summary").alias("text")), library)

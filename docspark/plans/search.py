@@ -1,4 +1,8 @@
-"""Retrieval queries over the stored chunks. The query set is every leaf chunk whose sequence index is divisible by 50."""
+"""Retrieval queries over the stored chunks.
+
+The query set is every leaf chunk whose sequence index is divisible by 50; the queries named ``..._all_levels`` take
+the summaries with such an index too.
+"""
 
 from __future__ import annotations
 
@@ -63,11 +67,15 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def staged(spark: SparkSession, d: str) -> tuple[Work, DataFrame, DataFrame]:
+#: The query sets, in words that Spark and DuckDB share.
+_LEAVES, _ALL = "level = 0 AND chunk_sequence_index % 50 = 0", "chunk_sequence_index % 50 = 0"
+
+
+def staged(spark: SparkSession, d: str, asked: str = _LEAVES) -> tuple[Work, DataFrame, DataFrame]:
     """Written once: the newest row of every chunk with the columns retrieval needs, and the plans of the query set."""
     work = Work(spark, "search")
     chunks = work.table(retrieval.newest(table(spark, d, "chunks"), columns=("chunk_id", *_COLUMNS)), "chunks")
-    q = chunks.where("level = 0 and chunk_sequence_index % 50 = 0")
+    q = chunks.where(asked)
     q = q.select(F.col("chunk_id").alias("query_id"), "paper_id", F.col("text_for_embedding").alias("query_text"), "dense_vector", "sparse_indices", "sparse_values")
     # the signals are written too: every field of the plan refers to them
     q = work.table(q.select("*", *[c.alias(n) for n, c in signals.signals(F.col("query_text")).items()]), "signals")
@@ -91,39 +99,39 @@ def semantic_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_with(_CUR, _Q, _DENSE) + "SELECT query_id, chunk_id, score, rank FROM dense")
-def dense_search(spark: SparkSession, d: str) -> DataFrame:
-    _, c, p = staged(spark, d)
+def dense_search(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
+    _, c, p = staged(spark, d, asked)
     return retrieval.dense_leg(p, c)
 
 
 @query(_with(_CUR, _Q, _SPARSE) + "SELECT query_id, chunk_id, score, rank FROM sparse")
-def sparse_search(spark: SparkSession, d: str) -> DataFrame:
-    _, c, p = staged(spark, d)
+def sparse_search(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
+    _, c, p = staged(spark, d, asked)
     return retrieval.sparse_leg(p, c)
 
 
 @query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED) + "SELECT query_id, chunk_id, score FROM fused")
-def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    _, c, p = staged(spark, d)
+def hybrid_rrf(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
+    _, c, p = staged(spark, d, asked)
     return retrieval.fuse(retrieval.dense_leg(p, c), retrieval.sparse_leg(p, c), p)
 
 
 @query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP) + "SELECT query_id, chunk_id, score, rank FROM top")
-def hybrid_boosted(spark: SparkSession, d: str) -> DataFrame:
-    _, c, p = staged(spark, d)
+def hybrid_boosted(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
+    _, c, p = staged(spark, d, asked)
     return retrieval.hybrid(p, c)
 
 
 @query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES) + "SELECT query_id, chunk_id, score::DOUBLE AS score, source::BIGINT AS source FROM cand")
-def summary_children(spark: SparkSession, d: str) -> DataFrame:
+def summary_children(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     """Hits together with the three best children of the summaries among them."""
-    _, c, p = staged(spark, d)
+    _, c, p = staged(spark, d, asked)
     return retrieval.with_children(retrieval.hybrid(p, c), c)
 
 
 @query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK) + "SELECT query_id, chunk_id, rerank_score::DOUBLE AS rerank_score, rank FROM rr")
-def rerank_threshold(spark: SparkSession, d: str) -> DataFrame:
-    _, c, p = staged(spark, d)
+def rerank_threshold(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
+    _, c, p = staged(spark, d, asked)
     return retrieval.rerank(retrieval.with_children(retrieval.hybrid(p, c), c), p, c)
 
 
@@ -133,15 +141,15 @@ def _traversed(work: Work, c: DataFrame, p: DataFrame) -> DataFrame:
 
 
 @query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE) + "SELECT query_id, chunk_id, rerank_score::DOUBLE AS rerank_score, fetched_as FROM tr")
-def traverse_context(spark: SparkSession, d: str) -> DataFrame:
-    return _traversed(*staged(spark, d))
+def traverse_context(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
+    return _traversed(*staged(spark, d, asked))
 
 
 @query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE) + """SELECT mode, count(*) AS n_queries, sum(n_candidates)::BIGINT AS n_candidates, sum(n_reranked)::BIGINT AS n_reranked, sum(n_final)::BIGINT AS n_final FROM p
 LEFT JOIN (SELECT query_id, count(*) AS n_candidates FROM cand GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n_reranked FROM rr GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n_final FROM tr GROUP BY 1) USING (query_id) GROUP BY mode""")
-def retrieval_counters(spark: SparkSession, d: str) -> DataFrame:
+def retrieval_counters(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     """Candidates, re-ranked and final chunks per mode."""
-    work, c, p = staged(spark, d)
+    work, c, p = staged(spark, d, asked)
     cand = work.table(retrieval.with_children(retrieval.hybrid(p, c), c), "hits")
     rr = work.table(retrieval.rerank(cand, p, c), "reranked")
     out = p.select("query_id", "mode")
@@ -166,17 +174,17 @@ def _filled(work: Work, c: DataFrame, p: DataFrame) -> DataFrame:
 
 
 @query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE, _FILL).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT query_id, array_to_string(ids, ',') AS included, used, dropped FROM filled")
-def context_budget_fill(spark: SparkSession, d: str) -> DataFrame:
+def context_budget_fill(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     """The chunks that fill each query's budget, taken in order of priority."""
-    return _filled(*staged(spark, d)).select("query_id", F.array_join("included", ",").alias("included"), "used", "dropped")
+    return _filled(*staged(spark, d, asked)).select("query_id", F.array_join("included", ",").alias("included"), "used", "dropped")
 
 
 @query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE, _FILL).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT query_id, md5(string_agg('--- ' || CASE level WHEN 1 THEN 'SECTION SUMMARY' WHEN 2 THEN 'GROUP SUMMARY' WHEN 3 THEN 'PAPER OVERVIEW' ELSE 'SOURCE' END || ': ' || coalesce(section_title, 'Unknown Section') || ' ---' || chr(10) || text_for_display
  || coalesce(array_to_string(list_transform(equation_latex, lambda e: chr(10) || 'Equation: $$' || e || '$$'), ''), ''), chr(10) || chr(10) ORDER BY seq, level, chunk_id)) AS context_hash, count(*) AS n_blocks, string_agg(DISTINCT section_title, '|' ORDER BY section_title) AS sections
 FROM (SELECT f.query_id, unnest(ids) AS chunk_id FROM filled f) JOIN o USING (query_id, chunk_id) WHERE text_for_display <> '' GROUP BY 1""")
-def context_text(spark: SparkSession, d: str) -> DataFrame:
+def context_text(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     """The formatted context of each query, in reading order."""
-    work, c, p = staged(spark, d)
+    work, c, p = staged(spark, d, asked)
     rows = _filled(work, c, p).select("query_id", F.explode("included").alias("chunk_id")).join(c, "chunk_id").where("text_for_display <> ''")
     blocks = F.array_sort(F.collect_list(F.struct("chunk_sequence_index", "level", "chunk_id", retrieval.context_block().alias("block"))))
     return rows.groupBy("query_id").agg(
@@ -199,3 +207,15 @@ def prompt_text(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce("text_for_display", F.lit("")),
     )
     return retrieval.newest(table(spark, d, "chunks"), columns=("chunk_id", *_COLUMNS)).select(F.col("chunk_id").alias("query_id"), F.length(prompt).alias("n_chars"), F.md5(prompt).alias("prompt_hash"))
+
+
+def _on_all_levels(of):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return of.__wrapped__(spark, d, _ALL)
+
+    run.__name__, run.__doc__ = f"{of.__name__}_all_levels", f"{of.__name__} with the chunks of every level as queries."
+    return run
+
+
+for _of in (dense_search, sparse_search, hybrid_rrf, hybrid_boosted, summary_children, rerank_threshold, traverse_context, retrieval_counters, context_budget_fill, context_text):
+    query(SQL[_of.__name__].replace(_LEAVES, _ALL))(_on_all_levels(_of))

@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from docspark.functions import sections
 
 LEAST, TARGET, MOST = 100, 300, 500
+#: Tokens after which a new part begins in a paper without headers.
+PART = 400
 ATOMIC = ("table", "equation", "figure")
 BOUNDARY, ALONE, MERGED = "hard_chunk_boundary", "self_contained_chunk", ("merge_with_adjacent_text", "merge_with_anchor_element")
 
@@ -172,6 +174,18 @@ def newest_elements(elements: DataFrame) -> DataFrame:
     return one.select("element_id", *[F.col(f"e.{c}").alias(c) for c in keep])
 
 
+def _parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The part of every element of one paper: a new one begins after 400 tokens or more, counted from 0 again."""
+    pdf = pdf.sort_values(["ord", "element_id"])
+    out, held, part = [], 0, 1
+    for n in pdf["size"].tolist():
+        out.append(f"part_{part}")
+        held += n
+        if held >= PART:
+            held, part = 0, part + 1
+    return pd.DataFrame({"element_id": pdf["element_id"].to_numpy(), "part": out})
+
+
 def prepared(elements: DataFrame) -> DataFrame:
     """Treated elements in order, with the text to chunk; papers without a header get synthetic parts every 400 tokens."""
     bad = sections.table_misaligned(F.col("type"), F.col("content.header_row"), F.col("content.rows"))
@@ -189,9 +203,10 @@ def prepared(elements: DataFrame) -> DataFrame:
     w = Window.partitionBy("paper_id").orderBy("ord", "element_id")
     rows = rows.withColumn("next_action", F.lead("action").over(w)).withColumn("n_headers", F.count_if(F.col("type") == "section_header").over(Window.partitionBy("paper_id")))
     size = F.when(F.length("text") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length("text") / 4)))
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = F.concat(F.lit("part_"), (F.floor(before / 400) + 1).cast("string"))
-    return rows.withColumn("title", F.when(F.col("n_headers") == 0, part).otherwise(F.col("given_title")))
+    bare = rows.where("n_headers = 0").select("paper_id", "element_id", "ord", size.cast("bigint").alias("size"))
+    parts = bare.groupBy("paper_id").applyInPandas(_parts, "element_id string, part string")
+    rows = rows.join(parts, "element_id", "left")
+    return rows.withColumn("title", F.when(F.col("n_headers") == 0, F.col("part")).otherwise(F.col("given_title"))).drop("part")
 
 
 def chunk_elements(elements: DataFrame) -> DataFrame:

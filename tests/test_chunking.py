@@ -1,6 +1,6 @@
 import random
 
-from docspark.operators.chunking import BOUNDARY, LEAST, MERGED, MOST, Machine, chunk_elements, cut_at, tokens
+from docspark.operators.chunking import BOUNDARY, LEAST, MERGED, MOST, Machine, chunk_elements, cut_at, prepared, tokens
 
 SCHEMA = """element_id string, paper_id string, type string, location struct<page_no:int,order:int>, section struct<title:string,hierarchy:array<string>>,
 content struct<raw:string,token_count:int,caption:string,header_row:array<string>,rows:array<map<string,string>>>, phase2_ready struct<action:string,text_for_embedding:string>, parsed_at timestamp"""
@@ -51,6 +51,16 @@ def test_no_header_gets_parts(spark):
     assert {r.section_title for r in out} >= {"part_1", "part_2"}
 
 
+def test_parts_count_from_zero_again(spark):
+    sizes = {"p": [390, 390, 390, 390], "q": [1000, 10, 390, 5], "h": [390, 390, 390]}
+    rows = [element(n, "abc " * k, paper=p) for p, ks in sizes.items() for n, k in enumerate(ks)]
+    rows.append(element(9, "Head", kind="section_header", paper="h"))
+    got = {r.element_id: r.title for r in prepared(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[f"p-{n}"] for n in range(4)] == ["part_1", "part_1", "part_2", "part_2"]
+    assert [got[f"q-{n}"] for n in range(4)] == ["part_1", "part_2", "part_2", "part_3"]
+    assert {got[f"h-{n}"] for n in (0, 1, 2, 9)} == {"3 Method"}
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 

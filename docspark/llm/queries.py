@@ -10,6 +10,10 @@ from docspark.sources.tables import table
 from docspark.work import Work
 
 
+#: Members of a class that are one block when its pairs are listed.
+PAIRED_ROWS = 2_000
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_id"), F.col("text_for_embedding").alias("text"))
     elements = table(spark, d, "elements").select(F.lit("elements").alias("item_table"), F.col("element_id").alias("item_id"), F.col("content.raw").alias("text"))
@@ -35,9 +39,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose passages are tied directly or through a chain."""
     work = Work(spark, "p3")
     classes = work.table(_passages(spark, d, work), "classes")
-    shared = classes.join(classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "class")
-    a, b = (shared.select("class", F.col("id").alias(f"chunk_id_{x}")) for x in "ab")
-    return a.join(b, "class").where("chunk_id_a < chunk_id_b").select("chunk_id_a", "chunk_id_b").distinct()
+    sizes = classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
+    # the pairs of a hot class are dealt over pairs of blocks, so that they are many tasks
+    blocks = F.ceil(F.col("n") / PAIRED_ROWS).cast("int")
+    shared = classes.join(sizes, "class").select("class", "id", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = shared.select("class", F.col("own").alias("i"), other.alias("j"), F.col("id").alias("chunk_id_a"))
+    b = shared.select("class", other.alias("i"), F.col("own").alias("j"), F.col("id").alias("chunk_id_b"))
+    return a.join(b, ["class", "i", "j"]).where("chunk_id_a < chunk_id_b").select("chunk_id_a", "chunk_id_b").distinct()
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:

@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import clusters, conversations, lookalike, mixing, near_duplicates, packing, split, tokens
+from docspark.llm.pairs import pairs_within
 from docspark.sources.tables import table
 from docspark.work import Work
 
 
-#: Members of a class that are one block when its pairs are listed.
-PAIRED_ROWS = 2_000
-
-
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_id"), F.col("text_for_embedding").alias("text"))
     elements = table(spark, d, "elements").select(F.lit("elements").alias("item_table"), F.col("element_id").alias("item_id"), F.col("content.raw").alias("text"))
@@ -40,13 +37,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     work = Work(spark, "p3")
     classes = work.table(_passages(spark, d, work), "classes")
     sizes = classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
-    # the pairs of a hot class are dealt over pairs of blocks, so that they are many tasks
-    blocks = F.ceil(F.col("n") / PAIRED_ROWS).cast("int")
-    shared = classes.join(sizes, "class").select("class", "id", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = shared.select("class", F.col("own").alias("i"), other.alias("j"), F.col("id").alias("chunk_id_a"))
-    b = shared.select("class", other.alias("i"), F.col("own").alias("j"), F.col("id").alias("chunk_id_b"))
-    return a.join(b, ["class", "i", "j"]).where("chunk_id_a < chunk_id_b").select("chunk_id_a", "chunk_id_b").distinct()
+    members = classes.join(sizes, "class").withColumnRenamed("id", "chunk_id")
+    return pairs_within(members, "class", "chunk_id").select("chunk_id_a", "chunk_id_b").distinct()
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -121,10 +113,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def _canonical(spark: SparkSession, d: str) -> DataFrame:
+    return Work(spark, "p9").table(lookalike.canonical_texts(table(spark, d, "documents")), "canonical")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same and are written with different characters."""
-    work = Work(spark, "p9")
-    return lookalike.equal_looking_pairs(work.table(lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "digest", "canonical"), "canonical"))
+    return lookalike.equal_looking_pairs(_canonical(spark, d))
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the smallest id that looks the same, and the size of its class."""
+    return lookalike.equal_looking_classes(_canonical(spark, d))
 
 
 def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -132,4 +132,4 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical", (F.md5("canonical") != F.col("digest")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_classes, p4_found, p4_clusters, p5_found, p5_conversations, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_classes, p4_found, p4_clusters, p5_found, p5_conversations, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_classes, p9_canonical)}

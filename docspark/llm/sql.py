@@ -1,11 +1,14 @@
 """DuckDB SQL of those queries that SQL can express on whole tables."""
 
-from docspark.llm.lookalike import CLASSES
-
 _CLOSURE = """, edges AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties), reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)"""
-#: Look-alike letters and their first form, and full-width characters with their ASCII ones, as arguments of translate().
-_FROM = "".join(c for group in CLASSES for c in group[1:]) + "".join(chr(0xFF01 + i) for i in range(94)) + "\u2010\u2011\u00b5"
-_TO = "".join(group[0] for group in CLASSES for _ in group[1:]) + "".join(chr(0x21 + i) for i in range(94)) + "--\u03bc"
+# What each letter on the left is shown like on screen.
+_LIKE = {
+    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "р", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у",
+    "A": "АΑᎪꓮ", "B": "ВΒꓐ", "C": "СϹᏟꓚ", "D": "ꓓᎠ", "E": "ЕΕᎬꓰ", "F": "ꓝϜ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧ", "I": "ІΙӀꓲ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗ", "L": "Ꮮꓡ", "M": "МΜᎷꓟ", "N": "Νꓠ",
+    "O": "ОΟՕꓳ", "P": "РΡᏢꓑ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫ", "Y": "ҮΥꓬ", "Z": "ΖᏃꓜ", "Г": "Γ", "П": "Π", "Ф": "Φ",
+}
+_FROM = "".join(_LIKE.values()) + "".join(chr(0xFF01 + i) for i in range(94)) + "\u2010\u2011\u00b5"
+_TO = "".join(first * len(like) for first, like in _LIKE.items()) + "".join(chr(0x21 + i) for i in range(94)) + "--\u03bc"
 _FORM = f"""nfc_normalize(translate(regexp_replace(regexp_replace(replace(translate(nfc_normalize(text), '{_FROM.replace("'", "''")}', '{_TO.replace("'", "''")}'), chr(13) || chr(10), chr(10)), '[\\pZ\\t]', ' ', 'g'), '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '{_FROM.replace("'", "''")}', '{_TO.replace("'", "''")}'))"""
 
 SQL = {
@@ -19,6 +22,8 @@ up AS (SELECT chunk_id, least(a, chunk_id) AS cluster_key FROM low UNION SELECT
 SELECT cluster_key, chunk_id FROM keyed QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 3""",
     "p9_found": f"""WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p9_classes": f"""WITH f AS (SELECT DISTINCT doc_id, md5(text) AS digest, {_FORM} AS form FROM documents WHERE text IS NOT NULL), n AS (SELECT form, min(doc_id) AS class_id, count(DISTINCT doc_id) AS n_members, count(DISTINCT digest) AS n_texts FROM f GROUP BY 1)
+SELECT DISTINCT f.doc_id, n.class_id, n.n_members, n.n_texts FROM f JOIN n ON n.form = f.form""",
     "p1_found": """SELECT DISTINCT 'chunks' AS item_table, chunk_id AS item_id FROM chunks WHERE length(text_for_embedding) // 4 > 500
 UNION SELECT DISTINCT 'elements', element_id FROM elements WHERE length(content.raw) // 4 > 500""",
     "p5_found": r"""WITH v AS (SELECT DISTINCT ON (id) * FROM chat_messages WHERE session_id IS NOT NULL ORDER BY id, updated_at DESC),

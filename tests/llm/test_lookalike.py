@@ -1,7 +1,7 @@
 import unicodedata
 from collections import Counter
 
-from docspark.llm.lookalike import CLASS_OF, Resolver, canonical_texts, compat, equal_looking_pairs
+from docspark.llm.lookalike import CLASS_OF, SCRIPTS, Resolver, bigram_counts, canonical_texts, compat, equal_looking_classes, equal_looking_pairs, script
 
 CYR = str.maketrans("aeopcyxsij", "аеорсухѕіј")
 
@@ -43,6 +43,40 @@ def test_scripts_are_kept():
     assert r.text("сар") == r.text("cap") == "cap"
 
 
+CORPUS = [
+    *["росс орех сахар горох сорок выборка граница данные модель пехота орехи сахарный уходить"] * 20,
+    *["the process of a model shows text and rows, because a casual spacer teaches search and places"] * 20,
+    *["το κέντρο του κόσμου και η ροή"] * 5,
+]
+
+
+def counted(spark):
+    rows = [(k, t) for k, t in enumerate(CORPUS)]
+    return bigram_counts(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
+def test_scores_decide(spark):
+    """Words that two scripts can spell: the bigrams and the letters around them choose the script, and an empty table chooses otherwise."""
+    full, empty = Resolver(counted(spark)), Resolver({})
+    assert full.text("орех и сахар, горох; сорок ухо") == "орех и сахар, горох; сорок ухо"
+    assert full.text("opex и caxap, горох; copoк yxo") == "орех и сахар, горох; сорок ухо"
+    assert full.text("a space of each case, model") == "a space of each case, model"
+    words = ("oxo", "coc", "cace", "apex", "хоро", "ocox")
+    assert any(full.text(w) != empty.text(w) for w in words)
+
+
+def test_every_letter_of_a_class_has_a_script():
+    for group in {CLASS_OF[c] for c in CLASS_OF}:
+        assert all(script(c) < len(SCRIPTS) for c in group)
+        assert len(set(group)) == len(group)
+
+
+def test_classes(spark):
+    rows = [(1, "the cat"), (2, "the саt"), (3, "the cat"), (4, "The cat"), (5, None), (1, "the cat")]
+    out = equal_looking_classes(canonical_texts(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 3, 2), (2, 1, 3, 2), (3, 1, 3, 2), (4, 4, 1, 1)]
+
+
 def test_form_depends_on_the_look_only():
     r = resolver()
     for word in ("сводка", "node", "рас", "κοσμος", "Тест", "ΑΒΓ"):

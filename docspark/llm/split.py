@@ -26,21 +26,22 @@ CHARS_PER_TOKEN = 4
 HARD_STEP = 250
 
 _WORD = re.compile(r"\S+")
-_SENTENCE_END = re.compile(r"""[.!?…]["'”’»)\]]*$""")
+#: What may close a sentence after its mark.
+_CLOSERS = "\"'”’»)]"
+_MARKS = (".", "!", "?", "…")
 
-SCHEMA = "item_table string, item_id string, piece_no int, n_pieces int, start int, end int, overlap int, token_count int, text string"
+SCHEMA = "item_table string, item_id string, digest string, piece_no int, n_pieces int, start int, end int, overlap int, token_count int, text string"
 
 
 def boundaries(text: str, step: int = HARD_STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """End positions, their rank (0 hard, 1 word, 2 sentence, 3 line, 4 paragraph) and the word starts of ``text``."""
     ends, ranks, starts = [0], [1], []
-    for m in _WORD.finditer(text):
-        s, e = m.span()
+    spans = [m.span() for m in _WORD.finditer(text)]
+    for k, (s, e) in enumerate(spans):
         starts.append(s)
-        gap = text[e : e + 4096]
-        gap = gap[: len(gap) - len(gap.lstrip())]
-        lines = gap.count("\n") or gap.count("\r")
-        rank = 4 if lines > 1 else 3 if lines else 2 if _SENTENCE_END.search(text[max(s, e - 8) : e]) else 1
+        nxt = spans[k + 1][0] if k + 1 < len(spans) else len(text)
+        lines = text.count("\n", e, nxt) or text.count("\r", e, nxt)
+        rank = 4 if lines > 1 else 3 if lines else 2 if text[s:e].rstrip(_CLOSERS).endswith(_MARKS) else 1
         ends.append(e)
         ranks.append(rank)
     if ends[-1] != len(text):
@@ -97,10 +98,10 @@ def _splitter(limit_tokens: int, overlap_tokens: int) -> Callable[[Iterator[pd.D
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, held = [], 0
-            for name, item, text in zip(pdf["item_table"], pdf["item_id"], pdf["text"]):
+            for name, item, digest, text in zip(pdf["item_table"], pdf["item_id"], pdf["digest"], pdf["text"]):
                 pieces = cut(text, limit, overlap)
                 for i, (s, e) in enumerate(pieces):
-                    rows.append((name, item, i, len(pieces), s, e, pieces[i - 1][1] - s if i else 0, (e - s) // CHARS_PER_TOKEN, text[s:e]))
+                    rows.append((name, item, digest, i, len(pieces), s, e, pieces[i - 1][1] - s if i else 0, (e - s) // CHARS_PER_TOKEN, text[s:e]))
                     held += e - s
                 if held > 8_000_000:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -117,9 +118,9 @@ def split_oversized(items: DataFrame, limit_tokens: int = LIMIT_TOKENS, overlap_
     a piece repeats the last ``overlap`` characters of the one before, so the text is the
     first piece followed by every later one without its overlap. Null and empty texts and those
     within the limit give no piece. Rows with the same id and text count once; the same id with
-    another text is another item. Texts without any blank are cut hard. Null ids stay null.
+    another text is another item, told apart by ``digest``. Texts without any blank are cut hard. Null ids stay null.
     """
     big = items.select("item_table", "item_id", "text").where(F.floor(F.length("text") / CHARS_PER_TOKEN) > limit_tokens)
     # repeats are found by a digest, so that equal texts aren't compared as grouping keys
-    once = big.groupBy("item_table", "item_id", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text")).drop("digest")
+    once = big.groupBy("item_table", "item_id", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"))
     return once.mapInPandas(_splitter(limit_tokens, overlap_tokens), SCHEMA)

@@ -77,3 +77,21 @@ def test_operator(spark):
 
 def test_empty(spark):
     assert split_oversized(spark.createDataFrame([], "item_table string, item_id string, text string")).count() == 0
+
+
+def test_a_paragraph_after_many_blanks_and_a_sentence_with_many_closers():
+    text = "word" + " " * 5000 + "\n\n" + "next"
+    at, rank, _ = boundaries(text)
+    assert rank[at.tolist().index(4)] == 4
+    text = "end." + "\"')]" * 10 + " next"
+    at, rank, _ = boundaries(text)
+    assert rank[at.tolist().index(44)] == 2
+
+
+def test_an_id_with_two_texts(spark):
+    rows = [("chunks", "a", "x " * 1500), ("chunks", "a", "y " * 1500), ("chunks", "a", "x " * 1500)]
+    out = split_oversized(spark.createDataFrame(rows, "item_table string, item_id string, text string")).collect()
+    texts = {}
+    for r in out:
+        texts.setdefault(r.digest, {})[r.piece_no] = r.text[r.overlap :]
+    assert sorted("".join(p[k] for k in sorted(p)) for p in texts.values()) == ["x " * 1500, "y " * 1500]

@@ -1,42 +1,48 @@
 """Rebuilding conversations from message rows with keyed streaming state.
 
-Session headers and message rows form one stream of arrivals. State is kept by
-session (sessions share a key in small shards, so that not every one costs a call):
-the newest version of each message is buffered, late arrivals included,
-until the event-time watermark passes the session's last event by the timeout;
-then the session is put in order, validated and emitted. A bounded replay ends
-with a closing row whose event time lies beyond all timeouts.
-
-A session with more rows than ``hot`` is spread over several lanes (by message id,
-so that versions of a message meet). Its lanes emit surviving messages only; these are
-range-sorted by session and time, checked per partition, and the partitions'
-summaries (first role, last role, alternation) are joined in order.
+Message rows form one stream in the order of their arrival. State is kept by session
+(sessions share a key in small shards, so that not every one costs a call): the newest version of
+each message is buffered, late arrivals included, until the event-time watermark passes
+the session's last event by the timeout; then the session is put in order, validated
+and emitted, and its state is dropped. So the state holds the sessions that are open, not the table. A bounded replay
+reads the rows in slices of arrival time and ends with a row beyond all timeouts.
+
+Nothing is lost to the watermark: a verdict says how many rows it saw. A session whose rows
+are more (some were later than the watermark, or came after it had closed) is a correction: it is judged again from
+all its rows. So is a session with more rows than ``hot``, which no key's state could hold. Both are range-sorted
+by session and time, checked per partition, and the partitions' summaries (first role, last role,
+alternation) are joined in order.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from docspark.work import Work
 
-#: Rows of one session from which it is spread over lanes, each of about so many rows.
+#: Rows of one session from which it is not held in state but sorted by ranges.
 HOT = 20_000
-TIMEOUT_S = 1800
-FILES_PER_BATCH = 64
+#: Quiet time that closes a session, and how far rows may be out of order before they are late.
+TIMEOUT_S, DELAY_S = 1800, 3600
 #: Rows of a shard: sessions share keyed state in shards of about so many rows.
 SHARD_ROWS = 1_000
+#: Slices a replay has at least and at most, rows of a slice, and of a file.
+SLICES, SLICE_ROWS, FILE_ROWS = (6, 64), 1_000_000, 250_000
 
-ARRIVAL = "shard int, session_id string, lane int, kind string, id string, role string, content string, blank boolean, deleted boolean, created_at timestamp, updated_at timestamp, cleared_at timestamp, event_time timestamp"
-OUT = "session_id string, kind string, position long, id string, role string, content string, blank boolean, created_at timestamp, n_messages long, reason string"
+ARRIVAL = "shard int, session_id string, id string, role string, content string, blank boolean, deleted boolean, created_at timestamp, updated_at timestamp, cleared_at timestamp, event_time timestamp"
+_ARRIVAL = [c.split()[0] for c in ARRIVAL.split(", ")]
+OUT = "session_id string, kind string, position long, id string, role string, content string, created_at timestamp, n_rows long, n_messages long, reason string"
 _OUT = [c.split()[0] for c in OUT.split(", ")]
 _FAR = pd.Timestamp("1970-01-01")
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 REASONS = ("empty", "unknown role", "blank content", "no exchange", "does not start with user", "does not alternate", "does not end with assistant")
 
@@ -59,63 +65,52 @@ def judge(messages: list[tuple[str | None, bool]]) -> str | None:
     return None if talk[-1] == "assistant" else "does not end with assistant"
 
 
-def _live(seen: dict, cleared) -> list[tuple]:
-    """Of the buffered versions those not deleted and later than the clearing, in order."""
-    kept = []
-    for key, (_, created, role, content, blank, deleted) in seen.items():
-        if not deleted and (cleared is None or (created is not None and created > cleared)):
-            kept.append((created or _FAR, key, created, role, content, blank))
-    kept.sort(key=lambda x: x[:2])
-    return kept
-
-
 def _none(x):
     return None if x is None or x is pd.NaT or x != x else x
 
 
-def _emitted(session: str, lane: int, seen: dict, cleared) -> list[tuple]:
-    """The rows of a session that closes."""
-    live = _live(seen, cleared)
-    if lane >= 0:  # a lane of a hot session
-        rows = [(session, "header", None, None, None, None, None, None, None, None)]
-        return rows + [(session, "part", None, k, role, content, blank, created, None, None) for _, k, created, role, content, blank in live]
+def _closed(session: str, seen: dict, cleared, n_rows: int) -> list[tuple]:
+    """The rows of a session that closes: its verdict, and its messages in order if it is kept."""
+    live = []
+    for key, (_, created, role, content, blank, deleted) in seen.items():
+        if not deleted and (cleared is None or (created is not None and created > cleared)):
+            live.append((created or _FAR, key, created, role, content, blank))
+    live.sort(key=lambda x: x[:2])
     reason = judge([(x[3], x[5]) for x in live])
-    rows = [(session, "verdict", None, None, None, None, None, None, len(live), reason)]
+    rows = [(session, "verdict", None, None, None, None, None, n_rows, len(live), reason)]
     if reason is None:
-        rows += [(session, "message", n, k, role, content, blank, created, None, None) for n, (_, k, created, role, content, blank) in enumerate(live)]
+        rows += [(session, "message", n, k, role, content, created, None, None, None) for n, (_, k, created, role, content, _) in enumerate(live)]
     return rows
 
 
 def _assemble(timeout_ms: int):
-    """One shard of sessions: ``held`` maps a session to its buffered versions, its clearing and its last event (ms)."""
+    """One shard of sessions: ``held`` maps a session to its buffered versions, its clearing, its last event (ms) and its number of rows."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lane = key[1]
         held = pickle.loads(state.get[0]) if state.exists else {}
         if state.hasTimedOut:
             now = state.getCurrentWatermarkMs()
-            closed = [s for s, (_, _, last) in held.items() if last + timeout_ms <= now]
-            rows = [r for s in closed for r in _emitted(s, lane, *held.pop(s)[:2])]
+            rows = []
+            for s in [s for s, (_, _, last, _) in held.items() if last + timeout_ms <= now]:
+                seen, cleared, _, n = held.pop(s)
+                rows += _closed(s, seen, cleared, n)
             if rows:
                 yield pd.DataFrame(rows, columns=_OUT)
         else:
             for pdf in batches:
-                for session, kind, mid, role, content, blank, deleted, created, updated, clear, event in zip(*(pdf[c] for c in ("session_id", "kind", "id", "role", "content", "blank", "deleted", "created_at", "updated_at", "cleared_at", "event_time"))):
-                    if kind == "end":
+                for session, mid, role, content, blank, deleted, created, updated, clear, event in zip(*(pdf[c] for c in ("session_id", "id", "role", "content", "blank", "deleted", "created_at", "updated_at", "cleared_at", "event_time"))):
+                    if session is None:
                         return
-                    mine = held.setdefault(session, [{}, None, 0])
+                    mine = held.setdefault(session, [{}, _none(clear), 0, 0])
                     mine[2] = max(mine[2], int(event.value // 1_000_000))
-                    if kind == "header":
-                        clear = _none(clear)
-                        mine[1] = clear if mine[1] is None else max(mine[1], clear or mine[1])
-                        continue
+                    mine[3] += 1
                     stamp = _none(updated) or _FAR
                     seen = mine[0]
                     if mid not in seen or stamp > seen[mid][0]:
                         seen[mid] = (stamp, _none(created), _none(role), _none(content), bool(blank), bool(deleted))
         if held:
             state.update((pickle.dumps(held),))
-            state.setTimeoutTimestamp(max(min(last for _, _, last in held.values()) + timeout_ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(min(last for _, _, last, _ in held.values()) + timeout_ms, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
 
@@ -135,82 +130,92 @@ def is_blank(content: Column) -> Column:
 
 
 def arrivals(messages: DataFrame, sessions: DataFrame, aliases: DataFrame, hot: int = HOT) -> DataFrame:
-    """Headers and message rows in the form of :data:`ARRIVAL`; event times may be null."""
-    sizes = messages.groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("session_id", F.ceil(F.col("n") / hot).cast("int").alias("lanes"))
+    """Message rows with clean roles, the session's ``cleared_at``, when they happened and when they arrived, and whether their session is ``hot``."""
     given = F.coalesce("id", F.concat(F.lit("?"), F.xxhash64("created_at", "role", "content").cast("string")))
     own = messages.where("session_id is not null").select("session_id", given.alias("id"), "role", "content", F.col("deleted_at").isNotNull().alias("deleted"), *[F.col(c).cast("timestamp").alias(c) for c in ("created_at", "updated_at")])
-    own = clean_role(F.col("role"), aliases, own).join(sizes, "session_id", "left")
-    none = F.lit(None)
-    rows = own.select(
-        "session_id",
-        F.when(F.col("lanes").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.col("lanes"))).cast("int").alias("lane"),
-        F.lit("message").alias("kind"),
-        *("id", "role", "content"),
+    large = own.groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("session_id", F.lit(True).alias("hot"))
+    cleared = sessions.where("id is not null and cleared_at is not null").groupBy(F.col("id").alias("session_id")).agg(F.max(F.col("cleared_at").cast("timestamp")).alias("cleared_at"))
+    rows = clean_role(F.col("role"), aliases, own).join(large, "session_id", "left").join(cleared, "session_id", "left")
+    return rows.select(
+        *("session_id", "id", "role", "content"),
         is_blank(F.col("content")).alias("blank"),
-        *("deleted", "created_at", "updated_at"),
-        none.cast("timestamp").alias("cleared_at"),
+        *("deleted", "created_at", "updated_at", "cleared_at"),
         F.col("created_at").alias("event_time"),
+        F.coalesce("updated_at", "created_at").alias("arrived"),
+        F.coalesce("hot", F.lit(False)).alias("hot"),
     )
-    lanes = F.when(F.col("lanes").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("lanes") - 1))
-    heads = sessions.where("id is not null").select(F.col("id").alias("session_id"), F.col("cleared_at").cast("timestamp").alias("cleared_at"), F.col("created_at").cast("timestamp").alias("event_time"))
-    heads = heads.join(sizes, "session_id", "left").select(
-        "session_id",
-        F.explode(lanes).alias("lane"),
-        F.lit("header").alias("kind"),
-        *[none.cast("string").alias(c) for c in ("id", "role", "content")],
-        *[none.cast("boolean").alias(c) for c in ("blank", "deleted")],
-        *[none.cast("timestamp").alias(c) for c in ("created_at", "updated_at")],
-        *("cleared_at", "event_time"),
-    )
-    return heads.unionByName(rows)
 
 
-def rebuild(messages: DataFrame, sessions: DataFrame, aliases: DataFrame, work: Work, hot: int = HOT, delay_s: int | None = None, timeout_s: int = TIMEOUT_S) -> tuple[DataFrame, DataFrame]:
+def _stream(spark: SparkSession, feed: str, sink: str, stated: str, delay_s: int, timeout_s: int, files: int, progress: list | None) -> None:
+    """Runs the stateful query over what ``feed`` holds, ``files`` files a batch; state is in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, _ROCKS)
+    try:
+        stream = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files).parquet(feed)
+        emitted = (
+            stream.withWatermark("event_time", f"{delay_s} seconds")
+            .groupBy("shard")
+            .applyInPandasWithState(_assemble(timeout_s * 1000), OUT, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+        )
+        query = emitted.writeStream.format("parquet").option("path", sink).option("checkpointLocation", stated).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if progress is not None:
+            progress += query.recentProgress
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def rebuild(
+    messages: DataFrame, sessions: DataFrame, aliases: DataFrame, work: Work, hot: int = HOT, delay_s: int = DELAY_S, timeout_s: int = TIMEOUT_S, slices: int | None = None, progress: list | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(verdicts, conversation)``: ``(session_id, n_messages, reason)`` of every session id in either table, and the ordered messages ``(session_id, position, id, role, content, created_at)`` of those kept (``reason`` null).
 
     Newest version per message id; without deleted messages and those not later than the
-    session's ``cleared_at``; order by creation, then id. ``delay_s`` is the watermark's delay: rows later
-    than that are lost to the state, so a replay of a table takes the table's whole span of time if
-    none is given. Null ids of messages count as one message per distinct row, null creation as
-    the earliest time (dropped where the session was cleared), null session ids are left out.
-    Empty tables give empty results.
+    session's ``cleared_at``; order by creation, then id. A row arrives when it was last written (``updated_at``) and
+    happened when it was created. ``delay_s`` is the watermark's delay, ``timeout_s`` the quiet time that closes a
+    session; both decide when a session is first judged, never the result. Null ids of messages count as one message per
+    distinct row, null creation as the earliest time (dropped where the session was cleared), null session ids are left out.
+    Empty tables give empty results. ``progress`` receives the reports of the streaming batches.
     """
     spark = work.spark
-    rows = work.table(arrivals(messages, sessions, aliases, hot), "arrivals-raw")
-    low, high, n = rows.agg(F.min("event_time"), F.max("event_time"), F.count("*")).first()
+    log = work.table(arrivals(messages, sessions, aliases, hot), "arrivals")
+    low, high, n = log.agg(F.min("event_time"), F.max("event_time"), F.count("*")).first()
     epoch = F.lit("1970-01-02 00:00:00").cast("timestamp")
-    if delay_s is None:
-        delay_s = int((high - low).total_seconds()) + 1 if low is not None else 1
-    feed, stated, sink = work.path("arrivals"), work.path("state"), work.path("emitted")
     first = F.lit(low).cast("timestamp") if low is not None else epoch
     shard = F.pmod(F.xxhash64(F.lit("shard"), "session_id"), F.lit(max(1, n // SHARD_ROWS))).cast("int")
-    ready = rows.withColumn("event_time", F.coalesce("event_time", first)).withColumn("shard", shard)
-    columns = [c.split()[0] for c in ARRIVAL.split(", ")]
-    ready.select(*columns).write.parquet(feed)
-    work.drop(rows)
-
-    def run() -> None:
-        stream = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(feed)
-        emitted = (
-            stream.withWatermark("event_time", f"{delay_s} seconds")
-            .groupBy("shard", "lane")
-            .applyInPandasWithState(_assemble(timeout_s * 1000), OUT, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
-        )
-        query = emitted.writeStream.format("parquet").option("path", sink).option("checkpointLocation", stated).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-
-    run()
+    at = F.coalesce(F.unix_micros("arrived"), F.lit(-(1 << 62)))
+    ready = log.where("not hot").withColumn("event_time", F.coalesce("event_time", first)).withColumn("shard", shard).withColumn("at", at)
+    feed, stated, sink = work.path("feed"), work.path("state"), work.path("emitted")
+    slices = slices or min(SLICES[1], max(SLICES[0], n // SLICE_ROWS))
+    files = math.ceil(max(1, n) / slices / FILE_ROWS)
+    cuts = ready.agg(F.percentile_approx("at", [k / slices for k in range(1, slices)], 10_000)).first()[0] if slices > 1 else None
+    bounds = [None, *sorted(set(cuts or [])), None]
+    for since, until in zip(bounds, bounds[1:]):
+        part = ready if since is None else ready.where(F.col("at") > since)
+        part = part if until is None else part.where(F.col("at") <= until)
+        part.select(*_ARRIVAL).coalesce(files).write.mode("append").parquet(feed)
+    # the end of the replay
     past = (F.lit(high).cast("timestamp") if high is not None else epoch) + F.make_dt_interval(secs=F.lit(2 * (delay_s + timeout_s) + 60))
-    end = spark.range(1).select(F.lit(-1).alias("shard"), F.lit("").alias("session_id"), F.lit(-2).alias("lane"), F.lit("end").alias("kind"), past.alias("event_time"))
-    full = end.select(*[F.col(c.split()[0]) if c.split()[0] in end.columns else F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ARRIVAL.split(", ")])
-    full.coalesce(1).write.mode("append").parquet(feed)
-    run()
+    end = spark.range(1).select(F.lit(-1).alias("shard"), past.alias("event_time"))
+    end.select(*[F.col(c) if c in end.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in ARRIVAL.split(", "))]).coalesce(1).write.mode("append").parquet(feed)
+    _stream(spark, feed, sink, stated, delay_s, timeout_s, files, progress)
 
     out = spark.read.schema(OUT).parquet(sink)
-    verdicts = out.where("kind = 'verdict'").select("session_id", "n_messages", "reason")
-    told = out.where("kind = 'message'").select("session_id", "position", "id", "role", "content", "created_at")
-    hot_verdicts, hot_told = _hot_sessions(out, work)
-    return verdicts.unionByName(hot_verdicts), told.unionByName(hot_told)
+    sizes = log.groupBy("session_id").agg(F.count("*").alias("n"), F.bool_or("hot").alias("hot"))
+    judged = out.where("kind = 'verdict'").groupBy("session_id").agg(F.count("*").alias("closings"), F.max("n_rows").alias("n_rows"), F.max_by("n_messages", "n_rows").alias("n_messages"), F.max_by("reason", "n_rows").alias("reason"))
+    every = work.table(sizes.join(judged, "session_id", "left").withColumn("whole", F.coalesce((F.col("closings") == 1) & (F.col("n_rows") == F.col("n")), F.lit(False))), "judged")
+    whole = every.where("whole")
+    verdicts = whole.select("session_id", "n_messages", "reason")
+    told = out.where("kind = 'message'").join(whole.where("reason is null").select("session_id"), "session_id", "left_semi").select("session_id", "position", "id", "role", "content", "created_at")
+    again = every.where("not whole").select("session_id")
+    more_verdicts, more_told = _by_ranges(log.join(again, "session_id", "left_semi"), again, work)
+    unused = sessions.where("id is not null").select(F.col("id").alias("session_id")).distinct().join(sizes.select("session_id"), "session_id", "left_anti")
+    unused = unused.select("session_id", F.lit(0).cast("long").alias("n_messages"), F.lit(REASONS[0]).alias("reason"))
+    return verdicts.unionByName(more_verdicts).unionByName(unused), told.unionByName(more_told)
 
 
 _SEGMENT = "session_id string, kind string, segment int, position long, id string, role string, content string, created_at timestamp, n long, first_role string, last_role string, alternates boolean, known boolean, filled boolean"
@@ -236,10 +241,14 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(k, "segment", s[0], None, None, None, None, None, *s[1:]) for k, s in held.items()], columns=names)
 
 
-def _hot_sessions(out: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
-    parts = out.where("kind = 'part'").repartitionByRange(F.col("session_id"), F.col("created_at").asc_nulls_first(), F.col("id"))
+def _by_ranges(rows: DataFrame, ids: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
+    """Verdicts and messages of the sessions ``ids`` from all their ``rows``."""
+    keep = ["role", "content", "blank", "deleted", "created_at", "cleared_at"]
+    newest = rows.groupBy("session_id", "id").agg(F.max_by(F.struct(*keep), F.coalesce(F.unix_micros("updated_at"), F.lit(0))).alias("m")).select("session_id", "id", "m.*")
+    live = newest.where("not deleted and (cleared_at is null or created_at > cleared_at)")
+    parts = live.repartitionByRange(F.col("session_id"), F.col("created_at").asc_nulls_first(), F.col("id"))
     parts = parts.sortWithinPartitions(F.col("session_id"), F.col("created_at").asc_nulls_first(), F.col("id")).withColumn("segment", F.spark_partition_id())
-    cut = work.table(parts.select("session_id", "segment", "id", "role", "content", "blank", "created_at").mapInPandas(_segments, _SEGMENT), "hot")
+    cut = work.table(parts.select("session_id", "segment", "id", "role", "content", "blank", "created_at").mapInPandas(_segments, _SEGMENT), "sorted")
     before = Window.partitionBy("session_id").orderBy("segment")  # as many rows as a session has range partitions
     talk = Window.partitionBy("session_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     seg = cut.where("kind = 'segment'").withColumn("offset", F.sum("n").over(before) - F.col("n")).withColumn("previous", F.last("last_role", ignorenulls=True).over(talk))
@@ -261,8 +270,7 @@ def _hot_sessions(out: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
         .when(~F.col("alternates"), turns)
         .when(F.col("last_role") != "assistant", finish)
     )
-    lanes = out.where("kind = 'header'").select("session_id").distinct()
-    verdicts = lanes.join(one, "session_id", "left").select("session_id", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), reason.alias("reason"))
+    verdicts = ids.join(one, "session_id", "left").select("session_id", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), reason.alias("reason"))
     kept = verdicts.where("reason is null").select("session_id")
     told = cut.where("kind = 'message'").join(seg.select("session_id", "segment", "offset"), ["session_id", "segment"]).join(kept, "session_id", "left_semi")
     return verdicts, told.select("session_id", (F.col("position") + F.col("offset")).alias("position"), "id", "role", "content", "created_at")

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
+from docspark.llm import conversations
 from docspark.llm.conversations import judge, rebuild
 
 MESSAGES = "id string, session_id string, role string, content string, deleted_at timestamp, created_at timestamp, updated_at timestamp, lane int, kind string"
@@ -72,6 +73,36 @@ def test_against_brute_force(spark, work, hot):
     assert got == {s: ids for s, (x, ids) in want.items() if x is None}
 
 
+def test_late_rows_timeouts_and_many_batches(spark, work, monkeypatch):
+    """Sessions close by timeout while the replay runs, the state shrinks again, and rows later than the watermark change the verdict all the same."""
+    messages, sessions = [], []
+    for k in range(240):
+        sid, at = f"s{k:03d}", T0 + timedelta(hours=6 * k)
+        sessions.append((sid, None, at, "x"))
+        for t, role in enumerate(("user", "assistant", "user", "assistant")):
+            when = at + timedelta(seconds=30 * t)
+            messages.append((f"{sid}-{t}", sid, role, "hello", None, when, when, 1, "k"))
+    late = T0 + timedelta(days=50)
+    messages.append(("s003-1", "s003", "assistant", " ", None, T0 + timedelta(hours=18, seconds=30), late, 1, "k"))  # edited to nothing long after its session closed
+    messages.append(("s005-4", "s005", "user", "and?", None, T0 + timedelta(hours=30, seconds=150), late, 1, "k"))  # arrives weeks late
+    messages.append(("s239-4", "s239", "user", "later", None, T0 + timedelta(hours=6 * 239 + 9), T0 + timedelta(hours=6 * 239 + 9), 1, "k"))  # comes when its session has been quiet for long
+    monkeypatch.setattr(conversations, "SHARD_ROWS", 4)
+    reports: list = []
+    frames = spark.createDataFrame(messages, MESSAGES).repartition(3), spark.createDataFrame(sessions, SESSIONS), spark.createDataFrame(ALIASES, "alias string, role string")
+    verdicts, told = rebuild(*frames, work, slices=8, progress=reports)
+    want = brute(messages, sessions)
+    assert {r.session_id: (r.reason is None, r.n_messages) for r in verdicts.collect()} == {s: (x is None, len(ids)) for s, (x, ids) in want.items()}
+    assert {s for s, (x, _) in want.items() if x is not None} == {"s003", "s005", "s239"}
+    assert told.count() == 237 * 4
+    state = [(r.batchId, r.stateOperators[0]) for r in reports if r.stateOperators]
+    assert len(state) >= 8
+    assert sum(s.numRowsDroppedByWatermark for _, s in state) >= 2
+    # the state holds what is open, never the table, and is dropped before the end of the replay
+    totals = [s.numRowsTotal for _, s in state]
+    assert totals[-1] == 0 and max(totals) < 0.5 * 240
+    assert sum(s.numRowsRemoved for _, s in state[:-2]) > 0.5 * 150
+
+
 def test_empty(spark, work):
     verdicts, told = rebuild(spark.createDataFrame([], MESSAGES), spark.createDataFrame([], SESSIONS), spark.createDataFrame(ALIASES, "alias string, role string"), work)
     assert verdicts.count() == 0 and told.count() == 0

@@ -4,10 +4,10 @@ Every node whose hash falls on a residue is a *splitter*. All nodes walk up to
 their next splitter or root (a walk that doubles its stride each round and is
 absorbed there); the splitters' walks form a reduced pointer graph, which is
 solved by the same doubling; root, depth and path of a node are then its own walk
-followed by its splitter's. A node that has walked at least as many steps as
-there are unabsorbed nodes can only be circling: in the full graph that is a
-splitterless circle (or hangs below one), in the reduced graph a circle that has
-splitters. Both take the smallest id seen once around as the circle's name.
+followed by its splitter's. The smallest node of a circle meets itself as soon as a stride
+is as long as the circle; it names the circle, and everything whose walk has led there leaves the
+walk at once: in the full graph that is a splitterless circle and what hangs below it, in the reduced
+graph a circle that has splitters. So what a circle costs depends on its length and not on how many there are.
 """
 
 from __future__ import annotations
@@ -42,37 +42,52 @@ def _is_splitter(c: str) -> Column:
 
 
 def _double(start: DataFrame, work: Work, paths: bool, name: str) -> tuple[list[DataFrame], DataFrame | None]:
-    """Doubles ``(node, ptr, hops, low, stop[, path])`` until every pointer stands on a stop or only circles are left.
+    """Doubles ``(node, ptr, hops, mark, low, stop[, path])`` until every pointer stands on a stop or is known to circle.
 
-    ``low`` is the smallest id of the nodes passed (ptr excluded), ``path`` the ids
-    passed from below ptr down to the node. Returns the absorbed parts and the circling
-    rest (None if there is none).
+    ``mark`` is the smallest of the nodes met that have a row here (the node itself excluded, ptr included), ``low`` that of all
+    nodes passed, ``path`` the ids passed from below ptr down to the node. Returns the absorbed parts and ``(node, root)`` of
+    what is on a circle or below one, root being the circle's smallest id (None if there is no circle).
     """
-    columns = ["node", "ptr", "hops", "low"] + ["path"] * paths
-    done: list[DataFrame] = [start.where("stop").select(*columns)]
+    columns = ["node", "ptr", "hops", "mark", "low"] + ["path"] * paths
+    absorbed: list[DataFrame] = [start.where("stop").select(*columns)]
     active = work.table(start.where("not stop").select(*columns), name)
-    steps, n = 1, active.count()
-    absorbed = [done[0]]
-    # what a pointer may meet: rows still walking, and rows absorbed in an earlier round
-    while n and steps < n:
+    lost: list[DataFrame] = []
+    while True:
+        n, met = active.agg(F.count("*"), F.count_if(F.col("mark") == F.col("node"))).first()
+        if met:
+            rings = active.where("mark = node").select("mark", F.col("low").alias("root"))
+            lost.append(work.table(active.join(rings, "mark").select("node", "root"), name))
+            before, active = active, work.table(active.join(lost[-1], "node", "left_anti"), name)
+            work.drop(before)
+        if not n:
+            break
+        # what a pointer may meet: rows still walking, rows absorbed in an earlier round, and circles
         known = active.withColumn("stop", F.lit(False))
         for part in absorbed:
             known = known.unionByName(part.withColumn("stop", F.lit(True)))
-        k = known.select(F.col("node").alias("ptr"), F.col("ptr").alias("k_ptr"), F.col("hops").alias("k_hops"), F.col("low").alias("k_low"), "stop", *[F.col("path").alias("k_path")] * paths)
+        known = known.withColumn("root", F.lit(None).cast(start.schema["node"].dataType))
+        for part in lost:
+            known = known.unionByName(part, allowMissingColumns=True)
+        k = known.select(F.col("node").alias("ptr"), *[F.col(c).alias(f"k_{c}") for c in columns[1:]], "stop", "root")
         step = active.join(k, "ptr").select(
             "node",
             F.col("k_ptr").alias("ptr"),
-            F.least(F.col("hops") + F.col("k_hops"), F.lit(1 << 60)).alias("hops"),
+            (F.col("hops") + F.col("k_hops")).alias("hops"),
+            F.least("mark", "k_mark").alias("mark"),
             F.least("low", "k_low").alias("low"),
+            *[F.when(F.col("root").isNull(), F.concat("k_path", "path")).alias("path")] * paths,
             "stop",
-            *[F.concat("k_path", "path").alias("path")] * paths,
+            "root",
         )
         step = work.table(step, name)
         absorbed.append(step.where("stop").select(*columns))
+        lost.append(step.where("root is not null").select("node", "root"))
         before, active = active, step.where("not stop").select(*columns)
         work.drop(before)
-        n, steps = active.count(), steps * 2
-    return absorbed, active if n else None
+    circles = None
+    for part in lost:
+        circles = part if circles is None else circles.unionByName(part)
+    return absorbed, circles
 
 
 def hierarchy(links: DataFrame, work: Work, paths: bool = True) -> DataFrame:
@@ -90,7 +105,8 @@ def hierarchy(links: DataFrame, work: Work, paths: bool = True) -> DataFrame:
         "node",
         "ptr",
         F.lit(1).cast("long").alias("hops"),
-        F.col("node").alias("low"),
+        F.col("ptr").alias("mark"),
+        F.col("ptr").alias("low"),
         *[F.array("node").alias("path")] * paths,
         (F.coalesce("end", F.lit(False)) | _is_splitter("ptr")).alias("stop"),
     )
@@ -103,7 +119,7 @@ def hierarchy(links: DataFrame, work: Work, paths: bool = True) -> DataFrame:
     reduced = own.where(_is_splitter("node")).join(ends, "ptr", "left").withColumn("end", F.coalesce("end", F.lit(False)))
     if loose is not None:  # a splitter below a splitterless circle cannot be walked on to an end; it is one
         reduced = reduced.join(loose.select(F.col("node").alias("ptr"), F.lit(True).alias("lost")), "ptr", "left").withColumn("end", F.col("end") | F.coalesce("lost", F.lit(False))).drop("lost")
-    reduced = work.table(reduced.withColumnRenamed("end", "stop"), "reduced")
+    reduced = work.table(reduced.withColumn("mark", F.col("ptr")).withColumnRenamed("end", "stop"), "reduced")
     solved, rings = _double(reduced, work, paths, "reduced")
     top = solved[0]
     for part in solved[1:]:
@@ -117,8 +133,7 @@ def hierarchy(links: DataFrame, work: Work, paths: bool = True) -> DataFrame:
     circles = None
     for part in (loose, rings):
         if part is not None:
-            around = part.select(F.col("node").alias("ptr"), F.col("low").alias("root"))
-            named_part = part.join(around, "ptr").select("node", "root", F.lit(-1).cast("long").alias("depth"), *[blank.alias("path")] * paths)
+            named_part = part.select("node", "root", F.lit(-1).cast("long").alias("depth"), *[blank.alias("path")] * paths)
             circles = named_part if circles is None else circles.unionByName(named_part)
     if circles is not None:
         circles = work.table(circles, "circles")

@@ -11,18 +11,20 @@ from docspark.sources.tables import table
 from docspark.work import Work
 
 
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    rows, work = table(spark, d, "chunks").select("chunk_id", "parent_ids", "children_ids"), Work(spark, "p2")
+    return work.table(hierarchy(links_of(rows), work), "tree")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks on or below a circle of links, or more than 3 links below their root."""
-    rows = table(spark, d, "chunks").select("chunk_id", "parent_ids", "children_ids")
-    tree = hierarchy(links_of(rows), Work(spark, "p2"), paths=False)
+    tree = _tree(spark, d)
     return tree.where("on_cycle or depth > 3").select(F.col("node").alias("chunk_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("hops"))
 
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk with parent, root, depth, path and number of descendants."""
-    rows = table(spark, d, "chunks").select("chunk_id", "parent_ids", "children_ids")
-    work = Work(spark, "p2")
-    tree = work.table(hierarchy(links_of(rows), work), "tree")
+    tree = _tree(spark, d)
     below = descendants(tree).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
     return tree.join(below, "node", "left").select(
         F.col("node").alias("chunk_id"),
@@ -36,8 +38,7 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk with each of its descendants and their distance."""
-    rows = table(spark, d, "chunks").select("chunk_id", "parent_ids", "children_ids")
-    out = descendants(hierarchy(links_of(rows), Work(spark, "p2")))
+    out = descendants(_tree(spark, d))
     return out.select("ancestor", F.col("node").alias("descendant"), F.col("distance").cast("long").alias("distance"))
 
 

@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docspark.operators.hierarchy import descendants, hierarchy, links_of
+from docspark.work import Work
 
 
 def brute(parent: dict) -> dict:
@@ -43,6 +45,29 @@ def test_random_forests_with_circles(spark, work):
     assert run(spark, work, parent) == brute(parent)
 
 
+class Counting(Work):
+    """Counts rows and path entries of all intermediate tables."""
+
+    rows = ids = 0
+
+    def table(self, df, name):
+        out = super().table(df, name)
+        self.rows += out.count()
+        if "path" in out.columns:
+            self.ids += out.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.size(F.coalesce("path", F.array())))), F.lit(0))).first()[0]
+        return out
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_many_small_circles_cost_rows_in_proportion(spark, n):
+    work = Counting(spark, "circles")
+    name = lambda c, k: F.concat(F.lit("c"), c.cast("string"), F.lit("_"), (k % 3).cast("string"))
+    links = spark.range(n * 3).select(name(F.floor(F.col("id") / 3), F.col("id")).alias("node"), name(F.floor(F.col("id") / 3), F.col("id") + 1).alias("parent"))
+    got = hierarchy(links, work).agg(F.count("*"), F.count_if("on_cycle"), F.count_distinct("root")).first()
+    assert tuple(got) == (3 * n, 3 * n, n)
+    assert work.rows < 60 * n and work.ids < 60 * n
+
+
 def test_without_paths(spark, work):
     parent = {"a": None, "b": "a", "c": "b", "x": "x"}
     assert run(spark, work, parent, paths=False) == {"a": ("a", 0, None), "b": ("a", 1, None), "c": ("a", 2, None), "x": ("x", -1, None)}

@@ -142,3 +142,32 @@ def first_number(text: Column, patterns: tuple[str, ...]) -> Column:
     """Whole seconds named by the first pattern that matches (its group 1), else null."""
     found = [F.when(F.regexp_extract(text, p, 1) != "", F.regexp_extract(text, p, 1).cast("double").cast("int")) for p in patterns]
     return F.coalesce(*found)
+
+
+# What a model's name contains, in the order of the tests, and the provider it stands for.
+PROVIDERS = (("gemini", "gemini"), ("groq", "groq"), ("openrouter", "openrouter"), ("gpt", "openai"), ("openai", "openai"), ("claude", "anthropic"), ("anthropic", "anthropic"), ("ollama", "ollama"))
+
+
+def provider(model: Column) -> Column:
+    """The provider of a model name; 'unknown' for others and null."""
+    name, out = F.lower(model), None
+    for part, found in PROVIDERS:
+        out = F.when(name.contains(part), found) if out is None else out.when(name.contains(part), found)
+    return out.otherwise("unknown")
+
+
+def progress(status: Column, step: Column, steps: tuple[tuple[str, int], ...]) -> Column:
+    """Percent done: 0 for 'none', 100 for 'ready' and 'failed', else by the step."""
+    by_step = F.coalesce(F.create_map(*[F.lit(x) for pair in steps for x in pair])[step], F.lit(0))
+    return F.when(status == "none", 0).when(status.isin("ready", "failed"), 100).otherwise(by_step)
+
+
+#: Bytes a file may have.
+MOST_BYTES = 50 * 1024 * 1024
+
+
+def file_facts(content: Column, name: Column) -> dict[str, Column]:
+    """SHA-256 of the bytes, their number, whether they are within the limit, and a name of safe characters."""
+    size = F.octet_length(content)
+    safe = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9._-]+", "_"), "^[_.]+|[_.]+$", "")
+    return {"file_hash": F.sha2(content, 256), "n_bytes": size.cast("bigint"), "allowed": size <= MOST_BYTES, "file_name": F.concat(F.substring(safe, 1, 100), F.lit(".pdf"))}

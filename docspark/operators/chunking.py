@@ -216,3 +216,31 @@ def chunk_elements(elements: DataFrame) -> DataFrame:
     return placed.mapInPandas(_run, OUT)
 
 
+def _folded(most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["paper_id", "n_full", "rest", "n_elements"]
+        state: list | None = None
+        for pdf in batches:
+            out = []
+            for paper, n in zip(pdf["paper_id"].tolist(), pdf["n"].tolist()):
+                if state is None or state[0] != paper:
+                    if state is not None:
+                        out.append(tuple(state))
+                    state = [paper, 0, 0, 0]
+                state[2] += n
+                state[3] += 1
+                if state[2] >= most:
+                    state[1], state[2] = state[1] + 1, 0
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([tuple(state)] if state is not None else [], columns=names)
+
+    return run
+
+
+def simple_fold(rows: DataFrame, most: int = TARGET) -> DataFrame:
+    """``rows(paper_id, ord, element_id, n)`` -> ``(paper_id, n_full, rest, n_elements)``: running sums that start anew at ``most``.
+
+    Sorted partitions are streamed, so that a paper of any length needs no more memory than a batch.
+    """
+    placed = rows.repartition("paper_id").sortWithinPartitions("paper_id", "ord", "element_id")
+    return placed.select("paper_id", "n").mapInPandas(_folded(most), "paper_id string, n_full long, rest long, n_elements long")

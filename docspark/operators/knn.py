@@ -84,10 +84,65 @@ def similar_pairs(rows: DataFrame, threshold: float, digits: int = 6) -> DataFra
     different lengths are not compared, all-zero vectors and vectors with nulls are similar to none. Ids must be unique.
     """
     kind = rows.schema["id"].dataType.simpleString()
-    some = rows.where("grp is not null and id is not null and vector is not null").select("grp", F.size("vector").alias("dim"), "id", F.col("vector").cast("array<double>").alias("vector"))
-    sizes = some.groupBy("grp", "dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    packed = some.join(sizes, ["grp", "dim"]).groupBy("grp", "dim", block.alias("block")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("vector")).alias("data"))
-    a, b = (packed.select("grp", "dim", *[F.col(c).alias(f"{x}_{c}") for c in ("block", "ids", "data")]) for x in "ab")
-    met = a.join(b, ["grp", "dim"]).where("a_block <= b_block").drop("grp", "dim")
+    some = _usable(rows)
+    sizes = some.groupBy("grp", "dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    packed = _pack(some, sizes, "a")
+    # every pair of blocks is a key of its own
+    low, high = F.least("a_block", "other"), F.greatest("a_block", "other")
+    dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = dealt.where("a_block <= other").select("grp", "dim", low.alias("i"), high.alias("j"), "a_block", "a_ids", "a_data")
+    b = dealt.where("a_block >= other").select("grp", "dim", low.alias("i"), high.alias("j"), *[F.col(f"a_{c}").alias(f"b_{c}") for c in ("block", "ids", "data")])
+    met = a.join(b, ["grp", "dim", "i", "j"]).drop("grp", "dim", "i", "j")
     return met.mapInPandas(_similar(threshold, digits), f"a {kind}, b {kind}, similarity double")
+
+
+def _usable(rows: DataFrame, *others: str) -> DataFrame:
+    known = rows.where("grp is not null and id is not null and vector is not null")
+    return known.select("grp", F.size("vector").alias("dim"), "id", F.col("vector").cast("array<double>").alias("vector"), *others)
+
+
+def _pack(rows: DataFrame, sizes: DataFrame, name: str, *others: str) -> DataFrame:
+    """``rows`` in the blocks ``sizes(grp, dim, blocks)`` asks for, one row a block."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    lists = [F.collect_list(F.struct("id", "vector", *others)).alias("x")]
+    packed = rows.join(sizes, ["grp", "dim"]).groupBy("grp", "dim", "blocks", block.alias(f"{name}_block")).agg(*lists)
+    return packed.select("grp", "dim", "blocks", f"{name}_block", F.col("x.id").alias(f"{name}_ids"), F.flatten("x.vector").alias(f"{name}_data"), *[F.col(f"x.{c}").alias(f"{name}_{c}") for c in others])
+
+
+def _top_allowed(digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                u, v = (np.asarray(x, dtype=np.float64).reshape(n, -1) for x, n in ((r.q_data, len(r.q_ids)), (r.r_data, len(r.r_ids))))
+                n = np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+                s = np.round(np.where(n == 0, 0.0, u @ v.T / np.where(n == 0, 1, n)), digits) + 0.0
+                level, flags = np.asarray(r.r_level)[None, :], np.asarray(r.r_flags)[None, :]
+                asked = np.asarray(r.q_flags)[:, None]
+                ok = (level >= np.asarray(r.q_least_level)[:, None]) & (level <= np.asarray(r.q_most_level)[:, None]) & (asked & ~flags == 0) & (s >= 0)
+                ids = np.asarray(r.r_ids)
+                s = np.where(ok, s, -1.0)
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, : int(max(r.q_top_k))]
+                some = np.take_along_axis(ok, order, 1) & (np.arange(order.shape[1])[None, :] < np.asarray(r.q_top_k)[:, None])
+                yield pd.DataFrame({"query_id": np.repeat(np.asarray(r.q_ids), some.sum(1)), "chunk_id": ids[order[some]], "score": np.take_along_axis(s, order, 1)[some]})
+
+    return run
+
+
+def top_within(queries: DataFrame, rows: DataFrame, digits: int = 6) -> DataFrame:
+    """``queries(grp, id, vector, least_level, most_level, flags, top_k)`` against the ``rows(grp, id, vector, level, flags)`` of their group.
+
+    Gives ``(query_id, chunk_id, score)``, of every block of rows at most ``top_k`` per query: cosine not below 0, rows of a level in range
+    that have all flags (bits) asked for. Groups are cut in blocks of rows and of queries, and each pair of blocks is one matrix product and a key of its
+    own, so a hot group is many tasks. Null groups, ids and vectors are left out, as are vectors of another length than the
+    query's and those with nulls; an all-zero vector scores 0.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    q, r = _usable(queries, "least_level", "most_level", "flags", "top_k"), _usable(rows, "level", "flags")
+    q_sizes = q.groupBy("grp", "dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    r_sizes = r.groupBy("grp", "dim").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("blocks"))
+    both = q_sizes.withColumnRenamed("blocks", "q_blocks").join(r_sizes.withColumnRenamed("blocks", "r_blocks"), ["grp", "dim"])
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    qs = _pack(q, q_sizes, "q", "least_level", "most_level", "flags", "top_k").drop("blocks").join(both, ["grp", "dim"]).withColumn("r_block", every("r_blocks"))
+    rs = _pack(r, r_sizes, "r", "level", "flags").drop("blocks").join(both, ["grp", "dim"]).withColumn("q_block", every("q_blocks"))
+    met = qs.drop("q_blocks", "r_blocks").join(rs.drop("q_blocks", "r_blocks"), ["grp", "dim", "q_block", "r_block"])
+    return met.drop("grp", "dim", "q_block", "r_block").mapInPandas(_top_allowed(digits), f"query_id {kind}, chunk_id {kind}, score double")

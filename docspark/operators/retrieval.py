@@ -7,11 +7,15 @@ token budget. Ties are broken by chunk id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions import vectors
+from docspark.operators import knn
+from docspark.work import Work
 
 #: Rank constant of the fusion.
 RRF = 60
@@ -20,10 +24,16 @@ LEVEL_BOOST = {1: 1.10, 2: 1.05, 3: 1.08}
 KEY_BOOST, HIGH_BOOST, LOW_BOOST = 1.05, 1.05, 0.95
 
 
+#: Modalities a query may ask for.
+KINDS = ("table", "equation", "figure")
+#: The plan of a broad query whose paper has no fitting summary.
+FALLBACK = {"dense_weight": 0.5, "sparse_weight": 0.5, "top_k": 8, "least_level": 0, "most_level": 99}
+
+
 def newest(rows: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ()) -> DataFrame:
-    """One row per key: the latest ingested; equal times are decided by the links, so that the choice is the same in every run."""
+    """One row per key: the latest ingested (by the time meant, whatever its form and offset; unreadable ones come first); equal times are decided by the links, so that the choice is the same in every run."""
     keep = [c for c in (columns or rows.columns) if c != key]
-    order = F.struct("ingested_at", *[F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("children_ids", "parent_ids", "sibling_ids")])
+    order = F.struct(F.try_to_timestamp(F.col("ingested_at").cast("string")).alias("at"), *[F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("children_ids", "parent_ids", "sibling_ids")])
     one = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*keep), order).alias("row"))
     return one.select(key, *[F.col(f"row.`{c}`").alias(c) for c in keep])
 
@@ -38,7 +48,7 @@ def rank_in(df: DataFrame, by: list[Column], k: Column | int, name: str = "rank"
 def _allowed() -> Column:
     """Whether a chunk passes the plan's level and modality filters; several modalities must all hold."""
     level = F.col("level").between(F.col("least_level"), F.col("most_level"))
-    kinds = [~F.col(f"{k}_signal") | F.coalesce(F.col(f"has_{k}"), F.lit(False)) for k in ("table", "equation", "figure")]
+    kinds = [~F.col(f"{k}_signal") | F.coalesce(F.col(f"has_{k}"), F.lit(False)) for k in KINDS]
     return level & kinds[0] & kinds[1] & kinds[2]
 
 
@@ -47,12 +57,13 @@ _PLAN = ["query_id", "paper_id", "least_level", "most_level", "table_signal", "e
 
 def dense_leg(plans: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(query_id, chunk_id, score, rank)`` by cosine within the query's paper; scores below 0 are cut."""
-    c = chunks.where("dense_vector is not null").select("paper_id", "chunk_id", "level", "has_table", "has_equation", "has_figure", F.col("dense_vector").alias("v"), vectors.norm(F.col("dense_vector")).alias("nv"))
-    q = plans.where("dense_vector is not null").select(*_PLAN, F.col("dense_vector").alias("u"), vectors.norm(F.col("dense_vector")).alias("nu"))
-    n = F.col("nu") * F.col("nv")
-    score = F.when(n == 0, F.lit(0.0)).otherwise(vectors.dot(F.col("u"), F.col("v")) / n)
-    hits = q.join(c, "paper_id").where(_allowed()).select("query_id", "chunk_id", "top_k", F.round(score, 6).alias("score")).where("score >= 0")
-    return rank_in(hits, [F.desc("score"), F.col("chunk_id")], F.col("top_k")).drop("top_k")
+    flags = [F.coalesce(F.col(f"has_{k}"), F.lit(False)).cast("int") for k in KINDS]
+    asked = [F.col(f"{k}_signal").cast("int") for k in KINDS]
+    bits = lambda x: x[0] + 2 * x[1] + 4 * x[2]
+    c = chunks.select(F.col("paper_id").alias("grp"), F.col("chunk_id").alias("id"), F.col("dense_vector").alias("vector"), F.coalesce("level", F.lit(-1)).alias("level"), bits(flags).alias("flags"))
+    q = plans.select(F.col("paper_id").alias("grp"), F.col("query_id").alias("id"), F.col("dense_vector").alias("vector"), "least_level", "most_level", bits(asked).alias("flags"), "top_k")
+    hits = knn.top_within(q, c)
+    return rank_in(hits.join(plans.select("query_id", "top_k"), "query_id"), [F.desc("score"), F.col("chunk_id")], F.col("top_k")).drop("top_k")
 
 
 def sparse_leg(plans: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -80,7 +91,7 @@ def boost() -> Column:
     return level * key * weight
 
 
-def hybrid(plans: DataFrame, chunks: DataFrame) -> DataFrame:
+def search(plans: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(query_id, chunk_id, score, rank)`` of both legs fused, boosted where the plan says so, and cut."""
     fused = fuse(dense_leg(plans, chunks), sparse_leg(plans, chunks), plans)
     known = fused.join(chunks.select("chunk_id", "level", "is_key_section", "section_importance"), "chunk_id").join(plans.select("query_id", "boosted", "top_k"), "query_id")
@@ -88,6 +99,15 @@ def hybrid(plans: DataFrame, chunks: DataFrame) -> DataFrame:
     return rank_in(scored, [F.desc("score"), F.col("chunk_id")], F.col("top_k")).drop("top_k")
 
 
+def hybrid(plans: DataFrame, chunks: DataFrame, work: Work) -> DataFrame:
+    """:func:`search`; a broad query (mode B) that finds no summary is searched once more, over all levels and with the plan :data:`FALLBACK`."""
+    hits = work.table(search(plans, chunks), "first")
+    none = plans.where("mode = 'B'").join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    kinds = dict(plans.dtypes)
+    again = work.table(none.select(*[F.lit(FALLBACK[c]).cast(kinds[c]).alias(c) if c in FALLBACK else F.col(c) for c in plans.columns]), "broad")
+    return hits.unionByName(search(again, chunks))
+
+
 def best_children(summaries: DataFrame, chunks: DataFrame, n: int, default: float) -> DataFrame:
     """``(query_id, summary_id, chunk_id, membership, place)``: of each summary the ``n`` children that belong most to its cluster, ties in list order."""
     s = summaries.select("query_id", F.col("chunk_id").alias("summary_id"), F.try_element_at("cluster_ids", F.lit(1)).cast("string").alias("cluster"), F.posexplode("children_ids").alias("pos", "chunk_id"))
@@ -97,20 +117,25 @@ def best_children(summaries: DataFrame, chunks: DataFrame, n: int, default: floa
     return ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "summary_id", "chunk_id", "membership", "place")
 
 
-def with_children(hits: DataFrame, chunks: DataFrame, n: int = 3, score: float = 0.5) -> DataFrame:
-    """Hits and the best children of those that are summaries, each chunk once (hits first)."""
-    known = hits.join(chunks.select("chunk_id", "level", "cluster_ids", "children_ids"), "chunk_id")
+def with_children(hits: DataFrame, plans: DataFrame, chunks: DataFrame, n: int = 3, score: float = 0.5) -> DataFrame:
+    """Hits and, for broad queries (mode B), the best children of those that are summaries, each chunk once (hits first)."""
+    broad = hits.join(plans.where("mode = 'B'").select("query_id"), "query_id", "left_semi")
+    known = broad.join(chunks.select("chunk_id", "level", "cluster_ids", "children_ids"), "chunk_id")
     kids = best_children(known.where("level >= 1"), chunks, n, 0.0).select("query_id", "chunk_id", F.lit(score).alias("score"), F.lit(1).alias("source")).distinct()
     both = hits.select("query_id", "chunk_id", "score", F.lit(0).alias("source")).union(kids)
     return both.groupBy("query_id", "chunk_id").agg(F.min_by("score", "source").alias("score"), F.min("source").alias("source"))
 
 
-def rerank(hits: DataFrame, plans: DataFrame, chunks: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """``(query_id, chunk_id, rerank_score, rank)``: by the share of the query's terms in the chunk, cut at the threshold and the plan's number; the best one if none passes."""
+def rerank(hits: DataFrame, plans: DataFrame, chunks: DataFrame, threshold: float = 0.25, logit: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(query_id, chunk_id, rerank_score, rank)``: by the share of the query's terms in the chunk, cut at the threshold and the plan's number; the best one if none passes.
+
+    ``logit`` turns the share into a logit whose sigmoid is the score, as a cross-encoder's output would be.
+    """
     q = plans.select("query_id", "rerank_n", F.array_distinct(vectors.terms(F.col("query_text"))).alias("q"))
     c = chunks.select("chunk_id", F.array_distinct(vectors.terms(F.col("text_for_display"))).alias("c"))
     share = F.when(F.size("q") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("q", "c")) / F.size("q"))
-    scored = hits.join(q, "query_id").join(c, "chunk_id").select("query_id", "chunk_id", "rerank_n", F.round(share, 6).alias("rerank_score"))
+    score = share if logit is None else vectors.sigmoid(logit(share))
+    scored = hits.join(q, "query_id").join(c, "chunk_id").select("query_id", "chunk_id", "rerank_n", F.round(score, 6).alias("rerank_score"))
     ranked = rank_in(scored, [F.desc("rerank_score"), F.col("chunk_id")], F.col("rerank_n"))
     return ranked.where((F.col("rerank_score") >= threshold) | (F.col("rank") == 1)).drop("rerank_n")
 
@@ -150,3 +175,17 @@ def context_block() -> Column:
     label = F.coalesce(F.create_map(*[F.lit(x) for x in (0, "SOURCE", 1, "SECTION SUMMARY", 2, "GROUP SUMMARY", 3, "PAPER OVERVIEW")])[F.col("level")], F.lit("SOURCE"))
     lines = F.transform(F.coalesce("equation_latex", F.array().cast("array<string>")), lambda e: F.concat(F.lit("\nEquation: $$"), e, F.lit("$$")))
     return F.concat(F.lit("--- "), label, F.lit(": "), F.coalesce("section_title", F.lit("Unknown Section")), F.lit(" ---\n"), F.col("text_for_display"), F.array_join(lines, ""))
+
+
+NO_CONTEXT, RAW_CHARS = "Nothing in this paper answers the question.", 2000
+
+
+def answers(plans: DataFrame, contexts: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(query_id, answer)`` from ``contexts(query_id, context)``: ``model`` answers ``(query_id, query_text, context)`` rows with ``(query_id, answer)``.
+
+    A query without context gets :data:`NO_CONTEXT`; one the model leaves out (or all, where none is given) gets the first 2,000 characters of its context.
+    """
+    asked = plans.select("query_id", "query_text").join(contexts, "query_id", "left")
+    told = model(asked.where("context is not null")).select("query_id", F.col("answer").alias("_told")) if model else None
+    both = asked.join(told, "query_id", "left") if told is not None else asked.withColumn("_told", F.lit(None).cast("string"))
+    return both.select("query_id", F.coalesce("_told", F.substring("context", 1, RAW_CHARS), F.lit(NO_CONTEXT)).alias("answer"))

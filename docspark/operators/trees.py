@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docspark.functions.text import normalize_title
+from docspark.functions.text import chunk_id, extractive_summary, normalize_title
 from docspark.operators.components import connected_components
 from docspark.operators.knn import similar_pairs
 from docspark.work import Work
@@ -174,3 +174,43 @@ def group_evenly(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     k = F.least(F.lit(3), F.greatest(F.lit(2), F.floor(n / 3)))
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn("n_rows", n).withColumn("group_no", F.floor((place - 1) / F.ceil(n / k)))
+
+
+def _built(members: DataFrame, level: int, start: str) -> DataFrame:
+    """Nodes from ``members(paper_id, no, pos, id, text, first_page, last_page, first_order, last_order, key)``: ranges from the first member to the last, flags from the first, texts joined and summarised."""
+    listed = members.groupBy("paper_id", "no").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "text", "first_page", "last_page", "first_order", "last_order", "key"))).alias("m"))
+    first, last = F.col("m")[0], F.element_at("m", -1)
+    summary = F.array_join(F.transform("m", lambda x: extractive_summary(F.array(F.coalesce(x["text"], F.lit(""))))), " ")
+    return listed.select(
+        "paper_id",
+        "no",
+        chunk_id(F.col("paper_id"), F.lit(level), F.col(start)).alias("node_id"),
+        F.lit(level).alias("level"),
+        F.col("m.id").alias("children"),
+        *[first[c].alias(c) for c in ("first_page", "first_order", "key")],
+        *[last[c].alias(c) for c in ("last_page", "last_order")],
+        summary.alias("text"),
+    )
+
+
+def tree_nodes(members: DataFrame, work: Work) -> DataFrame:
+    """Summary nodes of every paper: ``(paper_id, node_id, level, parent_id, children, n_siblings, first_page, last_page, first_order, last_order, key, text)``.
+
+    ``members(paper_id, cluster_id, pos, id, text, first_page, last_page, first_order, last_order, key)`` are the stored chunks of each
+    structural cluster in reading order. Clusters of at least 3 become level 1; where a paper has two or more of those, they are grouped in
+    even runs as level 2; the root takes level 2, or level 1 where there is none. Texts are extractive. Siblings are the other
+    nodes of a level of the paper, given by their number: they are one list a paper, not one a node.
+    """
+    n = F.count("*").over(Window.partitionBy("paper_id", "cluster_id"))
+    some = members.withColumn("n", n).where(F.col("n") >= LEAST_SIZE).withColumnRenamed("cluster_id", "no")
+    one = work.table(_built(some, 1, "no"), "level1")
+    as_members = lambda nodes: nodes.select("paper_id", F.col("no").alias("pos"), F.col("node_id").alias("id"), "text", "first_page", "last_page", "first_order", "last_order", "key")
+    runs = group_evenly(as_members(one), "paper_id", ["pos"]).where("n_rows >= 2").withColumnRenamed("group_no", "no")
+    two = work.table(_built(runs, 2, "no"), "level2")
+    high = two.select("paper_id").distinct()
+    last = as_members(two).unionByName(as_members(one.join(high, "paper_id", "left_anti"))).withColumn("no", F.lit(0))
+    three = _built(last, 3, "no")
+    every = work.table(one.unionByName(two).unionByName(three), "nodes")
+    up = every.where("level > 1").select(F.col("node_id").alias("parent_id"), F.explode("children").alias("node_id"), "paper_id")
+    count = every.groupBy("paper_id", "level").agg((F.count("*") - 1).alias("n_siblings"))
+    return every.join(up, ["paper_id", "node_id"], "left").join(count, ["paper_id", "level"]).drop("no")

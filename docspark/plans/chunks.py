@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions.text import count_tokens
-from docspark.operators.chunking import chunk_elements, newest_elements, prepared
+from docspark.operators.chunking import chunk_elements, newest_elements, prepared, simple_fold
 from docspark.plans import registry
 from docspark.plans.textual import _TREATED, _tokens
 from docspark.sources.tables import table
@@ -85,14 +85,7 @@ f AS (SELECT paper_id, 0::BIGINT AS r, 0::BIGINT AS held, 0::BIGINT AS part FROM
 def chunk_simple_fold(spark: SparkSession, d: str) -> DataFrame:
     """Running token sums that start anew at 300: full parts and what is left, by a fold over each paper's sizes."""
     rows = _elements(spark, d).where("paper_id is not null").select("paper_id", F.coalesce("location.order", F.lit(0)).alias("ord"), "element_id", count_tokens(F.col("content.raw")).cast("bigint").alias("n"))
-    listed = rows.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("ord", "element_id", "n"))).alias("all"))
-    zero = F.lit(0).cast("bigint")
-    state = F.aggregate(
-        "all",
-        F.struct(zero.alias("held"), zero.alias("part")),
-        lambda acc, x: F.when(acc["held"] + x["n"] >= 300, F.struct(zero.alias("held"), (acc["part"] + 1).alias("part"))).otherwise(F.struct((acc["held"] + x["n"]).alias("held"), acc["part"].alias("part"))),
-    )
-    return listed.select("paper_id", state["part"].alias("n_full"), state["held"].alias("rest"), F.size("all").alias("n_elements"))
+    return simple_fold(rows)
 
 
 @query()

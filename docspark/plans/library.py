@@ -59,14 +59,16 @@ def modality_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").where("has_table and has_equation").select("paper_id", "chunk_id", "ingested_at")
 
 
-_SPLIT = "2025-07-01"
+_SPLIT = "2025-07-01 00:00:00+00"
 
 
-@query(f"SELECT i.chunk_id, i.ingested_at FROM chunks i WHERE i.ingested_at >= '{_SPLIT}' AND NOT EXISTS (SELECT 1 FROM chunks s WHERE s.ingested_at < '{_SPLIT}' AND s.paper_id = i.paper_id AND s.content_hash = i.content_hash)")
+@query(f"""WITH t AS (SELECT *, try_cast(ingested_at AS TIMESTAMPTZ) AS at FROM chunks)
+SELECT i.chunk_id, i.ingested_at FROM t i WHERE i.at >= TIMESTAMPTZ '{_SPLIT}' AND NOT EXISTS (SELECT 1 FROM t s WHERE s.at < TIMESTAMPTZ '{_SPLIT}' AND s.paper_id = i.paper_id AND s.content_hash = i.content_hash)""")
 def upsert_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the second half that are new by paper and content hash."""
-    rows = table(spark, d, "chunks").select("chunk_id", "ingested_at", "paper_id", "content_hash")
-    return rel.insert_new(rows.where(F.col("ingested_at") >= _SPLIT), rows.where(F.col("ingested_at") < _SPLIT), ["paper_id", "content_hash"]).select("chunk_id", "ingested_at")
+    """Rows of the second half (by the time meant) that are new by paper and content hash."""
+    rows = table(spark, d, "chunks").select("chunk_id", "ingested_at", "paper_id", "content_hash", F.try_to_timestamp("ingested_at").alias("at"))
+    split = F.lit("2025-07-01 00:00:00").cast("timestamp")
+    return rel.insert_new(rows.where(F.col("at") >= split), rows.where(F.col("at") < split), ["paper_id", "content_hash"]).select("chunk_id", "ingested_at")
 
 
 @query("SELECT paper_id, content_hash, count(*) AS n_rows, min(chunk_id) AS first_id FROM chunks WHERE content_hash IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT chunk_id) > 1")
@@ -280,10 +282,11 @@ def expired_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where((F.col("ts") > F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("value") <= 90)).groupBy("event_type").agg(F.count("*").alias("n_valid"))
 
 
-@query(f"WITH {_LIB} SELECT paper_id, count(*) AS n_users, string_agg(user_id, ',' ORDER BY user_id) AS users FROM lib GROUP BY 1")
+@query(f"WITH {_LIB} SELECT paper_id, user_id, count(*) OVER (PARTITION BY paper_id) AS n_users FROM lib")
 def subscribers(spark: SparkSession, d: str) -> DataFrame:
-    """Everyone who holds a paper."""
-    return _library(spark, d).groupBy("paper_id").agg(F.count("*").alias("n_users"), F.array_join(F.sort_array(F.collect_list("user_id")), ",").alias("users"))
+    """Everyone who holds a paper, one row each, with how many they are."""
+    rows = _library(spark, d).select("paper_id", "user_id")
+    return rows.join(rows.groupBy("paper_id").agg(F.count("*").alias("n_users")), "paper_id").select("paper_id", "user_id", "n_users")
 
 
 @query("""WITH gone AS (SELECT paper_id FROM papers WHERE rag_status = 'failed') SELECT 'chunks' AS child, count(*) AS n_left FROM chunks WHERE paper_id NOT IN (SELECT paper_id FROM gone) UNION ALL SELECT 'elements', count(*) FROM elements WHERE paper_id NOT IN (SELECT paper_id FROM gone)
@@ -331,17 +334,6 @@ def trace_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_steps"), F.sum(k).alias("total"), F.when(F.bool_and(F.col("event_type") != "error"), F.sum(k)).otherwise(-1).alias("total_if_done"))
 
 
-@query("""SELECT m.id, p.paper_id FROM (SELECT DISTINCT ON (id) id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(rolling_summary, '')), '[^a-z0-9]+'), lambda w: length(w) > 6)) AS q, paper_id FROM chat_sessions) m
-JOIN (SELECT paper_id, list_filter(regexp_split_to_array(lower(coalesce(title, '') || ' ' || coalesce(array_to_string(list_transform(authors, lambda a: a.name), ' '), '')), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM papers) p ON p.paper_id = m.paper_id WHERE len(list_intersect(m.q, p.t)) > 0 OR len(m.q) = 0""")
-def fulltext_search(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions whose paper's title or authors share a word with the session's summary (or that have none), in the user's own library only."""
-    words = lambda t: F.filter(F.split(F.lower(t), "[^a-z0-9]+"), lambda w: w != "")
-    q = table(spark, d, "chat_sessions").select("id", "paper_id", F.filter(words(F.coalesce("rolling_summary", F.lit(""))), lambda w: F.length(w) > 6).alias("q"))
-    named = F.coalesce(F.array_join(F.transform("authors", lambda a: a["name"]), " "), F.lit(""))
-    p = table(spark, d, "papers").select("paper_id", words(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), named)).alias("t"))
-    return q.join(p, "paper_id").where(F.arrays_overlap("q", "t") | (F.size("q") == 0)).select("id", "paper_id")
-
-
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 
@@ -354,3 +346,28 @@ def fulltext_library(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "papers").select("paper_id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), named).alias("text"))
     library = _library(spark, d).select("user_id", "paper_id").join(texts, "paper_id")
     return rel.contains_all(table(spark, d, "chat_sessions").select("id", "user_id", F.col("rolling_summary").alias("text")), library)
+
+
+_ABSTRACT = f"""ab AS (SELECT paper_id, string_agg(text_for_embedding, ' ' ORDER BY chunk_id) AS abstract FROM cur WHERE level = 0 AND {_title('section_title')} = 'abstract' GROUP BY 1),
+txt AS (SELECT p.paper_id, p.title, coalesce(title, '') || ' ' || coalesce(array_to_string(list_transform(authors, lambda a: a.name), ' '), '') || ' ' || coalesce(ab.abstract, '') AS t FROM papers p LEFT JOIN ab ON ab.paper_id = p.paper_id)"""
+
+
+def _searchable(spark: SparkSession, d: str) -> DataFrame:
+    """``(paper_id, title, text)``: title, authors and abstract of every paper."""
+    leaves = newest(table(spark, d, "chunks"), columns=("chunk_id", "paper_id", "level", "section_title", "text_for_embedding")).where("level = 0")
+    parts = leaves.where(normalize_title(F.col("section_title")) == "abstract").groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "text_for_embedding"))).alias("x"))
+    abstract = parts.select("paper_id", F.array_join(F.col("x.text_for_embedding"), " ").alias("abstract"))
+    named = F.coalesce(F.array_join(F.transform("authors", lambda a: a["name"]), " "), F.lit(""))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), named, F.coalesce("abstract", F.lit("")))
+    return table(spark, d, "papers").join(abstract, "paper_id", "left").select("paper_id", "title", text.alias("text"))
+
+
+@query(f"""WITH {_CUR}, {_ABSTRACT}, {_LIB}, t AS (SELECT paper_id, {_WORDS.format(t="t")} AS w FROM txt), q AS (SELECT user_id, paper_id AS asked, list_slice({_WORDS.format(t="coalesce(title, '')")}, 1, 3) AS q FROM lib)
+SELECT q.user_id, q.asked, lib.paper_id FROM q JOIN lib ON lib.user_id = q.user_id JOIN t ON t.paper_id = lib.paper_id WHERE len(q.q) > 0 AND list_has_all(t.w, q.q)""".replace("list_distinct(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda w: w <> ''))", "list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda w: w <> '')"))
+def fulltext_search(spark: SparkSession, d: str) -> DataFrame:
+    """For every paper a user holds, the papers of the user's library whose title, authors and abstract hold its title's first three words."""
+    texts = _searchable(spark, d)
+    library = _library(spark, d).select("user_id", "paper_id").join(texts, "paper_id")
+    every = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    asked = library.select(F.struct("user_id", "paper_id").alias("id"), "user_id", F.array_join(F.slice(every, 1, 3), " ").alias("text"))
+    return rel.contains_all(asked, library).select("id.user_id", F.col("id.paper_id").alias("asked"), "paper_id")

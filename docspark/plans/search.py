@@ -25,14 +25,19 @@ _COLUMNS = (
     "paper_id level chunk_sequence_index section_title is_key_section section_importance has_table has_equation has_figure text_for_embedding text_for_display token_count "
     "parent_ids children_ids cluster_ids cluster_probabilities equation_latex dense_vector sparse_indices sparse_values"
 ).split()
-_CUR = """cur AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST,
+_CUR = """cur AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY try_cast(ingested_at AS TIMESTAMPTZ) DESC NULLS LAST,
  coalesce(array_to_string(children_ids, ','), '') DESC, coalesce(array_to_string(parent_ids, ','), '') DESC, coalesce(array_to_string(sibling_ids, ','), '') DESC) = 1)"""
 _Q = f"""q AS (SELECT *, CASE WHEN table_signal OR equation_signal OR figure_signal THEN 'D' WHEN cross_section OR broad > specific + 1 THEN 'B' WHEN specific > broad + 1 OR num THEN 'A' ELSE 'C' END AS mode FROM (
  SELECT chunk_id AS query_id, paper_id, query_text, dense_vector AS u, sparse_indices AS ui, sparse_values AS uv, {_sum(signals.SPECIFIC)} + num::INT AS specific, {_sum(signals.BROAD)} + 3 AS broad,
  ({_or(signals.TABLE)}) AS table_signal, ({_or(signals.EQUATION)}) AS equation_signal, ({_or(signals.FIGURE)}) AS figure_signal, ({_or(signals.CROSS_SECTION)}) AS cross_section, num
  FROM (SELECT *, regexp_matches(q, '{signals.NUMBER}') AS num FROM (SELECT *, text_for_embedding AS query_text, coalesce({_strip('lower(text_for_embedding)')}, '') AS q FROM cur WHERE level = 0 AND chunk_sequence_index % 50 = 0)))),
-p AS (SELECT *, CASE mode WHEN 'A' THEN 0.4 WHEN 'B' THEN 0.65 ELSE 0.5 END AS dw, CASE mode WHEN 'A' THEN 0.6 WHEN 'B' THEN 0.35 ELSE 0.5 END AS sw, CASE mode WHEN 'B' THEN 6 WHEN 'C' THEN 12 ELSE 8 END AS k,
+p0 AS (SELECT *, CASE mode WHEN 'A' THEN 0.4 WHEN 'B' THEN 0.65 ELSE 0.5 END AS dw, CASE mode WHEN 'A' THEN 0.6 WHEN 'B' THEN 0.35 ELSE 0.5 END AS sw, CASE mode WHEN 'B' THEN 6 WHEN 'C' THEN 12 ELSE 8 END AS k,
  CASE mode WHEN 'B' THEN 1 ELSE 0 END AS lo, CASE mode WHEN 'A' THEN 0 WHEN 'B' THEN 3 ELSE 99 END AS hi, CASE mode WHEN 'C' THEN 5 ELSE 4 END AS rn, mode <> 'A' AS boosted FROM q)"""
+_PLAIN = "p AS (SELECT * FROM p0)"
+#: Broad queries without any summary that a leg would find are searched over all levels.
+_FALL = """found AS (SELECT DISTINCT query_id FROM p0 JOIN cur c ON c.paper_id = p0.paper_id WHERE mode = 'B' AND c.level BETWEEN 1 AND 3 AND (coalesce(round(CASE WHEN list_dot_product(u, u) * list_dot_product(c.dense_vector, c.dense_vector) = 0 THEN 0 ELSE list_dot_product(u, c.dense_vector)
+ / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(c.dense_vector, c.dense_vector))) END, 6) >= 0, false) OR coalesce(len(ui) = len(uv) AND len(c.sparse_indices) = len(c.sparse_values) AND list_has_any(ui, c.sparse_indices), false))),
+p AS (SELECT * REPLACE (CASE WHEN again THEN 0.5 ELSE dw END AS dw, CASE WHEN again THEN 0.5 ELSE sw END AS sw, CASE WHEN again THEN 8 ELSE k END AS k, CASE WHEN again THEN 0 ELSE lo END AS lo, CASE WHEN again THEN 99 ELSE hi END AS hi) FROM (SELECT *, mode = 'B' AND query_id NOT IN (SELECT query_id FROM found) AS again FROM p0))"""
 _OK = "c.level BETWEEN p.lo AND p.hi AND (NOT table_signal OR coalesce(has_table, false)) AND (NOT equation_signal OR coalesce(has_equation, false)) AND (NOT figure_signal OR coalesce(has_figure, false))"
 _RANKED = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {k}"
 _DENSE = f"""dense0 AS (SELECT p.query_id, c.chunk_id, p.k, round(CASE WHEN list_dot_product(u, u) * list_dot_product(c.dense_vector, c.dense_vector) = 0 THEN 0 ELSE list_dot_product(u, c.dense_vector) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(c.dense_vector, c.dense_vector))) END, 6) AS score
@@ -47,12 +52,12 @@ _TOP = f"""boosted AS (SELECT f.query_id, f.chunk_id, p.k, round(f.score * CASE
 top AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM boosted {_RANKED.format(k='k')})"""
 
 
-def _kids(source: str, n: int, default: str) -> str:
-    return f"""(SELECT query_id, summary_id, x.chunk_id, coalesce(cluster_probabilities[cl], {default})::DOUBLE AS membership FROM (SELECT s.query_id, s.chunk_id AS summary_id, c.cluster_ids[1]::VARCHAR AS cl, unnest(c.children_ids) AS chunk_id, generate_subscripts(c.children_ids, 1) AS pos FROM {source} s JOIN cur c ON c.chunk_id = s.chunk_id WHERE c.level >= 1) x
+def _kids(source: str, n: int, default: str, only: str = "") -> str:
+    return f"""(SELECT query_id, summary_id, x.chunk_id, coalesce(cluster_probabilities[cl], {default})::DOUBLE AS membership FROM (SELECT s.query_id, s.chunk_id AS summary_id, c.cluster_ids[1]::VARCHAR AS cl, unnest(c.children_ids) AS chunk_id, generate_subscripts(c.children_ids, 1) AS pos FROM {source} s JOIN cur c ON c.chunk_id = s.chunk_id WHERE c.level >= 1{only}) x
  JOIN cur k ON k.chunk_id = x.chunk_id QUALIFY row_number() OVER (PARTITION BY query_id, summary_id ORDER BY coalesce(cluster_probabilities[cl], {default}) DESC, pos, x.chunk_id) <= {n})"""
 
 
-_CANDIDATES = f"""cand AS (SELECT query_id, chunk_id, arg_min(score, source) AS score, min(source) AS source FROM (SELECT query_id, chunk_id, score, 0 AS source FROM top UNION ALL SELECT query_id, chunk_id, 0.5, 1 FROM {_kids('top', 3, '0.0')}) GROUP BY 1, 2)"""
+_CANDIDATES = f"""cand AS (SELECT query_id, chunk_id, arg_min(score, source) AS score, min(source) AS source FROM (SELECT query_id, chunk_id, score, 0 AS source FROM top UNION ALL SELECT query_id, chunk_id, 0.5, 1 FROM {_kids('top', 3, '0.0', " AND s.query_id IN (SELECT query_id FROM p WHERE mode = 'B')")}) GROUP BY 1, 2)"""
 _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[^a-z0-9]+'), lambda w: w <> ''))"
 _RERANK = f"""scored AS (SELECT query_id, chunk_id, rn, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END, 6) AS score FROM (SELECT h.query_id, h.chunk_id, p.rn, {_TERMS.format(t='p.query_text')} AS a, {_TERMS.format(t='c.text_for_display')} AS b
  FROM cand h JOIN p ON p.query_id = h.query_id JOIN cur c ON c.chunk_id = h.chunk_id)),
@@ -98,59 +103,61 @@ def semantic_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_pairs(rows, 0.3)
 
 
-@query(_with(_CUR, _Q, _DENSE) + "SELECT query_id, chunk_id, score, rank FROM dense")
+@query(_with(_CUR, _Q, _PLAIN, _DENSE) + "SELECT query_id, chunk_id, score, rank FROM dense")
 def dense_search(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     _, c, p = staged(spark, d, asked)
     return retrieval.dense_leg(p, c)
 
 
-@query(_with(_CUR, _Q, _SPARSE) + "SELECT query_id, chunk_id, score, rank FROM sparse")
+@query(_with(_CUR, _Q, _PLAIN, _SPARSE) + "SELECT query_id, chunk_id, score, rank FROM sparse")
 def sparse_search(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     _, c, p = staged(spark, d, asked)
     return retrieval.sparse_leg(p, c)
 
 
-@query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED) + "SELECT query_id, chunk_id, score FROM fused")
+@query(_with(_CUR, _Q, _PLAIN, _DENSE, _SPARSE, _FUSED) + "SELECT query_id, chunk_id, score FROM fused")
 def hybrid_rrf(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     _, c, p = staged(spark, d, asked)
     return retrieval.fuse(retrieval.dense_leg(p, c), retrieval.sparse_leg(p, c), p)
 
 
-@query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP) + "SELECT query_id, chunk_id, score, rank FROM top")
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP) + "SELECT query_id, chunk_id, score, rank FROM top")
 def hybrid_boosted(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
-    _, c, p = staged(spark, d, asked)
-    return retrieval.hybrid(p, c)
+    work, c, p = staged(spark, d, asked)
+    return retrieval.hybrid(p, c, work)
+
 
+def _hits(work: Work, c: DataFrame, p: DataFrame) -> DataFrame:
+    return work.table(retrieval.with_children(work.table(retrieval.hybrid(p, c, work), "found"), p, c), "hits")
 
-@query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES) + "SELECT query_id, chunk_id, score::DOUBLE AS score, source::BIGINT AS source FROM cand")
+
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES) + "SELECT query_id, chunk_id, score::DOUBLE AS score, source::BIGINT AS source FROM cand")
 def summary_children(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
-    """Hits together with the three best children of the summaries among them."""
-    _, c, p = staged(spark, d, asked)
-    return retrieval.with_children(retrieval.hybrid(p, c), c)
+    """Hits together with, for broad queries, the three best children of the summaries among them."""
+    return _hits(*staged(spark, d, asked))
 
 
-@query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK) + "SELECT query_id, chunk_id, rerank_score::DOUBLE AS rerank_score, rank FROM rr")
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK) + "SELECT query_id, chunk_id, rerank_score::DOUBLE AS rerank_score, rank FROM rr")
 def rerank_threshold(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
-    _, c, p = staged(spark, d, asked)
-    return retrieval.rerank(retrieval.with_children(retrieval.hybrid(p, c), c), p, c)
+    work, c, p = staged(spark, d, asked)
+    return retrieval.rerank(_hits(work, c, p), p, c)
 
 
 def _traversed(work: Work, c: DataFrame, p: DataFrame) -> DataFrame:
-    hits = work.table(retrieval.with_children(retrieval.hybrid(p, c), c), "hits")
-    return retrieval.traverse(work.table(retrieval.rerank(hits, p, c), "reranked"), c)
+    return retrieval.traverse(work.table(retrieval.rerank(_hits(work, c, p), p, c), "reranked"), c)
 
 
-@query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE) + "SELECT query_id, chunk_id, rerank_score::DOUBLE AS rerank_score, fetched_as FROM tr")
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE) + "SELECT query_id, chunk_id, rerank_score::DOUBLE AS rerank_score, fetched_as FROM tr")
 def traverse_context(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     return _traversed(*staged(spark, d, asked))
 
 
-@query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE) + """SELECT mode, count(*) AS n_queries, sum(n_candidates)::BIGINT AS n_candidates, sum(n_reranked)::BIGINT AS n_reranked, sum(n_final)::BIGINT AS n_final FROM p
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE) + """SELECT mode, count(*) AS n_queries, sum(n_candidates)::BIGINT AS n_candidates, sum(n_reranked)::BIGINT AS n_reranked, sum(n_final)::BIGINT AS n_final FROM p
 LEFT JOIN (SELECT query_id, count(*) AS n_candidates FROM cand GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n_reranked FROM rr GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n_final FROM tr GROUP BY 1) USING (query_id) GROUP BY mode""")
 def retrieval_counters(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     """Candidates, re-ranked and final chunks per mode."""
     work, c, p = staged(spark, d, asked)
-    cand = work.table(retrieval.with_children(retrieval.hybrid(p, c), c), "hits")
+    cand = _hits(work, c, p)
     rr = work.table(retrieval.rerank(cand, p, c), "reranked")
     out = p.select("query_id", "mode")
     for name, df in (("n_candidates", cand), ("n_reranked", rr), ("n_final", retrieval.traverse(rr, c))):
@@ -173,13 +180,13 @@ def _filled(work: Work, c: DataFrame, p: DataFrame) -> DataFrame:
     return retrieval.fill_budget(t, "query_id", order, size, F.col("chunk_id"), _BUDGET)
 
 
-@query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE, _FILL).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT query_id, array_to_string(ids, ',') AS included, used, dropped FROM filled")
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE, _FILL).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT query_id, array_to_string(ids, ',') AS included, used, dropped FROM filled")
 def context_budget_fill(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
     """The chunks that fill each query's budget, taken in order of priority."""
     return _filled(*staged(spark, d, asked)).select("query_id", F.array_join("included", ",").alias("included"), "used", "dropped")
 
 
-@query(_with(_CUR, _Q, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE, _FILL).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT query_id, md5(string_agg('--- ' || CASE level WHEN 1 THEN 'SECTION SUMMARY' WHEN 2 THEN 'GROUP SUMMARY' WHEN 3 THEN 'PAPER OVERVIEW' ELSE 'SOURCE' END || ': ' || coalesce(section_title, 'Unknown Section') || ' ---' || chr(10) || text_for_display
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE, _FILL).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT query_id, md5(string_agg('--- ' || CASE level WHEN 1 THEN 'SECTION SUMMARY' WHEN 2 THEN 'GROUP SUMMARY' WHEN 3 THEN 'PAPER OVERVIEW' ELSE 'SOURCE' END || ': ' || coalesce(section_title, 'Unknown Section') || ' ---' || chr(10) || text_for_display
  || coalesce(array_to_string(list_transform(equation_latex, lambda e: chr(10) || 'Equation: $$' || e || '$$'), ''), ''), chr(10) || chr(10) ORDER BY seq, level, chunk_id)) AS context_hash, count(*) AS n_blocks, string_agg(DISTINCT section_title, '|' ORDER BY section_title) AS sections
 FROM (SELECT f.query_id, unnest(ids) AS chunk_id FROM filled f) JOIN o USING (query_id, chunk_id) WHERE text_for_display <> '' GROUP BY 1""")
 def context_text(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame:
@@ -192,6 +199,40 @@ def context_text(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame
     )
 
 
+_BLOCKS = """SELECT query_id, string_agg('--- ' || CASE level WHEN 1 THEN 'SECTION SUMMARY' WHEN 2 THEN 'GROUP SUMMARY' WHEN 3 THEN 'PAPER OVERVIEW' ELSE 'SOURCE' END || ': ' || coalesce(section_title, 'Unknown Section') || ' ---' || chr(10) || text_for_display
+ || coalesce(array_to_string(list_transform(equation_latex, lambda e: chr(10) || 'Equation: $$' || e || '$$'), ''), ''), chr(10) || chr(10) ORDER BY seq, level, chunk_id) AS context FROM (SELECT f.query_id, unnest(ids) AS chunk_id FROM filled f) JOIN o USING (query_id, chunk_id) WHERE text_for_display <> '' GROUP BY 1"""
+
+
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE, _FILL, f"b AS ({_BLOCKS})").replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT p.query_id, md5(coalesce(context[1:{retrieval.RAW_CHARS}], '{retrieval.NO_CONTEXT}')) AS answer_hash,
+md5('Answer from the sources below.' || CASE WHEN table_signal THEN ' Tables are given as text.' ELSE '' END || CASE WHEN equation_signal THEN ' Equations are given in LaTeX.' ELSE '' END || CASE WHEN figure_signal THEN ' Figures are given by caption.' ELSE '' END || chr(10) || coalesce(context, '') || chr(10) || 'Question: ' || coalesce(query_text, '')) AS prompt_hash FROM p LEFT JOIN b ON b.query_id = p.query_id""")
+def answer_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of each query with its retrieved context, and the answer where no model is plugged in."""
+    work, c, p = staged(spark, d)
+    rows = _filled(work, c, p).select("query_id", F.explode("included").alias("chunk_id")).join(c, "chunk_id").where("text_for_display <> ''")
+    blocks = F.array_sort(F.collect_list(F.struct("chunk_sequence_index", "level", "chunk_id", retrieval.context_block().alias("block"))))
+    contexts = work.table(rows.groupBy("query_id").agg(F.array_join(F.transform(blocks, lambda b: b["block"]), "\n\n").alias("context")), "contexts")
+    note = lambda kind, words: F.when(F.col(f"{kind}_signal"), F.lit(words)).otherwise("")
+    prompt = F.concat(
+        F.lit("Answer from the sources below."),
+        note("table", " Tables are given as text."),
+        note("equation", " Equations are given in LaTeX."),
+        note("figure", " Figures are given by caption."),
+        F.lit("\n"),
+        F.coalesce("context", F.lit("")),
+        F.lit("\nQuestion: "),
+        F.coalesce("query_text", F.lit("")),
+    )
+    prompts = p.join(contexts, "query_id", "left").select("query_id", F.md5(prompt).alias("prompt_hash"))
+    return retrieval.answers(p, contexts).select("query_id", F.md5("answer").alias("answer_hash")).join(prompts, "query_id")
+
+
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK.replace("round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END, 6)", "round(1 / (1 + exp(4 - 8 * (CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END))), 6)")) + "SELECT query_id, chunk_id, rerank_score::DOUBLE AS rerank_score, rank FROM rr")
+def rerank_sigmoid(spark: SparkSession, d: str) -> DataFrame:
+    """Re-ranking by the sigmoid of a logit, here eight times the share of terms less four."""
+    work, c, p = staged(spark, d)
+    return retrieval.rerank(_hits(work, c, p), p, c, logit=lambda share: 8 * share - 4)
+
+
 @query("SELECT query_id, length(prompt) AS n_chars, md5(prompt) AS prompt_hash FROM (SELECT chunk_id AS query_id, 'Answer from the sources below.' || CASE WHEN has_table THEN ' Tables are given as text.' ELSE '' END || CASE WHEN has_equation THEN ' Equations are given in LaTeX.' ELSE '' END || CASE WHEN has_figure THEN ' Figures are given by caption.' ELSE '' END || chr(10) || 'Section: ' || coalesce(section_title, '') || chr(10) || coalesce(text_for_display, '') AS prompt FROM (WITH " + _CUR + " SELECT * FROM cur))")
 def prompt_text(spark: SparkSession, d: str) -> DataFrame:
     """A prompt for every chunk as its own context."""

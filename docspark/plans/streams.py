@@ -47,8 +47,8 @@ def status_transitions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_LIVE} SELECT session_id, count(*) AS n_frames, md5(string_agg(coalesce(content, ''), '' ORDER BY created_at, id)) AS text_hash FROM live GROUP BY 1")
 def frame_assembly(spark: SparkSession, d: str) -> DataFrame:
     """The frames of a session put together in order."""
-    frames = F.sort_array(F.collect_list(F.struct("created_at", "id", F.coalesce("content", F.lit("")).alias("c"))))
-    return live_messages(spark, d).groupBy("session_id").agg(F.count("*").alias("n_frames"), F.md5(F.array_join(F.transform(frames, lambda x: x["c"]), "")).alias("text_hash"))
+    rows = live_messages(spark, d).select("session_id", "created_at", "id", F.coalesce("content", F.lit("")).alias("content"))
+    return limits.assembled(rows)
 
 
 @query("SELECT session_id, count(DISTINCT id) AS n_messages, count(*) AS n_rows FROM chat_messages WHERE id IS NOT NULL GROUP BY 1")
@@ -81,4 +81,4 @@ def fan_out(spark: SparkSession, d: str) -> DataFrame:
     """Events delivered to each user, who listens to the type of their latest event."""
     e = _events(spark, d)
     subs = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type")).withColumnRenamed("user_id", "subscriber")
-    return limits.fan_out(e, subs).groupBy("subscriber").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"))
+    return limits.fan_out_totals(e, subs)

@@ -117,8 +117,11 @@ def cluster_enrichment(spark: SparkSession, d: str) -> DataFrame:
 def sibling_links(spark: SparkSession, d: str) -> DataFrame:
     """Siblings of a chunk: the other members of its clusters."""
     m = _members(spark, d)
-    other = m.select("paper_id", "cluster_id", F.col("chunk_id").alias("sibling"))
-    return m.join(other, ["paper_id", "cluster_id"]).where("sibling <> chunk_id").groupBy("paper_id", "chunk_id").agg(F.array_join(F.sort_array(F.collect_set("sibling")), ",").alias("siblings"))
+    # one array a cluster; a chunk takes those of its clusters without itself, no pair is a row
+    lists = m.groupBy("paper_id", "cluster_id").agg(F.collect_set("chunk_id").alias("all"))
+    own = m.join(lists, ["paper_id", "cluster_id"]).groupBy("paper_id", "chunk_id").agg(F.flatten(F.collect_list("all")).alias("all"))
+    others = F.array_remove(F.array_distinct("all"), F.col("chunk_id"))
+    return own.select("paper_id", "chunk_id", others.alias("s")).where(F.size("s") > 0).select("paper_id", "chunk_id", F.array_join(F.sort_array("s"), ",").alias("siblings"))
 
 
 @query("WITH " + _CUR + """, c AS (SELECT paper_id, level, count(*) AS n FROM cur WHERE paper_id IS NOT NULL GROUP BY 1, 2), k AS (SELECT paper_id, count(*) FILTER (WHERE len(list_distinct(chunk_ids)) >= 3) AS need1, count(*) AS k FROM (SELECT DISTINCT ON (paper_id, cluster_id) * FROM structural_clusters ORDER BY paper_id, cluster_id, len(list_distinct(chunk_ids)) DESC) GROUP BY 1),
@@ -173,6 +176,11 @@ SELECT chunk_id, CASE WHEN summary IS NULL OR trim(summary) = '' THEN 'EMPTY_SUM
 WHEN len(list_filter({_NUM.format(t='summary')}, lambda n: n::DOUBLE > 10 AND NOT list_contains({_NUM.format(t='source')}, n))) > 0 THEN 'FAILED_HALLUCINATION' ELSE 'PASSED' END AS verdict FROM src""")
 def summary_validation(spark: SparkSession, d: str) -> DataFrame:
     """Every summary held against its children's text: empty, too long, or with numbers that are not in the source."""
+    return summaries_judged(spark, d).select("chunk_id", "verdict")
+
+
+def summaries_judged(spark: SparkSession, d: str) -> DataFrame:
+    """``(chunk_id, summary, source, verdict)`` of every stored summary."""
     c = current(spark, d, "level", "children_ids", "text_for_embedding")
     e = c.where("level >= 1").select(F.col("chunk_id").alias("id"), F.col("text_for_embedding").alias("summary"), F.explode(F.array_distinct("children_ids")).alias("chunk_id"))
     kids = e.join(c.where("text_for_embedding is not null").select("chunk_id", "text_for_embedding"), "chunk_id")
@@ -181,7 +189,7 @@ def summary_validation(spark: SparkSession, d: str) -> DataFrame:
     new = F.filter(F.array_except(extract_numbers(F.col("summary")), extract_numbers(F.col("source"))), lambda n: n.cast("double") > 10)
     long = (count_tokens(F.col("source")) > 50) & (count_tokens(F.col("summary")) / F.greatest(count_tokens(F.col("source")), F.lit(1)) > 0.6)
     verdict = F.when(F.col("summary").isNull() | (F.trim("summary") == ""), "EMPTY_SUMMARY").when(long, "FAILED_COMPRESSION").when(F.size(new) > 0, "FAILED_HALLUCINATION").otherwise("PASSED")
-    return src.select(F.col("id").alias("chunk_id"), verdict.alias("verdict"))
+    return src.select(F.col("id").alias("chunk_id"), "summary", "source", verdict.alias("verdict"))
 
 
 def _points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,6 +43,40 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return events.join(subscriptions, "event_type")
 
 
+def fan_out_totals(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """``(subscriber, n_events, last_event)``: what :func:`fan_out` would deliver, from one row per type and not one per delivery."""
+    totals = events.groupBy("event_type").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"))
+    return subscriptions.join(totals, "event_type").groupBy("subscriber").agg(F.sum("n_events").alias("n_events"), F.max("last_event").alias("last_event"))
+
+
+def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digest of the texts of each session; of the open one only the running digest is held."""
+    at, n, digest = None, 0, None
+
+    def row() -> list[tuple]:
+        return [(at, n, digest.hexdigest())] if digest is not None else []
+
+    for pdf in batches:
+        out: list[tuple] = []
+        for session, content in zip(pdf["session_id"], pdf["content"]):
+            if digest is None or session != at:
+                out += row()
+                at, n, digest = session, 0, hashlib.md5(usedforsecurity=False)
+            n += 1
+            digest.update(content.encode())
+        yield pd.DataFrame(out, columns=["session_id", "n_frames", "text_hash"])
+    yield pd.DataFrame(row(), columns=["session_id", "n_frames", "text_hash"])
+
+
+def assembled(frames: DataFrame) -> DataFrame:
+    """``frames(session_id, created_at, id, content)`` -> ``(session_id, n_frames, text_hash)``: each session's texts in order, as a digest.
+
+    Sorted partitions are streamed, so that a session of any length needs no more memory than a batch. Contents must not be null.
+    """
+    placed = frames.repartition("session_id").sortWithinPartitions("session_id", "created_at", "id")
+    return placed.select("session_id", "content").mapInPandas(_frames, "session_id string, n_frames long, text_hash string")
+
+
 _DROP = "user_id long, event_id long, place int"
 
 

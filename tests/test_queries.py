@@ -7,7 +7,7 @@ import pytest
 
 from tests.oracle import DATA, check, expected
 
-MODULES = [importlib.import_module(f"docspark.plans.{m}") for m in ("general", "textual", "search", "library", "trees", "chunks", "streams")]
+MODULES = [importlib.import_module(f"docspark.plans.{m}") for m in ("general", "textual", "search", "library", "trees", "chunks", "streams", "pipeline")]
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 SQL = {n: q for m in MODULES for n, q in m.SQL.items()}
 

@@ -2,9 +2,9 @@
 
 Unit vectors are standardised and reduced (principal components of all rows). A
 mixture with regularised diagonal covariance is fitted by expectation-maximisation
-over all rows, one job per step, several numbers of components at once; the Bayesian
+over all rows until the likelihood settles, one job per step, several numbers of components at once; the Bayesian
 information criterion chooses. Components that are still large are split the same way, level by
-level, so that a leaf holds a bounded number of rows whatever the input; the
+level, over their own rows alone, which lie together by then; so a task sums for the components it has rows of. The
 mixture is then both the clustering and its index. Inside a leaf members are
 checked against the likeness itself, in blocks; fragments of all leaves are then compared with each
 other, a pair being passed over only where the triangle inequality on angles proves that no two of its
@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,14 +31,19 @@ LIKENESS = 0.8
 #: Dimensions kept, rows a leaf should have, rows compared at once.
 DIMS, LEAF_ROWS, BLOCK_ROWS = 16, 1500, 2048
 #: Numbers of components tried for the whole and for a component that is split further.
-FIRST, FURTHER = (8, 16, 32), (4, 8, 16)
-STEPS, MAX_LEVELS = 5, 6
+FIRST, FURTHER = (8, 16, 32), (1, 2, 4, 8, 16)
+#: Steps end when no mixture gains this much log-likelihood a row, at the latest after so many; levels there may be.
+GAIN, MOST_STEPS, MAX_LEVELS = 0.05, 40, 8
+#: A component of at most so many rows is fitted in one task, step by step; a larger one by a job a step.
+LOCAL_ROWS = 16_000
 #: Added to every variance (features are standardised), so that no component collapses.
 RIDGE = 1e-2
-#: Rows from which the initial means are drawn, at most; the fit itself takes all rows.
-SEED_ROWS = 20_000
+#: Rows of each component from which initial means are drawn, expected; the fit itself takes all rows.
+SEED_ROWS = 1_000
 #: Rows of a pack of fragments, and pairs of packs handed to Python at once.
 PACK_ROWS, PACK_PAIRS = 4096, 8
+#: First sums of a mixture's shares; a second one adds them up.
+SUM_PARTS = 32
 #: Radians allowed for rounding in the bounds on angles.
 SLACK = 2e-3
 
@@ -64,7 +70,7 @@ def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _total(parts: DataFrame) -> np.ndarray | None:
     """The sum of the arrays in ``data`` over all partitions, in two steps; one array reaches the driver."""
-    some = parts.withColumn("k", F.spark_partition_id() % 16).groupBy("k").applyInPandas(_sum_rows, "one int, data binary")
+    some = parts.withColumn("k", F.spark_partition_id() % SUM_PARTS).groupBy("k").applyInPandas(_sum_rows, "one int, data binary")
     whole = some.groupBy("one").applyInPandas(_sum_rows, "one int, data binary").collect()
     return np.frombuffer(whole[0].data, np.float64) if whole else None
 
@@ -95,10 +101,12 @@ def _features(dim: int, mean: np.ndarray, to: np.ndarray) -> Callable[[Iterator[
 
 
 class Mixture:
-    """One level: components with their parent, weight, mean and variance."""
+    """One level: components with their parent, weight, mean and variance; those of a parent stand together."""
 
-    def __init__(self, parent: np.ndarray, weight: np.ndarray, mean: np.ndarray, var: np.ndarray, rows: np.ndarray | None = None) -> None:
-        self.parent, self.weight, self.mean, self.var, self.rows = parent, weight, mean, var, rows
+    def __init__(self, parent: np.ndarray, weight: np.ndarray, mean: np.ndarray, var: np.ndarray, rows: np.ndarray | None = None, steps: int = 0) -> None:
+        self.parent, self.weight, self.mean, self.var, self.rows, self.steps = parent, weight, mean, var, rows, steps
+        start = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+        self.of = {int(parent[i]): np.arange(i, j) for i, j in zip(start, np.r_[start[1:], len(parent)])}
 
     def log_density(self, z: np.ndarray, some: np.ndarray) -> np.ndarray:
         """Weighted log densities of rows ``z`` under the components ``some``."""
@@ -107,8 +115,13 @@ class Mixture:
         const = np.log(np.maximum(self.weight[some], 1e-300)) - 0.5 * (np.log(2 * np.pi * self.var[some]).sum(1) + (mean * mean * inv).sum(1))
         return const - 0.5 * (z * z) @ inv.T + z @ (mean * inv).T
 
-    def children(self, parent: int) -> np.ndarray:
-        return np.flatnonzero(self.parent == parent)
+
+def _by(at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of ``at`` with the rows that have it."""
+    order = np.argsort(at, kind="stable")
+    start = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]]) if len(at) else np.zeros(0, int)
+    for i, j in zip(start, np.r_[start[1:], len(at)]):
+        yield int(at[order[i]]), order[i:j]
 
 
 def route(levels: list[Mixture], z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +131,11 @@ def route(levels: list[Mixture], z: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     live = np.arange(len(z))
     for depth, m in enumerate(levels):
         nxt = []
-        for p in np.unique(at[live]):
-            rows = live[at[live] == p]
-            kids = m.children(p)
-            if not len(kids):
+        for p, some in _by(at[live]):
+            kids = m.of.get(p)
+            if kids is None:
                 continue
+            rows = live[some]
             d = m.log_density(z[rows], kids)
             best = d.argmax(1)
             at[rows], density[rows] = kids[best], d[np.arange(len(rows)), best]
@@ -134,37 +147,42 @@ def route(levels: list[Mixture], z: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return leaf, density
 
 
-def _expect(levels, trial: Mixture, groups: list[tuple[int, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sufficient statistics of one step for all trials: per component row count, sums and squares; per trial its log likelihood."""
+def _floats(column: pa.Array, d: int) -> np.ndarray:
+    """The rows of a column of packed 32-bit numbers without nulls, as they lie in its buffer."""
+    if not len(column):
+        return np.zeros((0, d))
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(-1, d).astype(np.float64)
+
+
+def _rows_of(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(b.column("parent")), _floats(b.column("z"), d)
+
+
+def _expect(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The statistics of one step of those mixtures (a parent's trials) that have rows here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, d = trial.mean.shape
-        count, first, second, likelihood = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), np.zeros(len(groups))
+        of, held = sent.value, {}
+        d = next(iter(of.values()))[0][1].mean.shape[1]
         for b in batches:
-            z = np.frombuffer(b"".join(b.column("z").to_pylist()), np.float32).reshape(-1, d).astype(np.float64)
-            leaf = route(levels, z)[0] if levels else np.full(len(z), -1)
-            at = leaf - ((len(levels) - 1) << 32) if levels else leaf
-            order = np.argsort(at, kind="stable")
-            z, at = z[order], at[order]
-            for g, (parent, some) in enumerate(groups):
-                i, j = np.searchsorted(at, [parent, parent + 1])
-                if i == j:
-                    continue
-                x = z[i:j]
-                logp = trial.log_density(x, some)
-                top = logp.max(1, keepdims=True)
-                r = np.exp(logp - top)
-                s = r.sum(1, keepdims=True)
-                r /= s
-                likelihood[g] += float((top + np.log(s)).sum())
-                count[some] += r.sum(0)
-                first[some] += r.T @ x
-                second[some] += r.T @ (x * x)
-        yield pa.RecordBatch.from_pydict({"data": [np.r_[count, first.ravel(), second.ravel(), likelihood].tobytes()]})
+            parent, z = _rows_of(b, d)
+            for p, rows in _by(parent):
+                for g, m in of.get(p, ()):
+                    own = _statistics(m, np.arange(len(m.mean)), z[rows])
+                    held[g] = held[g] + own if g in held else own
+        if held:
+            # shares are added in two steps, by the square root of their number or so
+            part = TaskContext.get().partitionId() % SUM_PARTS
+            yield pa.RecordBatch.from_pydict({"g": pa.array(list(held), pa.int32()), "part": pa.array([part] * len(held), pa.int32()), "data": [x.tobytes() for x in held.values()]})
 
     return run
 
 
+def _sum_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "data": [sum(np.frombuffer(raw, np.float64) for raw in pdf["data"]).tobytes()]})
+
+
 def _seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means++ seeding."""
     picked = [x[rng.integers(len(x))]]
@@ -177,48 +195,159 @@ def _seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(picked)
 
 
-def fit_level(features: DataFrame, levels: list[Mixture], parents: list[tuple[int, float]], sizes: tuple[int, ...], seeds: np.ndarray) -> Mixture:
-    """Fits the children of ``parents(component, rows)`` over all rows and keeps, per parent, the number of components of least BIC."""
-    rng = np.random.default_rng(7)
-    at = route(levels, seeds)[0] - ((len(levels) - 1) << 32) if levels else np.full(len(seeds), -1)
-    means, spread, groups, owner = [], [], [], []
-    for p, rows in parents:
-        own = seeds[at == p]
-        base = (levels[-1].mean[p], levels[-1].var[p]) if levels else (seeds.mean(0), seeds.var(0) + RIDGE)
-        # a number of components is tried if leaves would still hold a third of what they should
-        for k in sizes if not levels else [k for k in sizes if k == sizes[0] or k <= 3 * rows / LEAF_ROWS]:
-            k = max(1, min(k, int(rows)))
-            some = np.arange(len(means), len(means) + k)
-            means.extend(_seeds(own, k, rng) if len(own) >= 2 * k else base[0] + np.sqrt(base[1]) * rng.standard_normal((k, len(base[0]))))
-            spread.extend([base[1] / 2] * k)
-            groups.append((p, some))
-            owner.extend([p] * k)
-    trial = Mixture(np.array(owner), np.concatenate([np.full(len(s), 1 / len(s)) for _, s in groups]), np.array(means), np.array(spread))
-    k, d = trial.mean.shape
-    for _ in range(STEPS):
-        total = _total(features.select("z").mapInArrow(_expect(levels, trial, groups), "data binary"))
-        count, first, second = total[:k], total[k : k + k * d].reshape(k, d), total[k + k * d : k + 2 * k * d].reshape(k, d)
-        likelihood = total[k + 2 * k * d :]
-        n = np.maximum(count, 1e-9)[:, None]
-        mean = np.where(count[:, None] > 1e-6, first / n, trial.mean)
-        var = np.where(count[:, None] > 1e-6, np.maximum(second / n - mean * mean, 0), trial.var) + RIDGE
-        weight = np.concatenate([count[s] / max(count[s].sum(), 1e-9) for _, s in groups])
-        trial = Mixture(trial.parent, weight, mean, var, count)
-    keep = []
-    for p, rows in parents:
-        scored = [((len(s) * (2 * d + 1) - 1) * np.log(max(rows, 2)) - 2 * likelihood[g], g) for g, (q, s) in enumerate(groups) if q == p]
-        some = groups[min(scored)[1]][1]  # least BIC
-        used = some[count[some] >= 0.5]
-        keep.append(used if len(used) else some[:1])
-    keep = np.concatenate(keep)
-    return Mixture(trial.parent[keep], trial.weight[keep], trial.mean[keep], trial.var[keep], trial.rows[keep])
-
-
-def _assign(levels: list[Mixture]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _drawn(sizes: tuple[int, ...]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Initial means of every number of components from the rows drawn of one parent, and those rows' variance."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(sorted(pdf["z"])), np.float32).reshape(len(pdf), -1).astype(np.float64)
+        rng = np.random.default_rng(7)
+        return pd.DataFrame({"parent": [key[0]] * len(sizes), "k": list(sizes), "means": [_seeds(x, k, rng).tobytes() for k in sizes], "var": [x.var(0).tobytes()] * len(sizes)})
+
+    return run
+
+
+def _statistics(model: Mixture, some: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Row counts, sums and squares of the components ``some``, and the log likelihood of the rows ``x``."""
+    logp = model.log_density(x, some)
+    top = logp.max(1, keepdims=True)
+    r = np.exp(logp - top)
+    s = r.sum(1, keepdims=True)
+    r /= s
+    return np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel(), [float((top + np.log(s)).sum())]])
+
+
+def _maximised(model: Mixture, some: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Rows, weights, means and variances of the components ``some`` after a step, and the log likelihood before it."""
+    k, d = len(some), model.mean.shape[1]
+    n, seen = np.maximum(sums[:k], 1e-9)[:, None], sums[:k, None] > 1e-6
+    mean = np.where(seen, sums[k : k + k * d].reshape(k, d) / n, model.mean[some])
+    var = np.where(seen, np.maximum(sums[k + k * d : k + 2 * k * d].reshape(k, d) / n - mean * mean, 0) + RIDGE, model.var[some])
+    return sums[:k], sums[:k] / max(sums[:k].sum(), 1e-9), mean, var, float(sums[-1])
+
+
+def _bic(k: int, d: int, rows: float, likelihood: float) -> float:
+    return (k * (2 * d + 1) - 1) * np.log(max(rows, 2)) - 2 * likelihood
+
+
+def _start(parent: int, k: int, means: np.ndarray, var: np.ndarray) -> Mixture:
+    return Mixture(np.full(k, parent), np.full(k, 1 / k), means, np.tile((var + RIDGE) / (1 if k == 1 else 2), (k, 1)))
+
+
+_FITTED = "parent long, weight double, mean binary, var binary, rows double, steps int"
+
+
+def _fitted(m: Mixture) -> pd.DataFrame:
+    """The components of a mixture that hold rows."""
+    used = np.flatnonzero(m.rows >= 0.5)
+    used = used if len(used) else np.arange(1)
+    return pd.DataFrame({"parent": m.parent[used], "weight": m.weight[used], "mean": [x.tobytes() for x in m.mean[used]], "var": [x.tobytes() for x in m.var[used]], "rows": m.rows[used], "steps": m.steps})
+
+
+def _local(sizes: tuple[int, ...]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The mixture of one component's rows of least BIC."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(sorted(pdf["z"])), np.float32).reshape(len(pdf), -1).astype(np.float64)
+        seeds = np.frombuffer(b"".join(sorted(pdf["z"][pdf["drawn"]]) or sorted(pdf["z"])), np.float32).reshape(-1, x.shape[1]).astype(np.float64)
+        rng, best = np.random.default_rng(7), None
+        for k in sizes:
+            m, before = _start(key[0], k, _seeds(seeds, k, rng), seeds.var(0)), -np.inf
+            for step in range(1, MOST_STEPS + 1):
+                rows, weight, mean, var, likelihood = _maximised(m, np.arange(k), _statistics(m, np.arange(k), x))
+                m = Mixture(m.parent, weight, mean, var, rows, step)
+                gain, before = (likelihood - before) / len(x), likelihood
+                if gain <= GAIN:
+                    break
+            score = _bic(k, x.shape[1], len(x), before)
+            if best is None or score < best[0]:
+                best = (score, m)
+        return _fitted(best[1])
+
+    return run
+
+
+def _by_jobs(live: DataFrame, drawn: DataFrame, parents: dict[int, float], sizes: tuple[int, ...]) -> list[Mixture]:
+    """The same for components of any size: one job a step for all their mixtures that still gain."""
+    spark = live.sparkSession
+    drawn = drawn.groupBy("parent").applyInPandas(_drawn(sizes), "parent long, k int, means binary, var binary").collect()
+    trials = [_start(r.parent, r.k, np.frombuffer(r.means, np.float64).reshape(r.k, -1), np.frombuffer(r.var, np.float64)) for r in sorted(drawn, key=lambda r: (r.parent, r.k))]
+    shares = live.rdd.getNumPartitions()
+    likelihood, open_ = [-np.inf] * len(trials), set(range(len(trials)))
+    for step in range(1, MOST_STEPS + 1):
+        of: dict[int, list] = {}
+        for g in open_:
+            of.setdefault(int(trials[g].parent[0]), []).append((g, trials[g]))
+        sent = spark.sparkContext.broadcast(of)  # the model: as many rows as components on trial
+        sums = live.select("parent", "z").mapInArrow(_expect(sent), "g int, part int, data binary")
+        if shares > SUM_PARTS:
+            sums = sums.groupBy("g", "part").applyInPandas(_sum_group, "g int, data binary")
+        if len(trials) > SUM_PARTS:  # few mixtures: their shares, at most SUM_PARTS each, are added here
+            sums = sums.groupBy("g").applyInPandas(_sum_group, "g int, data binary")
+        total: dict[int, np.ndarray] = {}
+        for r in sums.collect():
+            x = np.frombuffer(r.data, np.float64)
+            total[r.g] = total[r.g] + x if r.g in total else x
+        for g, x in total.items():
+            m = trials[g]
+            rows, weight, mean, var, now = _maximised(m, np.arange(len(m.mean)), x)
+            trials[g] = Mixture(m.parent, weight, mean, var, rows, step)
+            if (now - likelihood[g]) / max(parents[int(m.parent[0])], 1.0) <= GAIN:
+                open_.discard(g)
+            likelihood[g] = now
+        sent.unpersist()
+        if not open_:
+            break
+    best: dict[int, tuple] = {}
+    for g, m in enumerate(trials):
+        p = int(m.parent[0])
+        score = _bic(len(m.mean), m.mean.shape[1], parents[p], likelihood[g])
+        if p not in best or score < best[p][0]:
+            best[p] = (score, m)
+    return [m for _, m in best.values()]
+
+
+def fit_level(live: DataFrame, parents: list[tuple[int, float]], sizes: tuple[int, ...]) -> Mixture:
+    """Fits the children of ``parents(component, rows)`` over all rows ``live(parent, z)`` and keeps, per parent, the number of components of least BIC."""
+    spark = live.sparkSession
+    # every parent has its own share, so that deep and small ones have as many seeds as the first
+    rate = spark.createDataFrame([(p, min(1.0, SEED_ROWS / max(r, 1.0)), r > LOCAL_ROWS) for p, r in parents], "parent long, rate double, large boolean")
+    keep = F.pmod(F.xxhash64(F.lit("seed"), "z"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
+    marked = live.join(F.broadcast(rate), "parent").withColumn("drawn", keep)  # a row per component to be split
+    large = {p: r for p, r in parents if r > LOCAL_ROWS}
+    own = live if len(large) == len(parents) else marked.where("large").select("parent", "z")
+    parts = [_fitted(m) for m in (_by_jobs(own, marked.where("large and drawn").select("parent", "z"), large, sizes) if large else [])]
+    if len(large) < len(parents):
+        parts += [marked.where("not large").groupBy("parent").applyInPandas(_local(sizes), _FITTED).toPandas()]  # the model itself
+    every = pd.concat(parts).sort_values("parent", kind="stable", ignore_index=True)
+    values = lambda c: np.frombuffer(b"".join(every[c]), np.float64).reshape(len(every), -1)
+    return Mixture(every["parent"].to_numpy().astype(int), every["weight"].to_numpy(), values("mean"), values("var"), every["rows"].to_numpy(), int(every["steps"].max()))
+
+
+def _descend(sent, splits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the components that are split further, each with its component and its block in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, further = sent.value, splits
+        d = model.mean.shape[1]
+        for b in batches:
+            parent, z = _rows_of(b, d)
+            child = np.full(len(z), -1)
+            for p, rows in _by(parent):
+                kids = model.of.get(p)
+                if kids is not None:
+                    child[rows] = kids[model.log_density(z[rows], kids).argmax(1)]
+            goes = np.flatnonzero(np.isin(child, further))
+            yield pa.RecordBatch.from_arrays([pa.array(child[goes]), b.column("z").take(pa.array(goes))], names=["parent", "z"])
+
+    return run
+
+
+def _assign(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = sent.value
         d = levels[0].mean.shape[1]
         for b in batches:
-            z = np.frombuffer(b"".join(b.column("z").to_pylist()), np.float32).reshape(-1, d).astype(np.float64)
+            z = _floats(b.column("z"), d)
             leaf, density = route(levels, z)
             blocks = np.array([max(1, round(levels[x >> 32].rows[x & 0xFFFFFFFF] / BLOCK_ROWS + 0.5)) for x in leaf.tolist()], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("u"), pa.array(leaf), pa.array(blocks), pa.array(density)], names=["id", "u", "leaf", "blocks", "density"])
@@ -343,6 +472,13 @@ def _joined(members: DataFrame, work: Work, likeness: float, dim: int) -> DataFr
         members.sparkSession.conf.set(key, before)
 
 
+def _together(rows: DataFrame, parents: list[tuple[int, float]]) -> DataFrame:
+    """``rows(parent, z)`` with those of a component in one partition, or in several if they are many."""
+    blocks = rows.sparkSession.createDataFrame([(k, int(r // (8 * LEAF_ROWS)) + 1) for k, r in parents], "parent long, blocks int")
+    dealt = rows.join(F.broadcast(blocks), "parent").withColumn("block", F.pmod(F.xxhash64("z"), F.col("blocks")))  # a row per component to be split
+    return dealt.repartition("parent", "block").select("parent", "z")
+
+
 def similarity_clusters(rows: DataFrame, work: Work, likeness: float = LIKENESS) -> DataFrame:
     """``rows(id, vector)`` -> ``(cluster_key, id, component, density)``, the key being the smallest id of the cluster.
 
@@ -367,18 +503,24 @@ def similarity_clusters(rows: DataFrame, work: Work, likeness: float = LIKENESS)
     to = axes[:, top] / std[:, None]
     features = work.table(given.mapInArrow(_features(dim, mean, to), "id string, u binary, z binary"), "features")
 
-    sample = features.select("z").where(F.pmod(F.xxhash64("id"), F.lit(max(1, int(n / SEED_ROWS)))) == 0).limit(SEED_ROWS).collect()
-    seeds = np.frombuffer(b"".join(r.z for r in sample) or features.select("z").first().z, np.float32).reshape(-1, len(top)).astype(np.float64)
+    spark = given.sparkSession
     levels: list[Mixture] = []
-    parents, trial = [(-1, n)], FIRST
+    parents, trial = [(-1, float(n))], FIRST
+    live = features.select(F.lit(-1).cast("long").alias("parent"), "z")
     while parents and len(levels) < MAX_LEVELS:
-        levels.append(fit_level(features, levels, parents, trial, seeds))
-        rest = [(k, r) for k, r in enumerate(levels[-1].rows) if r > LEAF_ROWS]
+        levels.append(fit_level(live, parents, trial))
         # a component that did not come apart (one dense cluster) is a leaf of several blocks
         before = dict(parents)
-        parents, trial = [(k, r) for k, r in rest if r < 0.9 * before[levels[-1].parent[k]]], FURTHER
-
-    placed = features.select("id", "u", "z").mapInArrow(_assign(levels), "id string, u binary, leaf long, blocks int, density double")
+        rows = levels[-1].rows
+        parents, trial = [(k, float(r)) for k, r in enumerate(rows) if r > LEAF_ROWS and r < 0.9 * before[int(levels[-1].parent[k])]], FURTHER
+        if parents:
+            splits = np.array([k for k, _ in parents])
+            down = live.mapInArrow(_descend(spark.sparkContext.broadcast(levels[-1]), splits), "parent long, z binary")
+            # rows of a component lie together, a large one in several blocks
+            live = work.table(_together(down, parents), "live")
+
+    sent = spark.sparkContext.broadcast(levels)
+    placed = features.select("id", "u", "z").mapInArrow(_assign(sent), "id string, u binary, leaf long, blocks int, density double")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     members = work.table(placed.groupBy("leaf", "block").applyInPandas(_fragments(likeness), _MEMBER), "members")
     joined = _joined(members, work, likeness, dim)

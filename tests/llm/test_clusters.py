@@ -61,6 +61,18 @@ def test_every_pair_of_leaves_is_compared(spark, work, monkeypatch):
     assert {r.id: r.cluster_key for r in out} == brute(rows, 16)
 
 
+def test_mostly_single_rows_and_three_levels(spark, work, monkeypatch):
+    monkeypatch.setattr(clusters, "LEAF_ROWS", 15)
+    monkeypatch.setattr(clusters, "LOCAL_ROWS", 100)
+    monkeypatch.setattr(clusters, "FIRST", (4, 8))
+    fitted, fit = [], clusters.fit_level
+    monkeypatch.setattr(clusters, "fit_level", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    rows = make(6, [1] * 900 + [5] * 40 + [80])
+    out = clusters.similarity_clusters(spark.createDataFrame(rows, SCHEMA).repartition(3), work).collect()
+    assert len(fitted) >= 3
+    assert {r.id: r.cluster_key for r in out} == brute(rows, 16)  # recall against brute force is 1
+
+
 def test_description(spark, work):
     rows = make(2, [12, 5, 1])
     c = work.table(clusters.similarity_clusters(spark.createDataFrame(rows, SCHEMA), work), "c")
@@ -74,12 +86,28 @@ def test_description(spark, work):
         assert list(r.typical) == sorted(members[k], key=lambda i: (-density[i], i))[:3]
 
 
-def test_mixture_finds_the_number_of_components(spark, work):
+@pytest.mark.parametrize("local", [10_000, 100])
+def test_mixture_finds_the_number_of_components(spark, work, monkeypatch, local):
+    monkeypatch.setattr(clusters, "LOCAL_ROWS", local)
     rng = np.random.default_rng(3)
     z = np.concatenate([rng.normal(c, 0.1, (200, 4)) for c in ([0] * 4, [5] * 4, [0, 5, 0, 5])]).astype(np.float32)
-    f = spark.createDataFrame([(f"{i}", bytearray(v.tobytes())) for i, v in enumerate(z)], "id string, z binary").repartition(2)
-    m = clusters.fit_level(f, [], [(-1, float(len(z)))], (1, 3, 12), z.astype(np.float64))
+    f = spark.createDataFrame([(-1, bytearray(v.tobytes())) for v in z], "parent long, z binary").repartition(2)
+    m = clusters.fit_level(f, [(-1, float(len(z)))], (1, 3, 12))
     assert len(m.mean) == 3 and abs(m.weight.sum() - 1) < 1e-6
+    assert sorted(m.rows.round().tolist()) == [200, 200, 200] and m.steps < clusters.MOST_STEPS
+
+
+def test_fit_in_one_task_equals_fit_by_jobs(spark, work, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(p, bytearray((rng.normal(size=3) + 3 * p * (rng.random() < 0.4)).astype(np.float32).tobytes())) for p in (1, 2) for _ in range(300)]
+    f = spark.createDataFrame(rows, "parent long, z binary").repartition(3)
+    out = []
+    for local in (10_000, 10):
+        monkeypatch.setattr(clusters, "LOCAL_ROWS", local)
+        out.append(clusters.fit_level(f, [(1, 300.0), (2, 300.0)], (1, 2, 4)))
+    assert (out[0].parent == out[1].parent).all() and out[0].steps == out[1].steps
+    for c in ("weight", "mean", "var", "rows"):
+        assert np.allclose(getattr(out[0], c), getattr(out[1], c), atol=1e-6)
 
 
 def test_empty(spark, work):

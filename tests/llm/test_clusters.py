@@ -65,6 +65,7 @@ def test_mostly_single_rows_and_three_levels(spark, work, monkeypatch):
     monkeypatch.setattr(clusters, "LEAF_ROWS", 15)
     monkeypatch.setattr(clusters, "LOCAL_ROWS", 100)
     monkeypatch.setattr(clusters, "FIRST", (4, 8))
+    monkeypatch.setattr(clusters, "FURTHER", (3, 4))  # the criterion would leave rows like no other in one component
     fitted, fit = [], clusters.fit_level
     monkeypatch.setattr(clusters, "fit_level", lambda *a: fitted.append(fit(*a)) or fitted[-1])
     rows = make(6, [1] * 900 + [5] * 40 + [80])

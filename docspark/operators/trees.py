@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,44 +11,29 @@ from pyspark.sql.window import Window
 
 from docspark.functions.text import chunk_id, extractive_summary, normalize_title
 from docspark.operators.components import connected_components
-from docspark.operators.knn import similar_pairs
+from docspark.operators.knn import QUERY_BLOCK, _pack, _usable, similar_pairs
 from docspark.work import Work
 
 LEAST_SIZE, MOST_SIZE = 3, 12
 
 
-def _merge_rule(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Groups the sections of one paper: small ones join the cluster before (or wait for the one after)."""
-    pdf = pdf.sort_values(["first_order", "section"], ignore_index=True)
-    rows, waiting, size, group = [], [], 0, -1
-    for section, n in zip(pdf["section"], pdf["n"]):
-        if n + size < LEAST_SIZE:
-            if group >= 0:
-                rows.append((section, group, True))
-            else:
-                waiting.append(section)
-                size += n
-            continue
-        group += 1
-        rows += [(s, group, False) for s in [*waiting, section]]
-        waiting, size = [], 0
-    rows += [(s, max(group, 0), group >= 0) for s in waiting]
-    out = pd.DataFrame(rows, columns=["section", "grp", "appended"])
-    return out.assign(paper_id=pdf["paper_id"].iloc[0])[["paper_id", "section", "grp", "appended"]]
-
-
 def structural_clusters(chunks: DataFrame) -> DataFrame:
     """``chunks(paper_id, chunk_id, section_hierarchy, section_title, first_order)`` -> ``(paper_id, chunk_id, cluster_no, n_in_cluster)``.
 
     Chunks are grouped by normalised top section in reading order; groups under 3 join a neighbour, groups over
-    12 are cut by subsection, or in halves if they have none. Only the sections' sizes (not the chunks) of a paper meet in
-    one task; the rest are windows. Null sections count as 'unknown'; chunk ids must be unique.
+    12 are cut by subsection, or in halves if they have none. Null sections count as 'unknown'; chunk ids must be unique.
     """
     top = F.coalesce(F.try_element_at("section_hierarchy", F.lit(1)), F.col("section_title"), F.lit("unknown"))
     sub = F.coalesce(normalize_title(F.try_element_at("section_hierarchy", F.lit(2))), F.lit("main"))
     rows = chunks.select("paper_id", "chunk_id", F.coalesce("first_order", F.lit(0)).alias("first_order"), F.coalesce(normalize_title(top), F.lit("unknown")).alias("section"), sub.alias("sub"))
     sections = rows.groupBy("paper_id", "section").agg(F.count("*").alias("n"), F.min("first_order").alias("first_order"))
-    groups = sections.groupBy("paper_id").applyInPandas(_merge_rule, "paper_id string, section string, grp int, appended boolean")
+    # the first sections wait for each other until they are a group; then small ones join the group before
+    reading = Window.partitionBy("paper_id").orderBy("first_order", "section").rowsBetween(Window.unboundedPreceding, 0)
+    held = sections.withColumn("held", F.sum("n").over(reading))
+    opening = F.col("held") - F.col("n") < LEAST_SIZE
+    groups = held.withColumn("opening", opening).withColumn("new", (~opening & (F.col("n") >= LEAST_SIZE)).cast("int")).select(
+        "paper_id", "section", F.sum("new").over(reading).cast("int").alias("grp"), (~F.col("opening") & (F.col("new") == 0)).alias("appended")
+    )
     placed = rows.join(groups, ["paper_id", "section"])
     sizes = placed.groupBy("paper_id", "grp").agg(F.count_if(~F.col("appended")).alias("n"), F.count_distinct(F.when(~F.col("appended"), F.col("sub"))).alias("n_subs"))
     placed = placed.join(sizes, ["paper_id", "grp"])
@@ -70,12 +57,36 @@ def centres(x: DataFrame, weight: str, dims: int) -> DataFrame:
     return sums.select("paper_id", "cluster", F.array(*[F.col(f"s{i}") / F.col("w") for i in range(dims)]).alias("centre"))
 
 
+def _pulls(power: float, floor: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                x, c = (np.asarray(v, dtype=float).reshape(n, -1) for v, n in ((r.x_data, len(r.x_ids)), (r.centres, len(r.clusters))))
+                far = np.stack([((x - k) ** 2).sum(1) for k in c], axis=1)
+                pull = np.maximum(far, floor) ** -power
+                u = pull / pull.sum(1, keepdims=True)
+                n = len(c)
+                yield pd.DataFrame({"paper_id": r.grp, "chunk_id": np.repeat(np.asarray(r.x_ids, dtype=object), n), "cluster": np.tile(np.asarray(r.clusters), len(x)), "u": u.ravel()})
+
+    return run
+
+
 def memberships(x: DataFrame, c: DataFrame, power: float = 2.0, floor: float = 1e-10) -> DataFrame:
-    """``(paper_id, chunk_id, cluster, u, vector)``: share of each cluster by inverse squared distance to the ``power``."""
-    far = F.aggregate(F.zip_with("vector", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    pulled = x.join(c, "paper_id").withColumn("pull", F.pow(F.greatest(far, F.lit(floor)), F.lit(-power)))
-    total = F.sum("pull").over(Window.partitionBy("paper_id", "chunk_id"))
-    return pulled.select("paper_id", "chunk_id", "cluster", (F.col("pull") / total).alias("u"), "vector")
+    """``(paper_id, chunk_id, cluster, u)``: share of each cluster ``c(paper_id, cluster, centre)`` by inverse squared distance to the ``power``.
+
+    A paper's rows are cut in blocks, each of which meets the matrix of the paper's centres, so that a hot paper is many tasks.
+    """
+    kind, whole = x.schema["chunk_id"].dataType.simpleString(), c.schema["cluster"].dataType.simpleString()
+    rows = _usable(x.select(F.col("paper_id").alias("grp"), F.col("chunk_id").alias("id"), "vector"))
+    sizes = rows.groupBy("grp", "dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    packed = _pack(rows, sizes, "x")
+    matrix = c.groupBy(F.col("paper_id").alias("grp")).agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("m"))
+    matrix = matrix.select("grp", F.col("m.cluster").alias("clusters"), F.flatten("m.centre").alias("centres"))
+    dealt = sizes.join(matrix, "grp").withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    met = packed.drop("blocks").join(dealt, ["grp", "dim", "x_block"]).select("grp", "x_ids", "x_data", "clusters", "centres")
+    return met.mapInPandas(_pulls(power, floor), f"paper_id string, chunk_id {kind}, cluster {whole}, u double")
 
 
 def _fuzzy(steps: int, tolerance: float, threshold: float):
@@ -125,45 +136,40 @@ def fuzzy_clusters(x: DataFrame, start: DataFrame, work: Work, dims: int, steps:
     return u.withColumn("rank", rank).where(F.col("rank") <= most).select("paper_id", "chunk_id", "cluster", F.round("u", 4).alias("score"))
 
 
-def _greedy(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+def _resolved(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of one group of resemblances: which node each is kept as, by going over the edges in id order."""
+    nodes = nodes.sort_values("chunk_id", ignore_index=True)
+    tokens = dict(zip(nodes["chunk_id"], nodes["token_count"].fillna(0)))
+    into: dict[str, str] = {}
+    for a, b in pairs.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
+        if a not in into and b not in into:
+            longer = tokens[b] > tokens[a]
+            into[a if longer else b] = b if longer else a
 
-        pdf = pdf.sort_values("chunk_id", ignore_index=True)
-        v = np.array(pdf["vector"].tolist(), dtype=float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        ids, tokens = pdf["chunk_id"].tolist(), pdf["token_count"].fillna(0).tolist()
-        links = [set(x) if x is not None else set() for x in pdf["children"]]
-        into: dict[int, int] = {}
-        for i in range(len(ids)):
-            for j in range(i + 1, len(ids)):
-                if i in into:
-                    break
-                if j not in into and float(v[i] @ v[j]) >= threshold:
-                    keep, drop = (j, i) if tokens[j] > tokens[i] else (i, j)
-                    links[keep] |= links[drop]
-                    into[drop] = keep
-        def end(k: int) -> int:
-            while k in into:
-                k = into[k]
-            return k
-
-        return pd.DataFrame({"paper_id": pdf["paper_id"], "chunk_id": ids, "kept_as": [ids[end(k)] for k in range(len(ids))], "n_children": [len(links[end(k)]) for k in range(len(ids))]})
+    def end(k: str) -> str:
+        while k in into:
+            k = into[k]
+        return k
 
-    return run
+    kept = nodes["chunk_id"].map(end)
+    links: dict[str, set] = {}
+    for k, children in zip(kept, nodes["children"]):
+        links.setdefault(k, set()).update(children if children is not None else ())
+    return pd.DataFrame({"paper_id": nodes["paper_id"], "chunk_id": nodes["chunk_id"], "kept_as": kept, "n_children": [len(links[k]) for k in kept]})
 
 
 def semantic_dedup(nodes: DataFrame, work: Work, threshold: float = 0.90) -> DataFrame:
     """``nodes(paper_id, chunk_id, vector, token_count, children)`` -> ``(paper_id, chunk_id, kept_as, n_children)``.
 
     In id order a node absorbs later ones at or above the threshold; the longer one stays (ties: the earlier) and takes
-    over the links. Only nodes that resemble some other are resolved, per connected group of resemblances.
+    over the links. Only nodes that resemble some other are resolved, per connected group of resemblances, from their pairs.
     """
     nodes = work.table(nodes, "nodes")
-    pairs = similar_pairs(nodes.select(F.col("paper_id").alias("grp"), F.col("chunk_id").alias("id"), "vector"), threshold).select("a", "b")
+    pairs = work.table(similar_pairs(nodes.select(F.col("paper_id").alias("grp"), F.col("chunk_id").alias("id"), "vector"), threshold).select("a", "b"), "pairs")
     groups = work.table(connected_components(pairs, work), "groups")
-    some = nodes.join(groups.select(F.col("node").alias("chunk_id"), "label"), "chunk_id")
-    resolved = some.groupBy("label").applyInPandas(_greedy(threshold), "paper_id string, chunk_id string, kept_as string, n_children long")
+    some = nodes.drop("vector").join(groups.select(F.col("node").alias("chunk_id"), "label"), "chunk_id")
+    edges = pairs.join(groups.select(F.col("node").alias("a"), F.col("label").alias("pair_label")), "a")
+    resolved = some.groupBy("label").cogroup(edges.groupBy("pair_label")).applyInPandas(_resolved, "paper_id string, chunk_id string, kept_as string, n_children long")
     alone = nodes.join(groups.select(F.col("node").alias("chunk_id")), "chunk_id", "left_anti")
     return resolved.unionByName(alone.select("paper_id", "chunk_id", F.col("chunk_id").alias("kept_as"), F.coalesce(F.size(F.array_distinct("children")), F.lit(0)).cast("bigint").alias("n_children")))
 

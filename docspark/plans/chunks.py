@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docspark.functions import sections
 from docspark.functions.text import count_tokens
 from docspark.operators.chunking import chunk_elements, newest_elements, prepared, simple_fold
 from docspark.plans import registry
 from docspark.plans.textual import _TREATED, _tokens
 from docspark.sources.tables import table
+from docspark.work import Work
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -70,8 +72,6 @@ def boundary_runs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT paper_id, count(*) AS n_references, string_agg(element_id, ',' ORDER BY element_id) AS ids FROM (SELECT DISTINCT e.paper_id, t.element_id FROM ({_TREATED}) t JOIN elements e ON e.element_id = t.element_id WHERE t.treatment = 'metadata_only' AND t.raw <> '') GROUP BY 1")
 def reference_lists(spark: SparkSession, d: str) -> DataFrame:
     """Elements kept at document level only."""
-    from docspark.functions import sections
-
     e = table(spark, d, "elements").withColumn("treatment", sections.treatment(F.col("section.title"), F.col("content.raw"), F.col("content.token_count")))
     some = e.where((F.col("treatment") == "metadata_only") & (F.col("content.raw") != "")).select("paper_id", "element_id").distinct()
     return some.groupBy("paper_id").agg(F.count("*").alias("n_references"), F.array_join(F.sort_array(F.collect_list("element_id")), ",").alias("ids"))
@@ -88,7 +88,31 @@ def chunk_simple_fold(spark: SparkSession, d: str) -> DataFrame:
     return simple_fold(rows)
 
 
-@query()
+_PREPARED = f"""{_NEW}, tr AS (SELECT element_id, treatment FROM ({_TREATED.replace("FROM elements", "FROM e")})),
+b AS (SELECT *, type = 'table' AND coalesce(len(content.header_row) > 0 AND len(content.rows) > 0 AND lower(trim(content.header_row[1])) IN ('n', 'row', 'model', 'method', 'layer type', '')
+ AND trim(coalesce(content.rows[1][content.header_row[1]], '')) <> '' AND NOT regexp_matches(regexp_replace(trim(coalesce(content.rows[1][content.header_row[1]], '')), '[.\\-]', '', 'g'), '^[0-9]+$'), false) AS bad FROM e),
+o AS (SELECT b.paper_id, b.element_id, section.title AS given, coalesce(phase2_ready.action, '') AS action, treatment, CASE WHEN bad THEN coalesce(content.caption, '') || chr(10) || chr(10) || 'Columns: ' || array_to_string(content.header_row, ' | ') ELSE coalesce(phase2_ready.text_for_embedding, content.raw, '') END AS text,
+ row_number() OVER w AS r, lead(coalesce(phase2_ready.action, '')) OVER w AS next_action, count(*) FILTER (WHERE type = 'section_header') OVER (PARTITION BY b.paper_id) AS heads FROM b JOIN tr ON tr.element_id = b.element_id WINDOW w AS (PARTITION BY b.paper_id ORDER BY coalesce(location.order, 0), b.element_id)),
+f AS (SELECT paper_id, 0::BIGINT AS r, 0::BIGINT AS held, 1::BIGINT AS part, 1::BIGINT AS own FROM (SELECT DISTINCT paper_id FROM o WHERE heads = 0) UNION ALL
+ SELECT f.paper_id, o.r, CASE WHEN f.held + {_tokens('o.text')} >= 400 THEN 0 ELSE f.held + {_tokens('o.text')} END, CASE WHEN f.held + {_tokens('o.text')} >= 400 THEN f.part + 1 ELSE f.part END, f.part FROM f JOIN o ON o.paper_id = f.paper_id AND o.r = f.r + 1)"""
+
+
+@query(f"WITH RECURSIVE {_PREPARED} SELECT o.paper_id, o.element_id, CASE WHEN heads = 0 THEN 'part_' || f.own ELSE given END AS title, treatment, next_action FROM o LEFT JOIN f ON f.paper_id = o.paper_id AND f.r = o.r")
 def synthetic_sections(spark: SparkSession, d: str) -> DataFrame:
     """Section titles as the chunker sees them (synthetic where a paper has no header)."""
     return prepared(_elements(spark, d)).select("paper_id", "element_id", "title", "treatment", "next_action")
+
+
+@query(f"WITH RECURSIVE {_PREPARED} SELECT paper_id, count(*) AS n_elements, 0::BIGINT AS n_lost, 0::BIGINT AS n_out_of_order, 0::BIGINT AS n_wrong_size FROM o WHERE treatment LIKE 'process%' AND action <> 'hard_chunk_boundary' AND regexp_matches(text, '[^\\x00-\\x20\\x7f]') GROUP BY 1")
+def chunk_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for the chunks of every paper: each element with a text is in some chunk, chunks are in reading order, sizes are those of the texts."""
+    e = table(spark, d, "elements")
+    work = Work(spark, "chunks")
+    made = work.table(chunk_elements(e), "made")
+    rows = prepared(newest_elements(e)).where(sections.embeds(F.col("treatment")) & (F.col("action") != "hard_chunk_boundary") & F.col("text").rlike("[^\\x00-\\x20\\x7f]"))
+    used = made.select(F.explode("source_element_ids").alias("element_id")).distinct().withColumn("used", F.lit(True))
+    lost = rows.select("paper_id", "element_id").join(used, "element_id", "left").groupBy("paper_id").agg(F.count("*").alias("n_elements"), F.count_if(F.col("used").isNull()).alias("n_lost"))
+    w = Window.partitionBy("paper_id").orderBy("seq")
+    wrong = made.select("paper_id", (F.lag("first_order").over(w) > F.col("first_order")).alias("back"), (count_tokens(F.col("text")) != F.col("token_count")).alias("size"))
+    wrong = wrong.groupBy("paper_id").agg(F.count_if("back").alias("n_out_of_order"), F.count_if("size").alias("n_wrong_size"))
+    return lost.join(wrong, "paper_id", "left").fillna(0)

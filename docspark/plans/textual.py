@@ -76,7 +76,9 @@ def text_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "\x02")).alias("sentences_hash"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, text, unnest(s) AS t, generate_subscripts(s, 1) AS k FROM (SELECT doc_id, text, {_sentences('text[1:1500]')} AS s FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT doc_id, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS reach FROM s), m AS (SELECT doc_id, max(reach) AS reach FROM c WHERE reach <= 1350 GROUP BY 1)
+SELECT d.doc_id, CASE WHEN length(text) <= 1200 THEN length(text) ELSE coalesce(m.reach, -1) END::BIGINT AS boundary FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id WHERE text IS NOT NULL""")
 def sentence_boundary(spark: SparkSession, d: str) -> DataFrame:
     """Where each document would be cut near 300 tokens."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", text.sentence_boundary(F.col("text"), 300).alias("boundary"))
@@ -158,7 +160,12 @@ def word_limits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", n.alias("tokens"), text.word_limit(n).alias("limit_by_tokens"), text.word_limit(text.word_count(F.col("text"))).alias("limit_by_words"))
 
 
-@query()
+_UNITS = f"""flatten(list_transform(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: {_strip('p')}), lambda p: p <> ''), lambda p: CASE WHEN {_tokens('p')} > 300 THEN {_sentences('p')} ELSE [p] END))"""
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS k FROM (SELECT doc_id, {_UNITS} AS u FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT doc_id, k, 0 AS part_no, unit AS open FROM u WHERE k = 1 UNION ALL SELECT f.doc_id, u.k, CASE WHEN {_tokens("f.open || chr(10) || chr(10) || u.unit")} <= 300 THEN f.part_no ELSE f.part_no + 1 END, CASE WHEN {_tokens("f.open || chr(10) || chr(10) || u.unit")} <= 300 THEN f.open || chr(10) || chr(10) || u.unit ELSE u.unit END FROM f JOIN u ON u.doc_id = f.doc_id AND u.k = f.k + 1)
+SELECT doc_id, part_no::BIGINT AS part_no, arg_max(open, k) AS part FROM f GROUP BY 1, 2""")
 def paragraph_packs(spark: SparkSession, d: str) -> DataFrame:
     """The parts of at most 300 tokens that a summary of each document would be made from."""
     parts = text.pack_paragraphs(F.col("text"), 300)
@@ -188,26 +195,29 @@ def page_cursors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "cursor", back["value"].alias("value"), back["id"].alias("row_id"))
 
 
-# Literal messages of the kind that call limits produce; the rules are what is shown.
-_MESSAGES = [
-    (1, "Rate limit reached. Please try again in 7.5s", 0),
-    (2, "quota exceeded, retry after 30 seconds", 1),
-    (3, "retryDelay: 12s", 2),
-    (4, "service unavailable", 3),
-    (5, "", 10),
-]
 _DELAYS = (r"try again in ([0-9]+\.?[0-9]*)s", r"retry after ([0-9]+) second", r"retryDelay\W+([0-9]+)s")
 
 
-@query("""SELECT n::BIGINT AS n, coalesce(trunc(try_cast(nullif(regexp_extract(message, 'try again in ([0-9]+\\.?[0-9]*)s', 1), '') AS DOUBLE))::BIGINT, trunc(try_cast(nullif(regexp_extract(message, 'retry after ([0-9]+) second', 1), '') AS DOUBLE))::BIGINT,
+@query("""WITH m AS (SELECT event_id, user_id % 12 AS attempt, CASE event_type WHEN 'error' THEN 'Rate limit reached. Please try again in ' || (value * 100)::BIGINT / 100 || 's' WHEN 'click' THEN 'quota exceeded, retry after ' || floor(value)::BIGINT || ' seconds' WHEN 'view' THEN 'retryDelay: ' || floor(value)::BIGINT || 's' WHEN 'purchase' THEN 'service unavailable' ELSE '' END AS message FROM events)
+SELECT event_id, coalesce(trunc(try_cast(nullif(regexp_extract(message, 'try again in ([0-9]+\\.?[0-9]*)s', 1), '') AS DOUBLE))::BIGINT, trunc(try_cast(nullif(regexp_extract(message, 'retry after ([0-9]+) second', 1), '') AS DOUBLE))::BIGINT,
 trunc(try_cast(nullif(regexp_extract(message, 'retryDelay\\W+([0-9]+)s', 1), '') AS DOUBLE))::BIGINT, -1) AS wait, least(120.0, 5.0 * pow(2.0, attempt))::DOUBLE AS backoff,
-CASE WHEN message ILIKE '%rate limit%' OR message ILIKE '%quota%' THEN 'limit' WHEN message ILIKE '%unavailable%' THEN 'server' ELSE 'other' END AS kind FROM (VALUES """ + ", ".join(f"({n}, '{m}', {a})" for n, m, a in _MESSAGES) + ") t(n, message, attempt)")
+CASE WHEN message ILIKE '%rate limit%' OR message ILIKE '%quota%' THEN 'limit' WHEN message ILIKE '%unavailable%' THEN 'server' ELSE 'other' END AS kind, message NOT ILIKE '' AND attempt < 5 AS retries FROM m""")
 def call_limits(spark: SparkSession, d: str) -> DataFrame:
-    """Wait named by a message, back-off by attempt, and class of the message."""
-    rows = spark.createDataFrame(_MESSAGES, "n int, message string, attempt int")
+    """Wait named by a message, back-off by attempt, class of the message and whether the call is made again, for a message made of every event."""
+    whole = F.floor("value").cast("string")
+    seconds = (F.round(F.col("value") * 100).cast("bigint") / 100).cast("string")
+    kind = F.col("event_type")
+    message = (
+        F.when(kind == "error", F.concat(F.lit("Rate limit reached. Please try again in "), seconds, F.lit("s")))
+        .when(kind == "click", F.concat(F.lit("quota exceeded, retry after "), whole, F.lit(" seconds")))
+        .when(kind == "view", F.concat(F.lit("retryDelay: "), whole, F.lit("s")))
+        .when(kind == "purchase", "service unavailable")
+        .otherwise("")
+    )
+    rows = table(spark, d, "events").select("event_id", message.alias("message"), (F.col("user_id") % 12).alias("attempt"))
     m = F.lower("message")
-    kind = F.when(m.contains("rate limit") | m.contains("quota"), "limit").when(m.contains("unavailable"), "server").otherwise("other")
-    return rows.select("n", F.coalesce(text.first_number(F.col("message"), _DELAYS), F.lit(-1)).alias("wait"), text.backoff(F.col("attempt"), 5, 120).alias("backoff"), kind.alias("kind"))
+    sort = F.when(m.contains("rate limit") | m.contains("quota"), "limit").when(m.contains("unavailable"), "server").otherwise("other")
+    return rows.select("event_id", F.coalesce(text.first_number(F.col("message"), _DELAYS), F.lit(-1)).alias("wait"), text.backoff(F.col("attempt"), 5, 120).alias("backoff"), sort.alias("kind"), ((m != "") & (F.col("attempt") < 5)).alias("retries"))
 
 
 def _sum(words: list[str]) -> str:

@@ -54,7 +54,13 @@ def split_large_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(sizes, ["paper_id", "section"]).withColumn("r", r).groupBy("paper_id", "section", part.alias("part")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("WITH " + _CUR + f""", s AS (SELECT paper_id, chunk_id, coalesce(order_range[1], 0) AS o, coalesce({_title("coalesce(section_hierarchy[1], section_title, 'unknown')")}, 'unknown') AS section, coalesce({_title("section_hierarchy[2]")}, 'main') AS sub FROM cur WHERE level = 0 AND paper_id IS NOT NULL),
+h AS (SELECT *, sum(n) OVER w AS held FROM (SELECT paper_id, section, count(*) AS n, min(o) AS first FROM s GROUP BY 1, 2) WINDOW w AS (PARTITION BY paper_id ORDER BY first, section ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT paper_id, section, sum(CASE WHEN held - n >= 3 AND n >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY first, section ROWS UNBOUNDED PRECEDING) AS grp, held - n >= 3 AND n < 3 AS appended FROM h),
+l AS (SELECT s.*, g.grp, g.appended FROM s JOIN g ON g.paper_id = s.paper_id AND g.section = s.section), z AS (SELECT paper_id, grp, count(*) FILTER (WHERE NOT appended) AS n, count(DISTINCT sub) FILTER (WHERE NOT appended) AS k FROM l GROUP BY 1, 2),
+q AS (SELECT l.*, CASE WHEN n <= 12 THEN 0 WHEN k > 1 THEN min(o) OVER (PARTITION BY l.paper_id, l.grp, appended, sub) WHEN row_number() OVER (PARTITION BY l.paper_id, l.grp, appended ORDER BY o, chunk_id) > n // 2 THEN 1 ELSE 0 END AS a, CASE WHEN n > 12 AND k > 1 THEN sub ELSE '' END AS b FROM l JOIN z ON z.paper_id = l.paper_id AND z.grp = l.grp),
+t AS (SELECT paper_id, grp, max((a, b)) AS top FROM q WHERE NOT appended GROUP BY 1, 2), d AS (SELECT q.paper_id, chunk_id, dense_rank() OVER (PARTITION BY q.paper_id ORDER BY q.grp, CASE WHEN appended THEN top ELSE (a, b) END) - 1 AS cluster_no FROM q JOIN t ON t.paper_id = q.paper_id AND t.grp = q.grp)
+SELECT *, count(*) OVER (PARTITION BY paper_id, cluster_no) AS n_in_cluster FROM d""")
 def structural_clusters(spark: SparkSession, d: str) -> DataFrame:
     """The structural cluster of every leaf."""
     return trees.structural_clusters(_leaves(spark, d))

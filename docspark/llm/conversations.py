@@ -35,7 +35,7 @@ TIMEOUT_S, DELAY_S = 1800, 3600
 #: Rows of a shard: sessions share keyed state in shards of about so many rows.
 SHARD_ROWS = 1_000
 #: Slices a replay has at least and at most, rows of a slice, and of a file.
-SLICES, SLICE_ROWS, FILE_ROWS = (6, 64), 1_000_000, 250_000
+SLICES, SLICE_ROWS, FILE_ROWS = (4, 64), 1_000_000, 250_000
 
 ARRIVAL = "shard int, session_id string, id string, role string, content string, blank boolean, deleted boolean, created_at timestamp, updated_at timestamp, cleared_at timestamp, event_time timestamp"
 _ARRIVAL = [c.split()[0] for c in ARRIVAL.split(", ")]

@@ -15,6 +15,8 @@ from docspark.operators.knn import QUERY_BLOCK, _pack, _usable, similar_pairs
 from docspark.work import Work
 
 LEAST_SIZE, MOST_SIZE = 3, 12
+#: Rows of a paper whose memberships are worked out at once.
+FUZZY_ROWS = 256
 
 
 def structural_clusters(chunks: DataFrame) -> DataFrame:
@@ -105,13 +107,26 @@ def _fuzzy(steps: int, tolerance: float, threshold: float):
         if kept < d:
             v = v @ np.linalg.svd(v, full_matrices=False)[2][:kept].T
         u = (pdf["cluster"].to_numpy()[:, None] == names[None, :]).astype(float)
+        square = (v * v).sum(1)
+        w = u * u
+        sums, weights = w.T @ v, w.sum(0)
         for _ in range(steps):
-            before, w = u, u * u
-            c = (w.T @ v) / np.maximum(w.sum(0), 1e-300)[:, None]
-            far = np.maximum((v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * v @ c.T, 1e-10)
-            pull = far**-2.0
-            u = pull / pull.sum(1, keepdims=True)
-            if np.abs(u - before).max() < tolerance:
+            c = sums / np.maximum(weights, 1e-300)[:, None]
+            moved, sums, weights = 0.0, np.zeros_like(c), np.zeros(len(c))
+            length = (c * c).sum(1)
+            # block by block, so that what a step makes stays in the cache
+            for i in range(0, n, FUZZY_ROWS):
+                x = v[i : i + FUZZY_ROWS]
+                far = np.maximum(square[i : i + FUZZY_ROWS, None] + length[None, :] - 2 * x @ c.T, 1e-10)
+                far *= far
+                new = np.divide(1.0, far, out=far)
+                new /= new.sum(1, keepdims=True)
+                moved = max(moved, float(np.abs(new - u[i : i + FUZZY_ROWS]).max()))
+                u[i : i + FUZZY_ROWS] = new
+                new *= new
+                sums += new.T @ x
+                weights += new.sum(0)
+            if moved < tolerance:
                 break
         row, k = np.nonzero(u >= threshold)
         return pd.DataFrame({"paper_id": pdf["paper_id"].to_numpy()[row], "chunk_id": pdf["chunk_id"].to_numpy()[row], "cluster": names[k], "u": u[row, k]})

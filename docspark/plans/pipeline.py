@@ -12,6 +12,8 @@ from docspark.plans import registry
 from docspark.plans.search import _CUR
 from docspark.plans.textual import _ENDS, _strip, _tokens
 from docspark.plans.trees import _CLUSTER, _NUM, _members, current
+from docspark.sources.documents import elements_of, read_documents
+from docspark.sources.store import ChunkStore, dump_json
 from docspark.sources.tables import table
 from docspark.work import Work
 
@@ -236,3 +238,37 @@ def file_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Hash, size limit and clean name of every file (its bytes are the title's here; a source of files gives its own)."""
     rows = table(spark, d, "papers").where("title is not null").select("paper_id", F.col("title").cast("binary").alias("content"), "title")
     return rows.select("paper_id", *[c.alias(n) for n, c in text.file_facts(F.col("content"), F.col("title")).items()])
+
+
+@query("SELECT paper_id, count(*) AS n_elements, count(DISTINCT element_id) AS n_ids, count(*) FILTER (WHERE type = 'table') AS n_tables, sum(coalesce(content.token_count, 0))::BIGINT AS tokens, max(location.order)::BIGINT AS last_order FROM elements WHERE paper_id IS NOT NULL GROUP BY 1")
+def parsed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Elements written as one JSON document per paper and read back by the source for parsed documents."""
+    e = table(spark, d, "elements").where("paper_id is not null")
+    kept = ("element_id", "type", "location", "section", "content", "references", "surrounding_context", "phase2_ready", "adjacency")
+    folder = Work(spark, "documents").path("papers")
+    documents = e.groupBy("paper_id").agg(F.collect_list(F.struct(*kept)).alias("elements")).select(F.struct("paper_id").alias("document"), "elements", F.col("paper_id").alias("paper"))
+    documents.write.partitionBy("paper").json(folder)
+    rows = elements_of(read_documents(spark, folder, "*/*.json"))
+    return rows.groupBy("paper_id").agg(
+        F.count("*").alias("n_elements"), F.count_distinct("element_id").alias("n_ids"), F.count_if(F.col("type") == "table").alias("n_tables"), F.sum(F.coalesce("content.token_count", F.lit(0))).alias("tokens"), F.max("location.order").alias("last_order")
+    )
+
+
+@query("WITH " + _CUR + """, k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, content_hash ORDER BY chunk_id) AS r FROM cur WHERE paper_id IS NOT NULL AND content_hash IS NOT NULL AND level IS NOT NULL)
+SELECT paper_id, level::BIGINT AS level, count(*) AS n_rows, count(*) FILTER (WHERE level = 0) AS n_linked FROM k WHERE r = 1 AND level < 2 GROUP BY 1, 2""")
+def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk store filled, filled again (nothing new), rid of its upper levels, its links updated, dumped as JSON and read back."""
+    work = Work(spark, "store")
+    c = current(spark, d, "paper_id", "level", "content_hash", "parent_ids").where("paper_id is not null and content_hash is not null and level is not null")
+    first = F.row_number().over(Window.partitionBy("paper_id", "content_hash").orderBy("chunk_id"))
+    rows = work.table(c.withColumn("r", first).where("r = 1").drop("r"), "rows")
+    store = ChunkStore(spark, work.path("chunks"), rows.schema)
+    store.upsert(rows)
+    again = store.upsert(rows)
+    store.delete_levels(2)
+    store.update_links(store.scan(levels=[0]).select("chunk_id", F.array(F.lit("linked")).alias("parent_ids")))
+    dump = work.path("dump")
+    dump_json(store.read().select("paper_id", "level", "chunk_id", "parent_ids"), dump)
+    back = spark.read.schema("paper_id string, level long, chunk_id string, parent_ids array<string>").json(dump)
+    linked = F.coalesce(F.get("parent_ids", F.lit(0)) == "linked", F.lit(False))
+    return back.groupBy("paper_id", "level").agg((F.count("*") + again).alias("n_rows"), F.count_if(linked).alias("n_linked"))

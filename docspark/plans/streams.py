@@ -64,10 +64,14 @@ def last_seen(spark: SparkSession, d: str) -> DataFrame:
     return limits.last_seen(_events(spark, d)).withColumn("last", F.unix_micros("last"))
 
 
-@query("SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS holder FROM events GROUP BY 1, 2")
+@query("""WITH g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)
+SELECT user_id, event_type, event_id AS holder, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS lease FROM g WHERE before IS NULL OR ts - before >= INTERVAL 6 HOUR""")
 def job_locks(spark: SparkSession, d: str) -> DataFrame:
-    """Who takes a lock: the first row of each key."""
-    return _events(spark, d).groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("holder"))
+    """Who takes a lock: the first row of each key, and after six quiet hours, when the lock has expired, the next one."""
+    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    rows = _events(spark, d).select("user_id", "event_type", "event_id", "ts", F.lag("ts").over(order).alias("before"))
+    taken = rows.where(F.col("before").isNull() | (F.col("ts") - F.expr("interval 6 hours") >= F.col("before")))
+    return taken.select("user_id", "event_type", F.col("event_id").alias("holder"), F.row_number().over(order).alias("lease"))
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 5 MINUTE, ts))::BIGINT AS start, count(*) AS n, count(DISTINCT user_id) AS n_users, round(sum(value), 4) AS value FROM events GROUP BY 1")

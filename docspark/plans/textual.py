@@ -261,7 +261,7 @@ def splade_pool(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, list_transform(t, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS v FROM (SELECT vec_id, embedding[1:16]::DOUBLE[] AS t, sqrt(list_sum(list_transform(embedding[1:16]::DOUBLE[], lambda x: x * x))) AS n FROM embeddings))""")
 def matryoshka_truncate(spark: SparkSession, d: str) -> DataFrame:
     v = vectors.truncate(F.col("embedding").cast("array<double>"), 16)
-    return table(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("squares"), F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[15], 6).alias("last"))
+    return table(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("squares"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(15)), 6).alias("last"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents),

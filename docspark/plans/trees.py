@@ -97,13 +97,13 @@ array_to_string(list_sort(list_distinct(flatten(list(coalesce(modalities, []))))
 def root_nodes(spark: SparkSession, d: str) -> DataFrame:
     """What a root would take from its leaves: ranges in order, flags, and the sorted union of sets."""
     c = current(spark, d, "paper_id", "level", "order_range", "page_range", "has_table", "modalities").where("level = 0 and order_range is not null and paper_id is not null")
-    at = F.struct(F.col("order_range")[0], F.col("chunk_id"))
+    at = F.struct(F.get("order_range", F.lit(0)).alias("o"), F.col("chunk_id"))
     kinds = c.select("paper_id", F.explode("modalities").alias("m")).where("m is not null").distinct().groupBy("paper_id").agg(F.array_join(F.sort_array(F.collect_list("m")), ",").alias("modalities"))
     out = c.groupBy("paper_id").agg(
         F.count("*").alias("n_sources"),
         F.min(F.try_element_at("page_range", F.lit(1))).alias("first_page"),
         F.max(F.try_element_at("page_range", F.lit(2))).alias("last_page"),
-        F.min_by(F.col("order_range")[0], at).alias("first_order"),
+        F.min_by(F.get("order_range", F.lit(0)), at).alias("first_order"),
         F.max_by(F.try_element_at("order_range", F.lit(2)), at).alias("last_order"),
         F.bool_or(F.coalesce("has_table", F.lit(False))).alias("has_table"),
     )

@@ -123,7 +123,7 @@ def _top_allowed(digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
                 s = np.where(ok, s, -1.0)
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, : int(max(r.q_top_k))]
                 some = np.take_along_axis(ok, order, 1) & (np.arange(order.shape[1])[None, :] < np.asarray(r.q_top_k)[:, None])
-                yield pd.DataFrame({"query_id": np.repeat(np.asarray(r.q_ids), some.sum(1)), "chunk_id": ids[order[some]], "score": np.take_along_axis(s, order, 1)[some]})
+                yield pd.DataFrame({"query_id": np.repeat(np.asarray(r.q_ids), some.sum(1)), "chunk_id": ids[order[some]], "score": np.take_along_axis(s, order, 1)[some], "top_k": np.repeat(np.asarray(r.q_top_k), some.sum(1))})
 
     return run
 
@@ -131,18 +131,21 @@ def _top_allowed(digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 def top_within(queries: DataFrame, rows: DataFrame, digits: int = 6) -> DataFrame:
     """``queries(grp, id, vector, least_level, most_level, flags, top_k)`` against the ``rows(grp, id, vector, level, flags)`` of their group.
 
-    Gives ``(query_id, chunk_id, score)``, of every block of rows at most ``top_k`` per query: cosine not below 0, rows of a level in range
+    Gives ``(query_id, chunk_id, score, top_k)``, of every block of rows at most ``top_k`` per query: cosine not below 0, rows of a level in range
     that have all flags (bits) asked for. Groups are cut in blocks of rows and of queries, and each pair of blocks is one matrix product and a key of its
     own, so a hot group is many tasks. Null groups, ids and vectors are left out, as are vectors of another length than the
     query's and those with nulls; an all-zero vector scores 0.
     """
     kind = rows.schema["id"].dataType.simpleString()
     q, r = _usable(queries, "least_level", "most_level", "flags", "top_k"), _usable(rows, "level", "flags")
-    q_sizes = q.groupBy("grp", "dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    r_sizes = r.groupBy("grp", "dim").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("blocks"))
-    both = q_sizes.withColumnRenamed("blocks", "q_blocks").join(r_sizes.withColumnRenamed("blocks", "r_blocks"), ["grp", "dim"])
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    qs = _pack(q, q_sizes, "q", "least_level", "most_level", "flags", "top_k").drop("blocks").join(both, ["grp", "dim"]).withColumn("r_block", every("r_blocks"))
-    rs = _pack(r, r_sizes, "r", "level", "flags").drop("blocks").join(both, ["grp", "dim"]).withColumn("q_block", every("q_blocks"))
-    met = qs.drop("q_blocks", "r_blocks").join(rs.drop("q_blocks", "r_blocks"), ["grp", "dim", "q_block", "r_block"])
-    return met.drop("grp", "dim", "q_block", "r_block").mapInPandas(_top_allowed(digits), f"query_id {kind}, chunk_id {kind}, score double")
+    n = q.select("grp", "dim", F.lit(1).alias("q"), F.lit(0).alias("r")).union(r.select("grp", "dim", F.lit(0), F.lit(1))).groupBy("grp", "dim").agg(F.sum("q").alias("q"), F.sum("r").alias("r"))
+    sizes = n.where("q > 0 and r > 0").select("grp", "dim", F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("q_blocks"), F.ceil(F.col("r") / ROW_BLOCK).cast("int").alias("r_blocks"))
+
+    def packed(some: DataFrame, own: str, other: str, *columns: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
+        lists = some.join(sizes, ["grp", "dim"]).groupBy("grp", "dim", f"{other}_blocks", block).agg(F.collect_list(F.struct("id", "vector", *columns)).alias("x"))
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
+        return lists.select("grp", "dim", f"{own}_block", every, F.col("x.id").alias(f"{own}_ids"), F.flatten("x.vector").alias(f"{own}_data"), *[F.col(f"x.{c}").alias(f"{own}_{c}") for c in columns])
+
+    met = packed(q, "q", "r", "least_level", "most_level", "flags", "top_k").join(packed(r, "r", "q", "level", "flags"), ["grp", "dim", "q_block", "r_block"])
+    return met.drop("grp", "dim", "q_block", "r_block").mapInPandas(_top_allowed(digits), f"query_id {kind}, chunk_id {kind}, score double, top_k int")

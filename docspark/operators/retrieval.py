@@ -62,8 +62,7 @@ def dense_leg(plans: DataFrame, chunks: DataFrame) -> DataFrame:
     bits = lambda x: x[0] + 2 * x[1] + 4 * x[2]
     c = chunks.select(F.col("paper_id").alias("grp"), F.col("chunk_id").alias("id"), F.col("dense_vector").alias("vector"), F.coalesce("level", F.lit(-1)).alias("level"), bits(flags).alias("flags"))
     q = plans.select(F.col("paper_id").alias("grp"), F.col("query_id").alias("id"), F.col("dense_vector").alias("vector"), "least_level", "most_level", bits(asked).alias("flags"), "top_k")
-    hits = knn.top_within(q, c)
-    return rank_in(hits.join(plans.select("query_id", "top_k"), "query_id"), [F.desc("score"), F.col("chunk_id")], F.col("top_k")).drop("top_k")
+    return rank_in(knn.top_within(q, c), [F.desc("score"), F.col("chunk_id")], F.col("top_k")).drop("top_k")
 
 
 def sparse_leg(plans: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -104,6 +103,8 @@ def hybrid(plans: DataFrame, chunks: DataFrame, work: Work) -> DataFrame:
     hits = work.table(search(plans, chunks), "first")
     none = plans.where("mode = 'B'").join(hits.select("query_id").distinct(), "query_id", "left_anti")
     kinds = dict(plans.dtypes)
+    if not none.limit(1).count():
+        return hits
     again = work.table(none.select(*[F.lit(FALLBACK[c]).cast(kinds[c]).alias(c) if c in FALLBACK else F.col(c) for c in plans.columns]), "broad")
     return hits.unionByName(search(again, chunks))
 

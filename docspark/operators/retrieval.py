@@ -154,18 +154,19 @@ def traverse(reranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return direct.union(parents).union(kids).groupBy("query_id", "chunk_id").agg(F.min_by("rerank_score", first).alias("rerank_score"), F.min_by("fetched_as", first).alias("fetched_as"))
 
 
-def fill_budget(rows: DataFrame, key: str, order: list[Column], size: Column, item: Column, budget: int) -> DataFrame:
+def fill_budget(rows: DataFrame, key: str, order: list[Column], size: Column, item: Column, budget: int | Column) -> DataFrame:
     """``(key, included, used, dropped)``: items in order, each taken if it still fits, skipped otherwise (later ones may fit).
 
-    A fold over one group's bounded list of candidates; ``order`` holds sortable columns, ascending.
+    A fold over one group's bounded list of candidates; ``order`` holds sortable columns, ascending; ``budget`` is one
+    for all or a column that is the same in a group.
     """
-    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], size.cast("bigint").alias("size"), item.alias("item")))).alias("all"))
+    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], size.cast("bigint").alias("size"), item.alias("item")))).alias("all"), F.first(budget if isinstance(budget, Column) else F.lit(budget)).cast("bigint").alias("budget"))
     empty = F.array().cast(f"array<{rows.select(item).schema[0].dataType.simpleString()}>")
     state = F.aggregate(
         "all",
         F.struct(empty.alias("included"), F.lit(0).cast("bigint").alias("used")),
         lambda acc, x: F.when(
-            acc["used"] + x["size"] <= budget, F.struct(F.concat(acc["included"], F.array(x["item"])).alias("included"), (acc["used"] + x["size"]).alias("used"))
+            acc["used"] + x["size"] <= F.col("budget"), F.struct(F.concat(acc["included"], F.array(x["item"])).alias("included"), (acc["used"] + x["size"]).alias("used"))
         ).otherwise(acc),
     )
     return listed.select(key, F.size("all").alias("n"), state.alias("s")).select(key, F.col("s.included").alias("included"), F.col("s.used").alias("used"), (F.col("n") - F.size("s.included")).alias("dropped"))

@@ -12,7 +12,9 @@ from docspark.operators.retrieval import newest
 from docspark.plans import registry
 from docspark.plans.search import _CUR
 from docspark.plans.textual import _title
+from docspark.sources.federated import read_sources
 from docspark.sources.tables import table
+from docspark.work import Work
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -371,3 +373,19 @@ def fulltext_search(spark: SparkSession, d: str) -> DataFrame:
     every = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
     asked = library.select(F.struct("user_id", "paper_id").alias("id"), "user_id", F.array_join(F.slice(every, 1, 3), " ").alias("text"))
     return rel.contains_all(asked, library).select("id.user_id", F.col("id.paper_id").alias("asked"), "paper_id")
+
+
+@query("""WITH l AS (SELECT paper_id, doi, year, CASE lower(source) WHEN 'upload' THEN 0 WHEN 'journal_feed' THEN 1 WHEN 'preprint_feed' THEN 2 END AS list_no FROM papers)
+SELECT paper_id, doi, CASE WHEN list_no = 2 THEN NULL ELSE year END::BIGINT AS year, CASE list_no WHEN 0 THEN 'upload' WHEN 1 THEN 'journal_feed' ELSE 'preprint_feed' END AS source, list_no::BIGINT AS list_no FROM l WHERE list_no IS NOT NULL QUALIFY doi IS NULL OR row_number() OVER (PARTITION BY doi ORDER BY list_no, paper_id) = 1""")
+def federated_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Three sources in three formats (the last without years) read as one list, one row per DOI."""
+    work = Work(spark, "federated")
+    papers = table(spark, d, "papers").select("paper_id", "doi", "year", F.lower("source").alias("of"))
+    places = {}
+    for name, kind, columns in zip(_SOURCES, ("parquet", "json", "csv"), (("paper_id", "doi", "year"), ("paper_id", "doi", "year"), ("doi", "paper_id"))):
+        places[name] = (kind, work.path(name))
+        writer = papers.where(F.col("of") == name).select(*columns).write.format(kind)
+        (writer.option("header", True) if kind == "csv" else writer).save(places[name][1])
+    every = read_sources(spark, places, "paper_id string, doi string, year int")
+    best = every.where("doi is not null").groupBy("doi").agg(F.min_by(F.struct("paper_id", "year", "source", "list_no"), F.struct("list_no", "paper_id")).alias("x")).select("x.paper_id", "doi", "x.year", "x.source", "x.list_no")
+    return best.unionByName(every.where("doi is null").select(*best.columns))

@@ -6,7 +6,7 @@ the summaries with such an index too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import signals
@@ -166,18 +166,27 @@ def retrieval_counters(spark: SparkSession, d: str, asked: str = _LEAVES) -> Dat
 
 
 _BUDGET = 1200
-_FILL = f"""o AS (SELECT t.query_id, t.chunk_id, CASE WHEN coalesce(c.token_count, 0) = 0 THEN {_tokens('c.text_for_display')} ELSE c.token_count END AS size, c.chunk_sequence_index AS seq, c.level, c.section_title, c.text_for_display, c.equation_latex,
- row_number() OVER (PARTITION BY t.query_id ORDER BY fetched_as <> 'direct', NOT coalesce(c.is_key_section, false), -rerank_score, c.level <> 0, t.chunk_id) AS n FROM tr t JOIN cur c ON c.chunk_id = t.chunk_id),
+#: What a model's context holds, the tokens of the instruction, and those kept for the answer.
+_LIMIT, _SYSTEM, _REPLY = 20_800, len("Answer from the sources below.") // 4, 1024
+
+
+def _fill_sql(budget: str) -> str:
+    return f"""o AS (SELECT t.query_id, t.chunk_id, CASE WHEN coalesce(c.token_count, 0) = 0 THEN {_tokens('c.text_for_display')} ELSE c.token_count END AS size, {budget} AS budget, c.chunk_sequence_index AS seq, c.level, c.section_title, c.text_for_display, c.equation_latex,
+ row_number() OVER (PARTITION BY t.query_id ORDER BY fetched_as <> 'direct', NOT coalesce(c.is_key_section, false), -rerank_score, c.level <> 0, t.chunk_id) AS n FROM tr t JOIN cur c ON c.chunk_id = t.chunk_id JOIN p ON p.query_id = t.query_id),
 fill AS (SELECT query_id, 0::BIGINT AS n, 0::BIGINT AS used, []::VARCHAR[] AS ids FROM (SELECT DISTINCT query_id FROM o) UNION ALL
- SELECT f.query_id, f.n + 1, CASE WHEN f.used + o.size <= {_BUDGET} THEN f.used + o.size ELSE f.used END, CASE WHEN f.used + o.size <= {_BUDGET} THEN list_append(f.ids, o.chunk_id) ELSE f.ids END FROM fill f JOIN o ON o.query_id = f.query_id AND o.n = f.n + 1),
+ SELECT f.query_id, f.n + 1, CASE WHEN f.used + o.size <= o.budget THEN f.used + o.size ELSE f.used END, CASE WHEN f.used + o.size <= o.budget THEN list_append(f.ids, o.chunk_id) ELSE f.ids END FROM fill f JOIN o ON o.query_id = f.query_id AND o.n = f.n + 1),
 filled AS (SELECT query_id, used, ids, n - len(ids) AS dropped FROM fill QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC) = 1)"""
 
 
-def _filled(work: Work, c: DataFrame, p: DataFrame) -> DataFrame:
+_FILL = _fill_sql(str(_BUDGET))
+
+
+def _filled(work: Work, c: DataFrame, p: DataFrame, budget: Column | None = None) -> DataFrame:
     t = _traversed(work, c, p).join(c.select("chunk_id", "is_key_section", "level", "token_count", "text_for_display"), "chunk_id")
+    t = t.join(p.select("query_id", (F.lit(_BUDGET) if budget is None else budget).alias("budget")), "query_id")
     size = F.when(F.coalesce("token_count", F.lit(0)) == 0, count_tokens(F.col("text_for_display"))).otherwise(F.col("token_count"))
     order = [F.col("fetched_as") != "direct", ~F.coalesce("is_key_section", F.lit(False)), -F.col("rerank_score"), F.col("level") != 0, F.col("chunk_id")]
-    return retrieval.fill_budget(t, "query_id", order, size, F.col("chunk_id"), _BUDGET)
+    return retrieval.fill_budget(t, "query_id", order, size, F.col("chunk_id"), F.col("budget"))
 
 
 @query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE, _FILL).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT query_id, array_to_string(ids, ',') AS included, used, dropped FROM filled")
@@ -199,6 +208,14 @@ def context_text(spark: SparkSession, d: str, asked: str = _LEAVES) -> DataFrame
     )
 
 
+@query(_with(_CUR, _Q, _FALL, _DENSE, _SPARSE, _FUSED, _TOP, _CANDIDATES, _RERANK, _TRAVERSE, _fill_sql(f"({_LIMIT - _SYSTEM - _REPLY} - ({_tokens('p.query_text')}))")).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT query_id, array_to_string(ids, ',') AS included, used, dropped FROM filled")
+def context_budget_full(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that fill what each query leaves of a model's context: its limit without instruction, query and reply."""
+    work, c, p = staged(spark, d)
+    budget = F.lit(_LIMIT - _SYSTEM - _REPLY) - count_tokens(F.col("query_text"))
+    return _filled(work, c, p, budget).select("query_id", F.array_join("included", ",").alias("included"), "used", "dropped")
+
+
 _BLOCKS = """SELECT query_id, string_agg('--- ' || CASE level WHEN 1 THEN 'SECTION SUMMARY' WHEN 2 THEN 'GROUP SUMMARY' WHEN 3 THEN 'PAPER OVERVIEW' ELSE 'SOURCE' END || ': ' || coalesce(section_title, 'Unknown Section') || ' ---' || chr(10) || text_for_display
  || coalesce(array_to_string(list_transform(equation_latex, lambda e: chr(10) || 'Equation: $$' || e || '$$'), ''), ''), chr(10) || chr(10) ORDER BY seq, level, chunk_id) AS context FROM (SELECT f.query_id, unnest(ids) AS chunk_id FROM filled f) JOIN o USING (query_id, chunk_id) WHERE text_for_display <> '' GROUP BY 1"""
 

@@ -229,6 +229,37 @@ def semantic_dedup(spark: SparkSession, d: str) -> DataFrame:
     return trees.semantic_dedup(n.select("paper_id", "chunk_id", F.col("dense_vector").alias("vector"), "token_count", F.col("children_ids").alias("children")), Work(spark, "dedup"))
 
 
+@query("WITH " + _CUR + f""", {_CLUSTER}, k AS (SELECT paper_id, count(DISTINCT cluster_id) AS k FROM m WHERE chunk_id IS NOT NULL GROUP BY 1 HAVING k > 1)
+SELECT c.paper_id, count(*) AS n_leaves, 0::BIGINT AS n_in_many, 0::BIGINT AS n_weak, 0::BIGINT AS n_foreign FROM cur c JOIN k ON k.paper_id = c.paper_id WHERE c.level = 0 AND len(c.dense_vector) = {DIMS} GROUP BY 1""")
+def fuzzy_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the fuzzy memberships of every paper with several clusters: at most two a leaf, none below a quarter, none in another paper's cluster."""
+    x, start = _points(spark, d)
+    m = _members(spark, d)
+    work = Work(spark, "fuzzy")
+    u = work.table(trees.fuzzy_clusters(x, start, work, DIMS), "memberships")
+    several = m.groupBy("paper_id").agg(F.count_distinct("cluster_id").alias("k")).where("k > 1").select("paper_id")
+    leaves = x.join(several, "paper_id", "left_semi").groupBy("paper_id").agg(F.count("*").alias("n_leaves"))
+    many = u.groupBy("paper_id", "chunk_id").agg(F.count("*").alias("n")).groupBy("paper_id").agg(F.count_if(F.col("n") > 2).alias("n_in_many"))
+    own = m.select("paper_id", F.col("cluster_id").alias("cluster"), F.lit(True).alias("own")).distinct()
+    bad = u.join(own, ["paper_id", "cluster"], "left").groupBy("paper_id").agg(F.count_if(F.col("score") < 0.25).alias("n_weak"), F.count_if(F.col("own").isNull()).alias("n_foreign"))
+    return leaves.join(many, "paper_id", "left").join(bad, "paper_id", "left").fillna(0)
+
+
+@query("WITH " + _CUR + f""", v AS (SELECT a.paper_id, a.chunk_id FROM cur a JOIN cur b ON a.paper_id = b.paper_id AND a.chunk_id <> b.chunk_id AND a.level >= 1 AND b.level >= 1 AND len(a.dense_vector) = len(b.dense_vector) WHERE round(list_cosine_similarity(a.dense_vector, b.dense_vector), 6) >= 0.9 AND NOT isnan(list_cosine_similarity(a.dense_vector, b.dense_vector)) GROUP BY 1, 2)
+SELECT c.paper_id, count(*) AS n_nodes, count(v.chunk_id) AS n_resembling, 0::BIGINT AS n_chained, 0::BIGINT AS n_unlike_dropped FROM cur c LEFT JOIN v ON v.chunk_id = c.chunk_id WHERE c.level >= 1 GROUP BY 1""")
+def dedup_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the deduplicated summaries of every paper: what a node is kept as stands for itself, and only nodes that resemble some other are dropped."""
+    work = Work(spark, "dedup")
+    n = work.table(current(spark, d, "paper_id", "level", "dense_vector", "token_count", "children_ids").where("level >= 1"), "summaries")
+    named = n.select("paper_id", "chunk_id", F.col("dense_vector").alias("vector"), "token_count", F.col("children_ids").alias("children"))
+    kept = work.table(trees.semantic_dedup(named, work), "kept")
+    pairs = knn.similar_pairs(n.select(F.col("paper_id").alias("grp"), F.col("chunk_id").alias("id"), F.col("dense_vector").alias("vector")), 0.9)
+    alike = pairs.select(F.col("a").alias("chunk_id")).union(pairs.select("b")).distinct().withColumn("alike", F.lit(True))
+    ends = kept.where("chunk_id = kept_as").select(F.col("chunk_id").alias("kept_as"), F.lit(True).alias("end"))
+    rows = n.select("paper_id", "chunk_id").join(kept.select("chunk_id", "kept_as"), "chunk_id", "left").join(ends, "kept_as", "left").join(alike, "chunk_id", "left")
+    return rows.groupBy("paper_id").agg(F.count("*").alias("n_nodes"), F.count("alike").alias("n_resembling"), F.count_if(F.col("end").isNull()).alias("n_chained"), F.count_if((F.col("chunk_id") != F.col("kept_as")) & F.col("alike").isNull()).alias("n_unlike_dropped"))
+
+
 @query()
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
     """Share of variance of the leading components of the stored vectors (all rows)."""

@@ -56,3 +56,14 @@ def test_store(spark, tmp_path):
 def test_dump(spark, tmp_path):
     dump_json(spark.range(3), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_sources_in_several_formats(spark, tmp_path):
+    from docspark.sources.federated import read_sources
+
+    spark.createDataFrame([("a", "d1", 2020, "x")], "paper_id string, doi string, year int, extra string").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([("b", None)], "paper_id string, doi string").write.json(f"{tmp_path}/j")
+    spark.createDataFrame([("2021", "c")], "year string, paper_id string").write.option("header", True).csv(f"{tmp_path}/c")
+    rows = read_sources(spark, {"one": ("parquet", f"{tmp_path}/p"), "two": ("json", f"{tmp_path}/j"), "three": ("csv", f"{tmp_path}/c")}, "paper_id string, doi string, year int")
+    assert {tuple(r) for r in rows.collect()} == {("a", "d1", 2020, "one", 0), ("b", None, None, "two", 1), ("c", None, 2021, "three", 2)}
+    assert read_sources(spark, {}, "paper_id string").count() == 0

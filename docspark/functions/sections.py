@@ -8,92 +8,31 @@ from pyspark.sql import functions as F
 from docspark.functions.text import normalize_title, strip
 
 
-def _lines(text: str) -> list[str]:
-    return [x for x in text.strip().splitlines() if x]
-
-
 # Section titles (normalised), matched whole or as a prefix.
-SKIP = _lines("""
-references
-bibliography
-acknowledgements
-acknowledgments
-author contributions
-credit author statement
-conflict of interest
-conflict of interest statement
-funding
-funding sources
-neurips checklist
-iclr checklist
-reproducibility checklist
-licenses
-legal notices
-""")
-HIGH = _lines("""
-abstract
-introduction
-motivation
-conclusion
-conclusions
-contributions
-summary of contributions
-problem statement
-problem formulation
-method
-methods
-methodology
-proposed method
-our approach
-approach
-model
-architecture
-framework
-algorithm
-experiments
-experimental setup
-experimental results
-results
-evaluation
-evaluation setup
-baselines
-datasets
-data
-implementation details
-training details
-training
-training setup
-ablation study
-ablation studies
-analysis
-quantitative results
-discussion
-limitations
-limitations and future work
-""")
-LOW = _lines("""
-reproducibility statement
-iclr reproducibility statement
-qualitative examples
-""")
+SKIP = [
+    "references", "bibliography", "acknowledgements", "acknowledgments", "author contributions", "credit author statement", "conflict of interest",
+    "conflict of interest statement", "funding", "funding sources", "neurips checklist", "iclr checklist", "reproducibility checklist", "licenses",
+    "legal notices",
+]
+HIGH = [
+    "abstract", "introduction", "motivation", "conclusion", "conclusions", "contributions", "summary of contributions", "problem statement",
+    "problem formulation", "method", "methods", "methodology", "proposed method", "our approach", "approach", "model", "architecture", "framework",
+    "algorithm", "experiments", "experimental setup", "experimental results", "results", "evaluation", "evaluation setup", "baselines", "datasets",
+    "data", "implementation details", "training details", "training", "training setup", "ablation study", "ablation studies", "analysis",
+    "quantitative results", "discussion", "limitations", "limitations and future work",
+]
+LOW = [
+    "reproducibility statement", "iclr reproducibility statement", "qualitative examples",
+]
 METADATA_ONLY = ["references", "bibliography"]
 # Parts of a title that mark a broad section.
-BROAD = _lines("""
-abstract
-introduction
-conclusion
-discussion
-related work
-background
-contributions
-""")
+BROAD = [
+    "abstract", "introduction", "conclusion", "discussion", "related work", "background", "contributions",
+]
 # First words that mark an acknowledgement inside a text.
-ACKNOWLEDGEMENT = _lines("""
-acknowledgements
-acknowledgments
-acknowledgement
-acknowledgment
-""")
+ACKNOWLEDGEMENT = [
+    "acknowledgements", "acknowledgments", "acknowledgement", "acknowledgment",
+]
 # First header cells that label rows.
 ROW_LABELS = ["n", "row", "model", "method", "layer type", ""]
 

@@ -11,169 +11,37 @@ from pyspark.sql import functions as F
 from docspark.functions.text import strip
 
 
-def _lines(text: str) -> list[str]:
-    return [x for x in text.strip().splitlines() if x]
-
-
 # Phrases looked for anywhere in the lower-cased query. One that is listed twice counts twice.
-SPECIFIC = _lines("""
-how many
-what is the value
-exact
-specific
-what was
-which number
-what score
-what rate
-how much
-how long
-how large
-how fast
-table
-figure
-result
-score
-metric
-benchmark
-performance
-accuracy
-bleu
-perplexity
-loss
-precision
-recall
-f1
-wmt
-newstest
-dataset
-learning rate
-batch size
-epoch
-step
-dropout
-regularization
-weight decay
-warmup
-optimizer
-adam
-gpu
-parameter
-layer
-head
-dimension
-size
-weight decay
-p_drop
-label smoothing
-checkpoint
-warmup steps
-beta
-epsilon
-""")
-BROAD = _lines("""
-why
-how does
-what is the purpose
-explain
-describe
-overview
-concept
-motivation
-advantage
-benefit
-intuition
-difference between
-what makes
-what approach
-summarize
-what is
-how does this work
-what problem
-contribution
-novel
-propose
-main idea
-key insight
-compare
-versus
-what problem
-what challenge
-what limitation
-solve
-address
-tackle
-overcome
-what does
-how is
-in what way
-what role
-what purpose
-what effect
-what impact
-""")
+SPECIFIC = [
+    "how many", "what is the value", "exact", "specific", "what was", "which number", "what score", "what rate", "how much", "how long", "how large",
+    "how fast", "table", "figure", "result", "score", "metric", "benchmark", "performance", "accuracy", "bleu", "perplexity", "loss", "precision",
+    "recall", "f1", "wmt", "newstest", "dataset", "learning rate", "batch size", "epoch", "step", "dropout", "regularization", "weight decay",
+    "warmup", "optimizer", "adam", "gpu", "parameter", "layer", "head", "dimension", "size", "weight decay", "p_drop", "label smoothing",
+    "checkpoint", "warmup steps", "beta", "epsilon",
+]
+BROAD = [
+    "why", "how does", "what is the purpose", "explain", "describe", "overview", "concept", "motivation", "advantage", "benefit", "intuition",
+    "difference between", "what makes", "what approach", "summarize", "what is", "how does this work", "what problem", "contribution", "novel",
+    "propose", "main idea", "key insight", "compare", "versus", "what problem", "what challenge", "what limitation", "solve", "address", "tackle",
+    "overcome", "what does", "how is", "in what way", "what role", "what purpose", "what effect", "what impact",
+]
 #: Empty phrases in the list of broad ones: each counts for every query.
 EMPTY_BROAD = 3
-TABLE = _lines("""
-table
-comparison
-versus
-vs
-compared to
-results show
-in table
-performance of
-benchmark
-leaderboard
-outperforms
-beats
-achieves
-""")
-EQUATION = _lines("""
-formula
-equation
-calculate
-compute
-loss function
-learning rate formula
-objective
-mathematically
-expression
-defined as
-softmax
-attention formula
-function
-""")
-FIGURE = _lines("""
-figure
-diagram
-architecture diagram
-visualization
-plot
-graph
-shown in
-illustrated
-depicted
-image
-picture
-""")
-CROSS_SECTION = _lines("""
-throughout
-overall
-in general
-the paper
-main contribution
-key idea
-approach
-the method
-the model
-the system
-proposed
-summarize the paper
-what does this paper
-entire paper
-whole paper
-this work
-""")
+TABLE = [
+    "table", "comparison", "versus", "vs", "compared to", "results show", "in table", "performance of", "benchmark", "leaderboard", "outperforms",
+    "beats", "achieves",
+]
+EQUATION = [
+    "formula", "equation", "calculate", "compute", "loss function", "learning rate formula", "objective", "mathematically", "expression",
+    "defined as", "softmax", "attention formula", "function",
+]
+FIGURE = [
+    "figure", "diagram", "architecture diagram", "visualization", "plot", "graph", "shown in", "illustrated", "depicted", "image", "picture",
+]
+CROSS_SECTION = [
+    "throughout", "overall", "in general", "the paper", "main contribution", "key idea", "approach", "the method", "the model", "the system",
+    "proposed", "summarize the paper", "what does this paper", "entire paper", "whole paper", "this work",
+]
 NUMBER = r"\b[0-9]+\.?[0-9]*\b"
 
 

@@ -43,6 +43,7 @@ KAPPA = 1.0
 LETTERS, CHANGES = ("", "letters"), ("", "changes")
 
 _RUN = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
+_WIDE_RUN = re.compile(r"[^\x00-\x7f]+")
 _WIDE = re.compile(r"[^\x00-\x7f]")
 _ASCII_LETTERS = "".join(chr(c) for c in range(128) if chr(c).isalpha())
 _TWINS = "".join(c for c in _ASCII_LETTERS if c in CLASS_OF)
@@ -102,7 +103,8 @@ def compat(text: str) -> str:
     """Step 1; the result is decomposed. Line ends become line feeds, tabs blanks."""
     if text.isascii():
         return text.replace("\r\n", "\n").replace("\t", " ") if "\r" in text or "\t" in text else text
-    out = unicodedata.normalize("NFD", text.translate(COMPAT))
+    # ASCII characters stay what they are
+    out = unicodedata.normalize("NFD", _WIDE_RUN.sub(lambda m: m[0].translate(COMPAT), text))
     return out.replace("\r\n", "\n").replace("\t", " ")
 
 
@@ -190,18 +192,16 @@ class Resolver:
         out = compat(text)
         runs = _DOUBTFUL if out.isascii() else _RUN
         prior: list[float] = []
-        known: dict[str, str] = {}
-
-        def best(m: re.Match) -> str:
-            run = m[0]
-            if run not in known:
-                paths = self.paths(run)
-                if len(paths) > 1 and not prior:
-                    prior.extend(self.prior(out))
-                known[run] = paths[0][2] if len(paths) == 1 else min((cost + prior[k], k, t) for k, cost, t in paths)[2]
-            return known[run]
-
-        out = runs.sub(best, out)
+        changed: dict[str, str] = {}
+        for run in set(runs.findall(out)):
+            paths = self.paths(run)
+            if len(paths) > 1 and not prior:
+                prior = self.prior(out)
+            best = paths[0][2] if len(paths) == 1 else min((cost + prior[k], k, t) for k, cost, t in paths)[2]
+            if best != run:
+                changed[run] = best
+        if changed:
+            out = runs.sub(lambda m: changed.get(m[0], m[0]), out)
         return out if out.isascii() else unicodedata.normalize("NFC", out)
 
 

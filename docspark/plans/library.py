@@ -336,6 +336,14 @@ def trace_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_steps"), F.sum(k).alias("total"), F.when(F.bool_and(F.col("event_type") != "error"), F.sum(k)).otherwise(-1).alias("total_if_done"))
 
 
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step_no, event_type AS step, CAST(json_extract_string(props, '$.k') AS BIGINT) AS duration, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) AS waited_us FROM events")
+def trace_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of every trace in order, with the number read from JSON and the time since the step before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    waited = F.coalesce(_us("ts") - F.lag(_us("ts")).over(w), F.lit(0))
+    return table(spark, d, "events").select("user_id", F.row_number().over(w).alias("step_no"), F.col("event_type").alias("step"), F.from_json("props", "k bigint")["k"].alias("duration"), waited.alias("waited_us"))
+
+
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 

@@ -42,7 +42,7 @@ def _is_splitter(c: str) -> Column:
 
 
 def _double(start: DataFrame, work: Work, paths: bool, name: str) -> tuple[list[DataFrame], DataFrame | None]:
-    """Doubles ``(node, ptr, hops, mark, low, stop[, path])`` until every pointer stands on a stop or is known to circle.
+    """Doubles the written table ``(node, ptr, hops, mark, low, stop[, path])`` until every pointer stands on a stop or is known to circle.
 
     ``mark`` is the smallest of the nodes met that have a row here (the node itself excluded, ptr included), ``low`` that of all
     nodes passed, ``path`` the ids passed from below ptr down to the node. Returns the absorbed parts and ``(node, root)`` of
@@ -50,7 +50,7 @@ def _double(start: DataFrame, work: Work, paths: bool, name: str) -> tuple[list[
     """
     columns = ["node", "ptr", "hops", "mark", "low"] + ["path"] * paths
     absorbed: list[DataFrame] = [start.where("stop").select(*columns)]
-    active = work.table(start.where("not stop").select(*columns), name)
+    active = start.where("not stop").select(*columns)
     lost: list[DataFrame] = []
     while True:
         n, met = active.agg(F.count("*"), F.count_if(F.col("mark") == F.col("node"))).first()

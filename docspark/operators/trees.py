@@ -15,8 +15,8 @@ from docspark.operators.knn import QUERY_BLOCK, _pack, _usable, similar_pairs
 from docspark.work import Work
 
 LEAST_SIZE, MOST_SIZE = 3, 12
-#: Rows of a paper whose memberships are worked out at once.
-FUZZY_ROWS = 256
+#: Rows of a paper whose memberships are worked out at once, fewer where a paper has many clusters; and pairs of a row and a cluster in one frame.
+FUZZY_ROWS, FUZZY_PAIRS = 256, 1 << 16
 
 
 def structural_clusters(chunks: DataFrame) -> DataFrame:
@@ -66,11 +66,17 @@ def _pulls(power: float, floor: float):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 x, c = (np.asarray(v, dtype=float).reshape(n, -1) for v, n in ((r.x_data, len(r.x_ids)), (r.centres, len(r.clusters))))
-                far = np.stack([((x - k) ** 2).sum(1) for k in c], axis=1)
-                pull = np.maximum(far, floor) ** -power
-                u = pull / pull.sum(1, keepdims=True)
                 n = len(c)
-                yield pd.DataFrame({"paper_id": r.grp, "chunk_id": np.repeat(np.asarray(r.x_ids, dtype=object), n), "cluster": np.tile(np.asarray(r.clusters), len(x)), "u": u.ravel()})
+                # a paper may have more pairs of a chunk and a cluster than fit in memory
+                few = max(1, FUZZY_PAIRS // 16 // n)
+                some = -(-FUZZY_PAIRS // (few * n)) * few
+                for at in range(0, len(x), some):
+                    shares = []
+                    for i in range(at, min(at + some, len(x)), few):
+                        far = ((x[i : min(i + few, at + some), None, :] - c[None]) ** 2).sum(2)
+                        pull = np.maximum(far, floor) ** -power
+                        shares += list(pull / pull.sum(1, keepdims=True))
+                    yield pd.DataFrame({"paper_id": r.grp, "chunk_id": r.x_ids[at : at + some], "clusters": [r.clusters] * len(shares), "us": shares})
 
     return run
 
@@ -88,7 +94,8 @@ def memberships(x: DataFrame, c: DataFrame, power: float = 2.0, floor: float = 1
     matrix = matrix.select("grp", F.col("m.cluster").alias("clusters"), F.flatten("m.centre").alias("centres"))
     dealt = sizes.join(matrix, "grp").withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     met = packed.drop("blocks").join(dealt, ["grp", "dim", "x_block"]).select("grp", "x_ids", "x_data", "clusters", "centres")
-    return met.mapInPandas(_pulls(power, floor), f"paper_id string, chunk_id {kind}, cluster {whole}, u double")
+    shared = met.mapInPandas(_pulls(power, floor), f"paper_id string, chunk_id {kind}, clusters array<{whole}>, us array<double>")
+    return shared.select("paper_id", "chunk_id", F.inline(F.arrays_zip(F.col("clusters").alias("cluster"), F.col("us").alias("u"))))
 
 
 def _fuzzy(steps: int, tolerance: float, threshold: float):

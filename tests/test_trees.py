@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 
 from docspark.operators import trees
 
@@ -111,3 +113,13 @@ def test_group_evenly(spark):
         groups = min(3, max(2, n // 3))
         size = -(-n // groups)
         assert {r.chunk_id: r.group_no for r in out} == {f"{i:02d}": i // size for i in range(n)}
+
+
+def test_memberships_leave_a_block_in_frames_of_bounded_size():
+    k, rng = 1500, np.random.default_rng(5)
+    ids, centres = np.array([f"c{i:05d}" for i in range(1000)], dtype=object), rng.normal(size=k * 16)
+    block = pd.DataFrame({"grp": ["p"], "x_ids": [ids], "x_data": [rng.normal(size=16_000)], "clusters": [np.arange(k)], "centres": [centres]})
+    frames = list(trees._pulls(2.0, 1e-10)(iter([block])))
+    assert [c for f in frames for c in f["chunk_id"]] == ids.tolist()
+    pairs = [sum(map(len, f["us"])) for f in frames]
+    assert sum(pairs) == 1000 * k and max(pairs) <= trees.FUZZY_PAIRS + k

@@ -113,30 +113,45 @@ def _fuzzy(steps: int, tolerance: float, threshold: float):
         kept = min(50, max(2, n // 5), d, n - 1)
         if kept < d:
             v = v @ np.linalg.svd(v, full_matrices=False)[2][:kept].T
-        u = (pdf["cluster"].to_numpy()[:, None] == names[None, :]).astype(float)
         square = (v * v).sum(1)
-        w = u * u
-        sums, weights = w.T @ v, w.sum(0)
+        # all memberships of a paper do not fit in memory: blocks of them are made from the centres when they are asked for
+        rows = min(FUZZY_ROWS, max(16, (1 << 18) // len(names)))
+        begun = np.where(pdf["cluster"].notna(), np.searchsorted(names, pdf["cluster"].fillna(names[0])), -1)
+
+        def shares(i: int, c: np.ndarray | None) -> np.ndarray:
+            if c is None:
+                return (begun[i : i + rows, None] == np.arange(len(names))[None, :]).astype(float)
+            far = np.maximum(square[i : i + rows, None] + (c * c).sum(1)[None, :] - 2 * v[i : i + rows] @ c.T, 1e-10)
+            far *= far
+            new = np.divide(1.0, far, out=far)
+            new /= new.sum(1, keepdims=True)
+            return new
+
+        sums, placed = np.zeros((len(names), v.shape[1])), begun >= 0
+        np.add.at(sums, begun[placed], v[placed])
+        weights = np.bincount(begun[placed], minlength=len(names)).astype(float)
+        c, last = None, 0
         for _ in range(steps):
-            c = sums / np.maximum(weights, 1e-300)[:, None]
-            moved, sums, weights = 0.0, np.zeros_like(c), np.zeros(len(c))
-            length = (c * c).sum(1)
-            # block by block, so that what a step makes stays in the cache
-            for i in range(0, n, FUZZY_ROWS):
-                x = v[i : i + FUZZY_ROWS]
-                far = np.maximum(square[i : i + FUZZY_ROWS, None] + length[None, :] - 2 * x @ c.T, 1e-10)
-                far *= far
-                new = np.divide(1.0, far, out=far)
-                new /= new.sum(1, keepdims=True)
-                moved = max(moved, float(np.abs(new - u[i : i + FUZZY_ROWS]).max()))
-                u[i : i + FUZZY_ROWS] = new
+            before, c = c, sums / np.maximum(weights, 1e-300)[:, None]
+            sums, weights = 0.0, 0.0
+            # whether any membership changed is settled by the first block that did, mostly the same one as a step before
+            moved = float(np.abs(shares(last, c) - shares(last, before)).max()) >= tolerance
+            for i in range(0, n, rows):
+                new = shares(i, c)
+                if not moved and float(np.abs(new - shares(i, before)).max()) >= tolerance:
+                    moved, last = True, i
                 new *= new
-                sums += new.T @ x
-                weights += new.sum(0)
-            if moved < tolerance:
+                sums = sums + new.T @ v[i : i + rows]
+                weights = weights + new.sum(0)
+            if not moved:
                 break
-        row, k = np.nonzero(u >= threshold)
-        return pd.DataFrame({"paper_id": pdf["paper_id"].to_numpy()[row], "chunk_id": pdf["chunk_id"].to_numpy()[row], "cluster": names[k], "u": u[row, k]})
+        parts = []
+        for i in range(0, n, rows):
+            u = shares(i, c)
+            row, k = np.nonzero(u >= threshold)
+            parts.append((row + i, k, u[row, k]))
+        row, k, u = (np.concatenate(x) for x in zip(*parts))
+        return pd.DataFrame({"paper_id": pdf["paper_id"].to_numpy()[row], "chunk_id": pdf["chunk_id"].to_numpy()[row], "cluster": names[k], "u": u})
 
     return run
 

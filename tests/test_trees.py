@@ -123,3 +123,14 @@ def test_memberships_leave_a_block_in_frames_of_bounded_size():
     assert [c for f in frames for c in f["chunk_id"]] == ids.tolist()
     pairs = [sum(map(len, f["us"])) for f in frames]
     assert sum(pairs) == 1000 * k and max(pairs) <= trees.FUZZY_PAIRS + k
+
+
+def test_memberships_of_a_hot_paper_are_never_held_at_once():
+    n, k = 3000, 1500
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame({"paper_id": "p", "chunk_id": [f"c{i:05d}" for i in range(n)], "cluster": (np.arange(n) % k).astype(float), "vector": list(rng.normal(size=(n, 16)))})
+    tracemalloc.start()
+    trees._fuzzy(2, 1e-4, 0.25)(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * k * 8

@@ -61,6 +61,25 @@ def contains_all(searches: DataFrame, library: DataFrame) -> DataFrame:
     The papers of the user's own library whose text holds every word of the search, by one join on user and
     word. A search without words finds nothing. Ids of searches, and papers within a library, must be unique.
     """
-    wanted = searches.select("id", "user_id", words(F.col("text")).alias("q")).select("id", "user_id", F.size("q").alias("n"), F.explode("q").alias("word"))
     held = library.select("user_id", "paper_id", F.explode(words(F.col("text"))).alias("word"))
+    return _all_held(_wanted(searches), held)
+
+
+def contains_all_within(searches: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
+    """As :func:`contains_all` over ``held(user_id, paper_id)``, whose papers have the words of all their ``texts(paper_id, text)``.
+
+    Texts are cut into words before they meet the holders of their paper, and only words that are searched for go on: no
+    text is repeated by holder, and the texts of a paper never are one.
+    """
+    wanted = _wanted(searches)
+    cut = texts.select("paper_id", F.explode(words(F.col("text"))).alias("word"))
+    known = cut.join(wanted.select("word").distinct(), "word", "left_semi").distinct()
+    return _all_held(wanted, held.select("user_id", "paper_id").join(known, "paper_id"))
+
+
+def _wanted(searches: DataFrame) -> DataFrame:
+    return searches.select("id", "user_id", words(F.col("text")).alias("q")).select("id", "user_id", F.size("q").alias("n"), F.explode("q").alias("word"))
+
+
+def _all_held(wanted: DataFrame, held: DataFrame) -> DataFrame:
     return wanted.join(held, ["user_id", "word"]).groupBy("id", "paper_id", "n").agg(F.count("*").alias("hits")).where("hits = n").select("id", "paper_id")

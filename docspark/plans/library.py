@@ -363,24 +363,21 @@ txt AS (SELECT p.paper_id, p.title, coalesce(title, '') || ' ' || coalesce(array
 
 
 def _searchable(spark: SparkSession, d: str) -> DataFrame:
-    """``(paper_id, title, text)``: title, authors and abstract of every paper."""
+    """``(paper_id, text)``: title and authors of every paper, and each chunk of its abstract."""
     leaves = newest(table(spark, d, "chunks"), columns=("chunk_id", "paper_id", "level", "section_title", "text_for_embedding")).where("level = 0")
-    parts = leaves.where(normalize_title(F.col("section_title")) == "abstract").groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "text_for_embedding"))).alias("x"))
-    abstract = parts.select("paper_id", F.array_join(F.col("x.text_for_embedding"), " ").alias("abstract"))
-    named = F.coalesce(F.array_join(F.transform("authors", lambda a: a["name"]), " "), F.lit(""))
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), named, F.coalesce("abstract", F.lit("")))
-    return table(spark, d, "papers").join(abstract, "paper_id", "left").select("paper_id", "title", text.alias("text"))
+    abstract = leaves.where(normalize_title(F.col("section_title")) == "abstract").select("paper_id", F.col("text_for_embedding").alias("text"))
+    named = F.array_join(F.transform("authors", lambda a: a["name"]), " ")
+    return table(spark, d, "papers").select("paper_id", F.concat_ws(" ", "title", named).alias("text")).union(abstract)
 
 
 @query(f"""WITH {_CUR}, {_ABSTRACT}, {_LIB}, t AS (SELECT paper_id, {_WORDS.format(t="t")} AS w FROM txt), q AS (SELECT user_id, paper_id AS asked, list_slice({_WORDS.format(t="coalesce(title, '')")}, 1, 3) AS q FROM lib)
 SELECT q.user_id, q.asked, lib.paper_id FROM q JOIN lib ON lib.user_id = q.user_id JOIN t ON t.paper_id = lib.paper_id WHERE len(q.q) > 0 AND list_has_all(t.w, q.q)""".replace("list_distinct(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda w: w <> ''))", "list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda w: w <> '')"))
 def fulltext_search(spark: SparkSession, d: str) -> DataFrame:
     """For every paper a user holds, the papers of the user's library whose title, authors and abstract hold its title's first three words."""
-    texts = _searchable(spark, d)
-    library = _library(spark, d).select("user_id", "paper_id").join(texts, "paper_id")
+    library = _library(spark, d).select("user_id", "paper_id", "title")
     every = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
     asked = library.select(F.struct("user_id", "paper_id").alias("id"), "user_id", F.array_join(F.slice(every, 1, 3), " ").alias("text"))
-    return rel.contains_all(asked, library).select("id.user_id", F.col("id.paper_id").alias("asked"), "paper_id")
+    return rel.contains_all_within(asked, library, _searchable(spark, d)).select("id.user_id", F.col("id.paper_id").alias("asked"), "paper_id")
 
 
 @query("""WITH l AS (SELECT paper_id, doi, year, CASE lower(source) WHEN 'upload' THEN 0 WHEN 'journal_feed' THEN 1 WHEN 'preprint_feed' THEN 2 END AS list_no FROM papers)

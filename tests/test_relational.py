@@ -30,3 +30,16 @@ def test_fulltext_library_reaches_every_paper_of_the_user(spark, tmp_path):
     for name in ("papers", "chat_sessions"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert sorted(con.sql(library.SQL["fulltext_library"]).fetchall()) == got
+
+
+def test_texts_are_cut_into_words_before_they_meet_their_holders(spark):
+    searches = spark.createDataFrame([(1, "u", "Graph learning"), (2, "v", "graph"), (3, "u", "x"), (4, "u", None)], "id int, user_id string, text string")
+    held = spark.createDataFrame([("u", "p"), ("v", "p"), ("u", "q")], "user_id string, paper_id string")
+    texts = spark.createDataFrame([("p", "A graph"), ("p", "on Learning, graph"), ("p", None), ("q", "graph"), ("r", "graph learning x")], "paper_id string, text string")
+    out = rel.contains_all_within(searches, held, texts)
+    assert sorted(map(tuple, out.collect())) == [(1, "p"), (2, "p")]
+
+
+def test_full_text_search_never_puts_a_papers_abstract_together(spark):
+    plan = library.QUERIES["fulltext_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

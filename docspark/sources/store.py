@@ -40,15 +40,17 @@ class ChunkStore:
             df = df.where(F.col("paper_id") == paper_id)
         return df if levels is None else df.where(F.col("level").isin(*levels))
 
-    def _write(self, df: DataFrame, mode: str) -> None:
-        # one file per partition and task; the hot paper keeps its own spread
+    def _write(self, df: DataFrame, mode: str, seen: Observation | None = None) -> None:
+        # opening a file costs more than its rows: those of a partition meet in one task, which writes one file; a count given outright keeps the tasks apart
+        df = df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "paper_id", "level")
+        df = df.observe(seen, F.count(F.lit(1)).alias("n")) if seen else df
         df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("paper_id", "level").parquet(self.path)
 
     def upsert(self, rows: DataFrame, within: bool = False) -> int:
         """Appends rows whose content hash the paper does not have yet; returns how many. ``within`` drops repeats inside the batch too."""
         seen = Observation()
         fresh = insert_new(rows, self.read().select("paper_id", "content_hash"), ["paper_id", "content_hash"], within)
-        self._write(fresh.select(*[f.name for f in self.read().schema]).observe(seen, F.count(F.lit(1)).alias("n")), "append")
+        self._write(fresh.select(*[f.name for f in self.read().schema]), "append", seen)
         return int(seen.get["n"] or 0)
 
     def _drop(self, match) -> int:

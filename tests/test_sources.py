@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.operators.chunking import chunk_elements
 from docspark.sources.documents import DocumentFormatError, elements_of, read_documents
@@ -67,3 +68,12 @@ def test_sources_in_several_formats(spark, tmp_path):
     rows = read_sources(spark, {"one": ("parquet", f"{tmp_path}/p"), "two": ("json", f"{tmp_path}/j"), "three": ("csv", f"{tmp_path}/c")}, "paper_id string, doi string, year int")
     assert {tuple(r) for r in rows.collect()} == {("a", "d1", 2020, "one", 0), ("b", None, None, "two", 1), ("c", None, 2021, "three", 2)}
     assert read_sources(spark, {}, "paper_id string").count() == 0
+
+
+def test_a_partition_of_the_store_is_written_as_one_file(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), SCHEMA)
+    rows = spark.createDataFrame([(f"c{i}", f"h{i}", [], None, f"p{i % 3}", i % 2) for i in range(60)], SCHEMA).repartition(4)
+    assert store.upsert(rows) == 60
+    assert len(list((tmp_path / "store").glob("*/*/*.parquet"))) == 6
+    store.update_links(rows.select("chunk_id", F.array(F.lit("up")).alias("parent_ids")))
+    assert len(list((tmp_path / "store").glob("*/*/*.parquet"))) == 6 and store.read().where("parent_ids[0] = 'up'").count() == 60

@@ -40,12 +40,12 @@ LOCAL_ROWS = 16_000
 RIDGE = 1e-2
 #: Rows of each component from which initial means are drawn, expected; the fit itself takes all rows.
 SEED_ROWS = 1_000
-#: Rows of a pack of fragments, and pairs of packs handed to Python at once.
-PACK_ROWS, PACK_PAIRS = 4096, 8
+#: Rows of a pack of fragments, pairs of packs handed to Python at once, and rows of near fragments compared at once.
+PACK_ROWS, PACK_PAIRS, NEAR_ROWS = 16_384, 1, 1 << 16
 #: First sums of a mixture's shares; a second one adds them up.
 SUM_PARTS = 32
-#: Radians allowed for rounding in the bounds on angles.
-SLACK = 2e-3
+#: Radians allowed for rounding in the bounds on angles, and the sum of angles from which on fragments are always near.
+SLACK, WIDE = 2e-3, 3.0
 
 
 def _units(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +356,7 @@ def _assign(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 
 _MEMBER = "id string, frag string, leaf long, density double, u binary"
-_PACK = "u binary, starts array<int>, names array<string>"
+_PACK = "u binary, starts binary, names array<string>, centre binary, radius binary"
 
 
 def _alike(x: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray]:
@@ -386,45 +386,97 @@ def _fragments(likeness: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]
     return run
 
 
-def _packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in packs, ordered by fragment; a fragment cut by a pack's end is two of one name."""
-    for pdf in batches:
-        for i in range(0, len(pdf), PACK_ROWS):
-            part = pdf.iloc[i : i + PACK_ROWS].sort_values("frag", ignore_index=True)
-            names = part["frag"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-            yield pd.DataFrame({"u": [b"".join(part["u"])], "starts": [starts.astype(np.int32)], "names": [names[starts].tolist()]})
+def _packs(dim: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows in packs, ordered by fragment, with each fragment's centre and the angle to its farthest row; a fragment cut by a pack's end is two of one name."""
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("frag", ignore_index=True)
+        names, u = part["frag"].to_numpy(), b"".join(part["u"])
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]).astype(np.int32)
+        p = _Pack(u, starts, names[starts], dim)
+        return pd.DataFrame({"u": [u], "starts": [starts.tobytes()], "names": [names[starts].tolist()], "centre": [p.centre.tobytes()], "radius": [p.radius.tobytes()]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            for i in range(0, len(pdf), PACK_ROWS):
+                held.append(pdf.iloc[i : i + PACK_ROWS])
+                if sum(map(len, held)) >= PACK_ROWS:
+                    every = pd.concat(held)
+                    yield packed(every.iloc[:PACK_ROWS])
+                    held = [every.iloc[PACK_ROWS:]] if len(every) > PACK_ROWS else []
+        if held:
+            yield packed(pd.concat(held))
+
+    return run
 
 
 class _Pack:
     """The fragments of a pack: rows, centres, and the angle from each centre to its farthest row."""
 
-    def __init__(self, u: bytes, starts: np.ndarray, names: np.ndarray, dim: int) -> None:
+    def __init__(self, u: bytes, starts: np.ndarray, names: np.ndarray, dim: int, centre: bytes | None = None, radius: bytes | None = None) -> None:
         self.x = np.frombuffer(u, np.float32).reshape(-1, dim)
         self.starts, self.names = np.asarray(starts), np.asarray(names, dtype=object)
-        self.ends = np.r_[self.starts[1:], len(self.x)]
+        self.sizes = np.diff(np.r_[self.starts, len(self.x)])
+        self.ends = self.starts + self.sizes
+        if centre is not None:
+            self.centre, self.radius = np.frombuffer(centre, np.float32).reshape(-1, dim), np.frombuffer(radius, np.float32)
+            return
         total = np.add.reduceat(self.x, self.starts, axis=0)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         # any unit vector will do as a centre; the mean is the best one unless the rows cancel out
         self.centre = np.where(norm > 1e-3, total / np.maximum(norm, 1e-3), self.x[self.starts])
-        self.of = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
-        self.radius = np.arccos(np.minimum.reduceat((self.x * self.centre[self.of]).sum(1), self.starts).clip(-1, 1))
+        self.radius = np.arccos(np.minimum.reduceat((self.x * self.centre[np.repeat(np.arange(len(self.starts)), self.sizes)]).sum(1), self.starts).clip(-1, 1))
+
+
+def _near(p: _Pack, q: _Pack, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fragments whose centres are within the sum of their radii and ``reach``."""
+    a = p.radius + np.float32(reach)
+    # cos(a + b) is a product of two entries more, so that one matrix product compares all pairs
+    left = np.c_[p.centre, -np.cos(a), np.sin(a)]
+    right = np.c_[q.centre, np.cos(q.radius), np.sin(q.radius)]
+    near = left @ right.T >= -1e-5
+    wide = np.flatnonzero(a + q.radius.max() >= WIDE)
+    near[wide] |= a[wide, None] + q.radius[None, :] >= WIDE
+    return np.divmod(np.flatnonzero(near), near.shape[1])
+
+
+def _touching(p: _Pack, q: _Pack, f: np.ndarray, g: np.ndarray, reach: float) -> np.ndarray:
+    """Of the pairs ``f[k], g[k]``, ordered by ``f``, those with a row of ``f`` within the radius of ``g`` and ``reach``."""
+    least = np.cos(np.minimum(q.radius + reach, np.pi))
+    sizes = p.sizes[f]
+    own, other = np.unique(f), np.unique(g)
+    if int(sizes.sum()) * 8 >= int(p.sizes[own].sum()) * len(other):  # most pairs of these fragments are near
+        out, n = np.zeros(len(f), bool), p.sizes[own]
+        step = max(1, NEAR_ROWS * 16 // len(other))
+        cut = np.flatnonzero(np.r_[True, np.diff(np.cumsum(n) // step) > 0])
+        for i, j in zip(cut, np.r_[cut[1:], len(own)]):
+            rows = np.concatenate([np.arange(p.starts[k], p.ends[k]) for k in own[i:j]])
+            close = p.x[rows] @ q.centre[other].T >= least[other]
+            close = np.logical_or.reduceat(close, np.r_[0, np.cumsum(n[i:j])[:-1]], axis=0)
+            some = slice(np.searchsorted(f, own[i]), np.searchsorted(f, own[j - 1], "right"))
+            out[some] = close[np.searchsorted(own[i:j], f[some]), np.searchsorted(other, g[some])]
+        return out
+    out = []
+    cut = np.flatnonzero(np.r_[True, np.diff(np.cumsum(sizes) // NEAR_ROWS) > 0])
+    for i, j in zip(cut, np.r_[cut[1:], len(f)]):
+        n, at = sizes[i:j], np.r_[0, np.cumsum(sizes[i:j])[:-1]]
+        rows = np.repeat(p.starts[f[i:j]] - at, n) + np.arange(n.sum())
+        to = np.repeat(g[i:j], n)
+        close = np.einsum("ij,ij->i", p.x[rows], q.centre[to]) >= least[to]
+        out.append(np.logical_or.reduceat(close, at))
+    return np.concatenate(out)
 
 
 def _pack_edges(p: _Pack, q: _Pack, same: bool, likeness: float) -> list[tuple[str, str]]:
     """Edges between fragments that hold two alike rows, without those that follow from others."""
     reach = np.arccos(likeness) + SLACK
-    least = lambda angle: np.cos(np.minimum(angle, np.pi))
-    near = p.centre @ q.centre.T >= least(np.add.outer(p.radius, q.radius) + reach)
-    near &= p.names[:, None] != q.names[None, :]
-    if same:
-        near = np.triu(near, 1)
-    f, g = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    f, g = _near(p, q, reach)
+    kept = (f < g) & (p.names[f] != q.names[g]) if same else p.names[f] != q.names[g]
+    f, g = f[kept], g[kept]
     if not len(f):
         return []
-    rows = np.flatnonzero(np.isin(p.of, f))
-    some = p.x[rows] @ q.centre[g].T >= least(q.radius[g] + reach)
-    some = np.logical_or.reduceat(some, np.searchsorted(rows, p.starts[f]), axis=0) & near[np.ix_(f, g)]
+    kept = _touching(p, q, f, g, reach)
     up: dict[str, str] = {}
 
     def find(k: str) -> str:
@@ -433,8 +485,7 @@ def _pack_edges(p: _Pack, q: _Pack, same: bool, likeness: float) -> list[tuple[s
         return k
 
     out = []
-    for i, j in zip(*(k.tolist() for k in np.nonzero(some))):
-        i, j = f[i], g[j]
+    for i, j in zip(f[kept].tolist(), g[kept].tolist()):
         a, b = find(p.names[i]), find(q.names[j])
         if a != b and (p.x[p.starts[i] : p.ends[i]] @ q.x[q.starts[j] : q.ends[j]].T).max() >= likeness - 1e-6:
             up[max(a, b)] = min(a, b)
@@ -442,32 +493,35 @@ def _pack_edges(p: _Pack, q: _Pack, same: bool, likeness: float) -> list[tuple[s
     return out
 
 
-def _across(likeness: float, dim: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _across(likeness: float, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def pack(b: pa.RecordBatch, k: int, side: str) -> _Pack:
+        u, starts, centre, radius = (b.column(c + side)[k].as_buffer() for c in ("u", "starts", "centre", "radius"))
+        return _Pack(u, np.frombuffer(starts, np.int32), np.array(b.column("names" + side)[k].as_py(), dtype=object), dim, centre, radius)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, p = None, None
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.i != at:
-                    at, p = r.i, _Pack(r.u, r.starts, r.names, dim)
-                q = p if r.j == r.i else _Pack(r.u2, r.starts2, r.names2, dim)
-                edges = _pack_edges(p, q, r.j == r.i, likeness)
+        for b in batches:
+            for k, (i, j) in enumerate(zip(b.column("i").to_pylist(), b.column("j").to_pylist())):
+                if i != at:
+                    at, p = i, pack(b, k, "")
+                edges = _pack_edges(p, p if j == i else pack(b, k, "2"), j == i, likeness)
                 if edges:
-                    yield pd.DataFrame(edges, columns=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*edges)], names=["a", "b"])
 
     return run
 
 
 def _joined(members: DataFrame, work: Work, likeness: float, dim: int) -> DataFrame:
     """Edges ``(a, b)`` between the fragments of ``members``: every pack meets every other without a shuffle."""
-    packs = work.table(members.select("frag", "u").mapInPandas(_packs, _PACK).withColumn("i", F.monotonically_increasing_id()), "packs")
-    other = packs.select(F.col("i").alias("j"), F.col("u").alias("u2"), F.col("starts").alias("starts2"), F.col("names").alias("names2"))
+    packs = work.table(members.select("frag", "u").mapInPandas(_packs(dim), _PACK).withColumn("i", F.monotonically_increasing_id()), "packs")
+    other = packs.select(F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in packs.columns if c != "i"])
     pairs = packs.crossJoin(other).where("i <= j")
-    # a pair of packs is a few MB: only some in a batch
+    # a pair of packs is some 8 MB: one in a batch
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = members.sparkSession.conf.get(key)
     members.sparkSession.conf.set(key, PACK_PAIRS)
     try:
-        return work.table(pairs.mapInPandas(_across(likeness, dim), "a string, b string"), "joined")
+        return work.table(pairs.mapInArrow(_across(likeness, dim), "a string, b string"), "joined")
     finally:
         members.sparkSession.conf.set(key, before)
 

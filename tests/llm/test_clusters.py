@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from docspark.llm import clusters
@@ -114,3 +117,42 @@ def test_fit_in_one_task_equals_fit_by_jobs(spark, work, monkeypatch):
 def test_empty(spark, work):
     assert clusters.similarity_clusters(spark.createDataFrame([], SCHEMA), work).count() == 0
     assert clusters.similarity_clusters(spark.createDataFrame([("a", [0.0, 0.0], "x"), ("b", None, "x")], SCHEMA), work).count() == 0
+
+
+def packs_of(rows, frags):
+    given = pd.DataFrame({"frag": frags, "u": [r.tobytes() for r in rows]})
+    return [clusters._Pack(r.u, np.frombuffer(r.starts, np.int32), r.names, rows.shape[1], r.centre, r.radius) for f in clusters._packs(rows.shape[1])(iter([given])) for r in f.itertuples()]
+
+
+def test_packs_without_near_fragments_cost_little_more_than_one_product():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 256)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    p, q = (packs_of(x[i : i + 3000], [f"f{i + k:05d}" for k in range(3000)])[0] for i in (0, 3000))
+    times = {}
+    for name, f in (("product", lambda: x[:3000] @ x[3000:].T), ("edges", lambda: clusters._pack_edges(p, q, False, 0.8))):
+        each = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            each.append(time.process_time() - began)
+        times[name] = min(each)
+    assert clusters._pack_edges(p, q, False, 0.8) == []
+    assert times["edges"] < 3 * times["product"]
+
+
+@pytest.mark.parametrize("noise, near_rows", [(0.02, 1 << 16), (0.4, 1 << 16), (1.2, 40)])
+def test_no_alike_rows_of_two_packs_are_passed_over(monkeypatch, noise, near_rows):
+    monkeypatch.setattr(clusters, "NEAR_ROWS", near_rows)
+    rng = np.random.default_rng(10)
+    k = rng.integers(0, 40, 800)
+    x = (rng.normal(size=(40, 4))[k] + noise * rng.normal(size=(800, 4))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    p, q = (packs_of(x[i : i + 400], [f"f{i}-{n:02d}" for n in k[i : i + 400]])[0] for i in (0, 400))
+    got = clusters._pack_edges(p, q, False, 0.8)
+    names = sorted({*p.names, *q.names})
+    at = {n: i for i, n in enumerate(names)}
+    row = np.array([at[f"f{i // 400 * 400}-{n:02d}"] for i, n in enumerate(k)])
+    a, b = np.nonzero(x[:400] @ x[400:].T >= 0.8 - 1e-6)
+    label = lambda pairs: local_components(len(names), *np.array(pairs).reshape(-1, 2).T).tolist()
+    assert label([(at[a], at[b]) for a, b in got]) == label(np.c_[row[a], row[b + 400]])

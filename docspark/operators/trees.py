@@ -17,6 +17,8 @@ from docspark.work import Work
 LEAST_SIZE, MOST_SIZE = 3, 12
 #: Rows of a paper whose memberships are worked out at once, fewer where a paper has many clusters; and pairs of a row and a cluster in one frame.
 FUZZY_ROWS, FUZZY_PAIRS = 256, 1 << 16
+#: Pairs of a row and a cluster of a paper above which a step is a job of several tasks (below, a job costs more than the step); rows of it that are packed together, and tasks at most.
+LOCAL_PAIRS, FUZZY_PACK, FUZZY_TASKS = 64_000_000, 2048, 32
 
 
 def structural_clusters(chunks: DataFrame) -> DataFrame:
@@ -156,19 +158,167 @@ def _fuzzy(steps: int, tolerance: float, threshold: float):
     return run
 
 
+class _Step:
+    """Memberships of a pack of rows by the centres of a step, block by block; without centres, those of the start."""
+
+    def __init__(self, c, k: int) -> None:
+        self.c, self.k = c, k
+        self.square = None if c is None else (c * c).sum(1)[None, :]
+
+    def shares(self, v, begun):
+        import numpy as np
+
+        if self.c is None:
+            return (begun[:, None] == np.arange(self.k)[None, :]).astype(float)
+        far = np.maximum((v * v).sum(1)[:, None] + self.square - 2 * v @ self.c.T, 1e-10)
+        far *= far
+        new = np.divide(1.0, far, out=far)
+        new /= new.sum(1, keepdims=True)
+        return new
+
+
+def _blocks_of(pdf: pd.DataFrame, dims: int, k: int):
+    """``(pack, row, v, begun)`` of the blocks of packed rows."""
+    import numpy as np
+
+    rows = min(FUZZY_ROWS, max(16, (1 << 18) // k))
+    for r in pdf.itertuples(index=False):
+        v, begun = np.frombuffer(r.v).reshape(-1, dims), np.frombuffer(r.begun, np.int32)
+        for i in range(0, len(v), rows):
+            yield r, i, v[i : i + rows], begun[i : i + rows]
+
+
+def _fuzzy_by_jobs(rows: DataFrame, work: Work, dims: int, steps: int, tolerance: float, threshold: float, schema: str) -> DataFrame:
+    """What :func:`_fuzzy` gives for the ``rows(paper_id, chunk_id, cluster, vector)`` of one paper, with a job a step; centres and their sums reach the driver."""
+    import numpy as np
+
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    tasks = min(sc.defaultParallelism, FUZZY_TASKS)
+    dealt = work.table(rows.select("paper_id", "chunk_id", "cluster", "vector").repartition(tasks, "chunk_id"), "hot")
+
+    def usable(pdf: pd.DataFrame):
+        v = np.array(pdf["vector"].tolist(), dtype=float).reshape(len(pdf), dims)
+        good = np.isfinite(v).all(1)
+        return pdf[good], v[good]
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, first, second, names = 0, np.zeros(dims), np.zeros((dims, dims)), set()
+        for pdf in batches:
+            pdf, v = usable(pdf)
+            n, first, second = n + len(v), first + v.sum(0), second + v.T @ v
+            names |= set(pdf["cluster"].dropna().astype(int))
+        yield pd.DataFrame({"names": [sorted(names)], "data": [np.r_[n, first, second.ravel()].tobytes()]})
+
+    got = dealt.mapInPandas(moments, "names array<long>, data binary").collect()
+    names = np.array(sorted({k for r in got for k in r.names}))
+    total = sum((np.frombuffer(r.data) for r in got), np.zeros(1))
+    if not len(names):
+        return spark.createDataFrame([], schema)
+    n, k = int(total[0]), len(names)
+    mean = total[1 : 1 + dims] / n
+    kept = min(50, max(2, n // 5), dims, n - 1)
+    values, axes = np.linalg.eigh(total[1 + dims :].reshape(dims, dims) - n * np.outer(mean, mean))
+    axes = axes[:, np.argsort(-values)[:kept]] if kept < dims else np.eye(dims)
+    kept = axes.shape[1]
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf, v = usable(pdf)
+            v = (v - mean) @ axes
+            cluster = pdf["cluster"].to_numpy(dtype=float, na_value=np.nan)
+            begun = np.where(np.isnan(cluster), -1, np.searchsorted(names, np.where(np.isnan(cluster), names[0], cluster))).astype(np.int32)
+            for i in range(0, len(v), FUZZY_PACK):
+                ids = pdf["chunk_id"].iloc[i : i + FUZZY_PACK].tolist()
+                yield pd.DataFrame({"paper_id": pdf["paper_id"].iloc[:1].tolist(), "ids": [ids], "v": [v[i : i + FUZZY_PACK].tobytes()], "begun": [begun[i : i + FUZZY_PACK].tobytes()]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    packs = work.table(dealt.mapInPandas(packed, f"paper_id {kinds['paper_id']}, ids array<{kinds['chunk_id']}>, v binary, begun binary").withColumn("pack", F.monotonically_increasing_id()), "packs")
+
+    def run(f, columns: list[str], schema: str, **sent):
+        held = sc.broadcast(sent)
+        out = packs.select(*columns).mapInPandas(lambda batches: f(batches, **held.value), schema).collect()
+        held.destroy()  # else the copies of all steps stay on the disk
+        return out
+
+    def summed(batches: Iterator[pd.DataFrame], c, before, at) -> Iterator[pd.DataFrame]:
+        now, then = _Step(c, k), _Step(before, k)
+        sums, moved = np.zeros((k, kept + 1)), False
+        # squared distances are one product: [v, 1, |v|^2] by [-2c, |c|^2, 1]
+        right = None if c is None else np.c_[-2 * c, (c * c).sum(1), np.ones(k)].T
+        for pdf in batches:
+            for r, i, v, begun in _blocks_of(pdf, kept, k):
+                if (r.pack, i) == at:
+                    moved = float(np.abs(now.shares(v, begun) - then.shares(v, begun)).max()) >= tolerance
+                one = np.ones((len(v), 1))
+                if c is None:
+                    np.add.at(sums, begun[begun >= 0], np.c_[v, one][begun >= 0])
+                    continue
+                far = np.c_[v, one, (v * v).sum(1)] @ right
+                np.maximum(far, 1e-10, out=far)
+                far *= far
+                pull = np.divide(1.0, far, out=far)
+                scale = pull.sum(1, keepdims=True) ** -2
+                pull *= pull
+                sums += pull.T @ (np.c_[v, one] * scale)
+        sums, weights = sums[:, :kept], sums[:, kept]
+        yield pd.DataFrame({"moved": [moved], "sums": [sums.tobytes()], "weights": [weights.tobytes()]})
+
+    def changed(batches: Iterator[pd.DataFrame], c, before) -> Iterator[pd.DataFrame]:
+        now, then = _Step(c, k), _Step(before, k)
+        for pdf in batches:
+            for r, i, v, begun in _blocks_of(pdf, kept, k):
+                if float(np.abs(now.shares(v, begun) - then.shares(v, begun)).max()) >= tolerance:
+                    yield pd.DataFrame({"pack": [r.pack], "i": [i]})
+                    return
+
+    whole = ["pack", "v", "begun"]
+    c, at = None, None
+    parts = "moved boolean, sums binary, weights binary"
+    got = run(summed, whole, parts, c=None, before=None, at=None)
+    for _ in range(steps):
+        sums, weights = (sum(np.frombuffer(r[x]) for r in got) for x in ("sums", "weights"))
+        before, c = c, sums.reshape(k, kept) / np.maximum(weights, 1e-300)[:, None]
+        got = run(summed, whole, parts, c=c, before=before, at=at)
+        # the block that changed last is asked first; all blocks only where it did not
+        if not any(r.moved for r in got):
+            seen = run(changed, whole, "pack long, i int", c=c, before=before)
+            if not seen:
+                break
+            at = (seen[0].pack, seen[0].i)
+
+    sent = sc.broadcast(c)
+
+    def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = _Step(sent.value, k)
+        for pdf in batches:
+            for r, i, v, begun in _blocks_of(pdf, kept, k):
+                u = now.shares(v, begun)
+                row, j = np.nonzero(u >= threshold)
+                yield pd.DataFrame({"paper_id": [r.paper_id] * len(row), "chunk_id": np.asarray(r.ids, dtype=object)[row + i], "cluster": names[j], "u": u[row, j]})
+
+    return packs.mapInPandas(settled, schema)
+
+
 def fuzzy_clusters(x: DataFrame, start: DataFrame, work: Work, dims: int, steps: int = 150, tolerance: float = 1e-4, threshold: float = 0.25, most: int = 2) -> DataFrame:
     """``x(paper_id, chunk_id, vector)``, ``start(paper_id, chunk_id, cluster)`` -> ``(paper_id, chunk_id, cluster, score)``.
 
     Fuzzy c-means of every paper on its min(50, max(2, n // 5), dims, n - 1) principal components, begun from the structural
     clusters, until no membership changes by ``tolerance`` or more, for ``steps`` steps at most; at most ``most`` clusters
-    per chunk, of at least ``threshold``. The vectors of a paper meet in one task. A paper with fewer than two
+    per chunk, of at least ``threshold``. The vectors of a paper meet in one task, those of a paper of many rows and clusters in
+    several, step by step. A paper with fewer than two
     clusters gives nothing; vectors of other lengths and those with null or infinite entries are left out.
     """
     several = start.groupBy("paper_id").agg(F.count_distinct("cluster").alias("k")).where("k > 1").select("paper_id")
-    points = x.where(F.size("vector") == dims).join(several, "paper_id", "left_semi").join(start, ["paper_id", "chunk_id"], "left")
+    points = work.table(x.where(F.size("vector") == dims).join(several, "paper_id", "left_semi").join(start, ["paper_id", "chunk_id"], "left"), "points")
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("paper_id", "chunk_id", "cluster")) + ", u double"
-    u = work.table(points.groupBy("paper_id").applyInPandas(_fuzzy(steps, tolerance, threshold), schema), "u")
+    sizes = points.groupBy("paper_id").agg((F.count("*") * F.count_distinct("cluster")).alias("pairs")).where(F.col("pairs") > LOCAL_PAIRS)
+    hot = [r.paper_id for r in sizes.collect()]  # papers of millions of pairs
+    own = points.where(~F.col("paper_id").isin(hot)) if hot else points
+    u = work.table(own.groupBy("paper_id").applyInPandas(_fuzzy(steps, tolerance, threshold), schema), "u")
+    for p in hot:
+        u = u.unionByName(work.table(_fuzzy_by_jobs(points.where(F.col("paper_id") == p), work, dims, steps, tolerance, threshold, schema), "u"))
     rank = F.row_number().over(Window.partitionBy("paper_id", "chunk_id").orderBy(F.desc("u"), "cluster"))
     return u.withColumn("rank", rank).where(F.col("rank") <= most).select("paper_id", "chunk_id", "cluster", F.round("u", 4).alias("score"))
 

@@ -134,3 +134,19 @@ def test_memberships_of_a_hot_paper_are_never_held_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < n * k * 8
+
+
+def test_a_hot_paper_settles_by_jobs_as_in_one_task(spark, work, monkeypatch):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(90, 12)) + 1.5 * np.eye(12)[[i % 3 for i in range(90)]]
+    x = [("p" if i < 60 else "q", f"c{i:02d}", a.tolist()) for i, a in enumerate(v)] + [("p", "hole", [None] + [1.0] * 11), ("p", "far", [float("inf")] * 12)]
+    start = [(p, c, int(c[1:]) // 2 % 3 + 4) for p, c, _ in x[:90] if c != "c07"] + [("p", "hole", 9)]
+    given = spark.createDataFrame(x, "paper_id string, chunk_id string, vector array<double>"), spark.createDataFrame(start, "paper_id string, chunk_id string, cluster int")
+    calls, by_jobs, out = [], trees._fuzzy_by_jobs, []
+    monkeypatch.setattr(trees, "_fuzzy_by_jobs", lambda *a: calls.append(1) or by_jobs(*a))
+    for pairs in (10**6, 150):
+        monkeypatch.setattr(trees, "LOCAL_PAIRS", pairs)
+        out.append({(r.paper_id, r.chunk_id, r.cluster): r.score for r in trees.fuzzy_clusters(*given, work, 12).collect()})
+    assert len(calls) == 1 and any(p == "p" for p, _, _ in out[0])
+    assert out[0].keys() == out[1].keys()
+    assert all(abs(out[0][k] - out[1][k]) <= 1e-4 for k in out[0])

@@ -19,6 +19,8 @@ LEAST_SIZE, MOST_SIZE = 3, 12
 FUZZY_ROWS, FUZZY_PAIRS = 256, 1 << 16
 #: Pairs of a row and a cluster of a paper above which a step is a job of several tasks (below, a job costs more than the step); rows of it that are packed together, and tasks at most.
 LOCAL_PAIRS, FUZZY_PACK, FUZZY_TASKS = 64_000_000, 2048, 32
+#: In such a step: rows and clusters of a tile, which stays in the cache, pairs held at once, and clusters whose sums are one row.
+TILE, FUZZY_HELD, FUZZY_PART = (128, 512), 1 << 22, 2048
 
 
 def structural_clusters(chunks: DataFrame) -> DataFrame:
@@ -177,19 +179,63 @@ class _Step:
         return new
 
 
+def _block_rows(k: int) -> int:
+    return min(FUZZY_ROWS, max(16, (1 << 18) // k))
+
+
 def _blocks_of(pdf: pd.DataFrame, dims: int, k: int):
     """``(pack, row, v, begun)`` of the blocks of packed rows."""
     import numpy as np
 
-    rows = min(FUZZY_ROWS, max(16, (1 << 18) // k))
+    rows = _block_rows(k)
     for r in pdf.itertuples(index=False):
         v, begun = np.frombuffer(r.v).reshape(-1, dims), np.frombuffer(r.begun, np.int32)
         for i in range(0, len(v), rows):
             yield r, i, v[i : i + rows], begun[i : i + rows]
 
 
+class _Sums:
+    """Weighted sums of rows, and the weights, of all clusters by the centres of a step.
+
+    The pull of all clusters on some rows is made and held in tiles, since it takes the sum over a row before any of them counts.
+    """
+
+    def __init__(self, c, k: int, dims: int) -> None:
+        import numpy as np
+
+        self.sums, self.tiles = np.zeros((k, dims + 1)), []
+        self.rows = min(TILE[0], max(16, FUZZY_HELD // k))
+        if c is not None:
+            # squared distances are one product: [v, 1, |v|^2] by [-2c, |c|^2, 1]
+            right = np.c_[-2 * c, (c * c).sum(1), np.ones(k)].T
+            some = [slice(j, min(k, j + TILE[1])) for j in range(0, k, TILE[1])]
+            self.tiles = [(np.ascontiguousarray(right[:, t]), np.empty((self.rows, t.stop - t.start)), self.sums[t]) for t in some]
+
+    def add(self, v, begun) -> None:
+        import numpy as np
+
+        one = np.ones((len(v), 1))
+        if not self.tiles:
+            np.add.at(self.sums, begun[begun >= 0], np.c_[v, one][begun >= 0])
+            return
+        left = np.c_[v, one, (v * v).sum(1)]
+        for i in range(0, len(v), self.rows):
+            x = left[i : i + self.rows]
+            total = np.zeros(len(x))
+            for right, held, _ in self.tiles:
+                far = np.matmul(x, right, out=held[: len(x)])
+                np.maximum(far, 1e-10, out=far)
+                far *= far
+                total += np.divide(1.0, far, out=far).sum(1)
+            x = x[:, :-1] * total[:, None] ** -2
+            for _, held, sums in self.tiles:
+                pull = held[: len(x)]
+                pull *= pull
+                sums += pull.T @ x
+
+
 def _fuzzy_by_jobs(rows: DataFrame, work: Work, dims: int, steps: int, tolerance: float, threshold: float, schema: str) -> DataFrame:
-    """What :func:`_fuzzy` gives for the ``rows(paper_id, chunk_id, cluster, vector)`` of one paper, with a job a step; centres and their sums reach the driver."""
+    """What :func:`_fuzzy` gives for the ``rows(paper_id, chunk_id, cluster, vector)`` of one paper, with a job a step. What tasks sum up is added by others: only the centres of a step reach the driver, once."""
     import numpy as np
 
     spark = rows.sparkSession
@@ -235,66 +281,68 @@ def _fuzzy_by_jobs(rows: DataFrame, work: Work, dims: int, steps: int, tolerance
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     packs = work.table(dealt.mapInPandas(packed, f"paper_id {kinds['paper_id']}, ids array<{kinds['chunk_id']}>, v binary, begun binary").withColumn("pack", F.monotonically_increasing_id()), "packs")
 
-    def run(f, columns: list[str], schema: str, **sent):
-        held = sc.broadcast(sent)
-        out = packs.select(*columns).mapInPandas(lambda batches: f(batches, **held.value), schema).collect()
-        held.destroy()  # else the copies of all steps stay on the disk
-        return out
-
-    def summed(batches: Iterator[pd.DataFrame], c, before, at) -> Iterator[pd.DataFrame]:
-        now, then = _Step(c, k), _Step(before, k)
-        sums, moved = np.zeros((k, kept + 1)), False
-        # squared distances are one product: [v, 1, |v|^2] by [-2c, |c|^2, 1]
-        right = None if c is None else np.c_[-2 * c, (c * c).sum(1), np.ones(k)].T
-        for pdf in batches:
-            for r, i, v, begun in _blocks_of(pdf, kept, k):
-                if (r.pack, i) == at:
-                    moved = float(np.abs(now.shares(v, begun) - then.shares(v, begun)).max()) >= tolerance
-                one = np.ones((len(v), 1))
-                if c is None:
-                    np.add.at(sums, begun[begun >= 0], np.c_[v, one][begun >= 0])
-                    continue
-                far = np.c_[v, one, (v * v).sum(1)] @ right
-                np.maximum(far, 1e-10, out=far)
-                far *= far
-                pull = np.divide(1.0, far, out=far)
-                scale = pull.sum(1, keepdims=True) ** -2
-                pull *= pull
-                sums += pull.T @ (np.c_[v, one] * scale)
-        sums, weights = sums[:, :kept], sums[:, kept]
-        yield pd.DataFrame({"moved": [moved], "sums": [sums.tobytes()], "weights": [weights.tobytes()]})
+    value = lambda sent: None if sent is None else sent.value
+    at_once = _block_rows(k)
+
+    def summed(batches: Iterator[pd.DataFrame], now, then, at) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
-    def changed(batches: Iterator[pd.DataFrame], c, before) -> Iterator[pd.DataFrame]:
-        now, then = _Step(c, k), _Step(before, k)
+        c, moved = value(now), False
+        out = _Sums(c, k, kept)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                v, begun = np.frombuffer(r.v).reshape(-1, kept), np.frombuffer(r.begun, np.int32)
+                if at and r.pack == at[0]:
+                    some = slice(at[1], at[1] + at_once)
+                    moved = float(np.abs(_Step(c, k).shares(v[some], begun[some]) - _Step(value(then), k).shares(v[some], begun[some])).max()) >= tolerance
+                out.add(v, begun)
+        for j in range(0, k, FUZZY_PART):
+            yield pd.DataFrame({"part": [j], "task": [TaskContext.get().partitionId()], "moved": [moved], "data": [out.sums[j : j + FUZZY_PART].tobytes()]})
+
+    def centred(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in pdf.sort_values("task")["data"]).reshape(-1, kept + 1)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1].tolist(), "moved": [bool(pdf["moved"].any())], "data": [(total[:, :kept] / np.maximum(total[:, kept:], 1e-300)).tobytes()]})
+
+    def changed(batches: Iterator[pd.DataFrame], now, then) -> Iterator[pd.DataFrame]:
+        new, old = _Step(value(now), k), _Step(value(then), k)
         for pdf in batches:
             for r, i, v, begun in _blocks_of(pdf, kept, k):
-                if float(np.abs(now.shares(v, begun) - then.shares(v, begun)).max()) >= tolerance:
+                if float(np.abs(new.shares(v, begun) - old.shares(v, begun)).max()) >= tolerance:
                     yield pd.DataFrame({"pack": [r.pack], "i": [i]})
                     return
 
-    whole = ["pack", "v", "begun"]
-    c, at = None, None
-    parts = "moved boolean, sums binary, weights binary"
-    got = run(summed, whole, parts, c=None, before=None, at=None)
-    for _ in range(steps):
-        sums, weights = (sum(np.frombuffer(r[x]) for r in got) for x in ("sums", "weights"))
-        before, c = c, sums.reshape(k, kept) / np.maximum(weights, 1e-300)[:, None]
-        got = run(summed, whole, parts, c=c, before=before, at=at)
+    whole = packs.select("pack", "v", "begun")
+
+    def step(now, then, at) -> tuple[bool, np.ndarray]:
+        """Whether the block ``at`` changed, and the centres that follow."""
+        sums = whole.mapInPandas(lambda batches: summed(batches, now, then, at), "part int, task int, moved boolean, data binary")
+        got = sorted(work.collect(sums.groupBy("part").applyInPandas(centred, "part int, moved boolean, data binary")))
+        return any(r.moved for r in got), np.concatenate([np.frombuffer(r.data).reshape(-1, kept) for r in got])
+
+    now, then, at = None, None, None
+    _, c = step(now, then, at)
+    for n_steps in range(1, steps + 1):
+        if then is not None:
+            then.destroy()  # else the copies of all steps stay on the disk
+        now, then = sc.broadcast(c), now
+        if n_steps == steps:
+            break
+        moved, c = step(now, then, at)
         # the block that changed last is asked first; all blocks only where it did not
-        if not any(r.moved for r in got):
-            seen = run(changed, whole, "pack long, i int", c=c, before=before)
+        if not moved:
+            seen = whole.mapInPandas(lambda batches: changed(batches, now, then), "pack long, i int").collect()
             if not seen:
                 break
             at = (seen[0].pack, seen[0].i)
 
-    sent = sc.broadcast(c)
-
     def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = _Step(sent.value, k)
+        last = _Step(value(now), k)
         for pdf in batches:
             for r, i, v, begun in _blocks_of(pdf, kept, k):
-                u = now.shares(v, begun)
+                u = last.shares(v, begun)
                 row, j = np.nonzero(u >= threshold)
+                if not len(row):  # a frame without rows has no single Arrow array of strings
+                    continue
                 yield pd.DataFrame({"paper_id": [r.paper_id] * len(row), "chunk_id": np.asarray(r.ids, dtype=object)[row + i], "cluster": names[j], "u": u[row, j]})
 
     return packs.mapInPandas(settled, schema)

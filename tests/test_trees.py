@@ -150,3 +150,42 @@ def test_a_hot_paper_settles_by_jobs_as_in_one_task(spark, work, monkeypatch):
     assert len(calls) == 1 and any(p == "p" for p, _, _ in out[0])
     assert out[0].keys() == out[1].keys()
     assert all(abs(out[0][k] - out[1][k]) <= 1e-4 for k in out[0])
+
+
+def test_driver_gets_the_centres_of_a_step_once(spark, work, monkeypatch):
+    rng = np.random.default_rng(12)
+    n, k, dims, sent = 400, 80, 6, []
+    x = [("p", f"c{i:03d}", row.tolist()) for i, row in enumerate(rng.normal(size=(n, dims)))]
+    points = spark.createDataFrame([(*r, i % k) for i, r in enumerate(x)], "paper_id string, chunk_id string, vector array<double>, cluster long").repartition(4)
+    collect = type(points).collect
+
+    def counted(df):
+        rows = collect(df)
+        sent.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(points), "collect", counted)
+    monkeypatch.setattr(trees, "TILE", (16, 32), raising=False)
+    u = trees._fuzzy_by_jobs(points, work, dims, 3, 1e-4, 0.0, "paper_id string, chunk_id string, cluster long, u double")
+    assert max(sent) <= 8 * k * (dims + 1)
+    monkeypatch.undo()
+    own = points.toPandas()
+    want = {(r.chunk_id, r.cluster): r.u for r in trees._fuzzy(3, 1e-4, 0.0)(own).itertuples()}
+    got = {(r.chunk_id, r.cluster): r.u for r in u.collect()}
+    assert got.keys() == want.keys() and len(got) == n * k
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_blocks_without_a_membership_in_a_paper_settled_by_jobs(spark, work):
+    rng = np.random.default_rng(13)
+    # rows of two kinds by id: some on a centre of their own, hundreds that belong to no cluster by a quarter
+    near, far = 20 * np.eye(8), rng.normal(size=(600, 8))
+    rows = [("p", f"a{i}{c}", near[i].tolist(), i) for i in range(8) for c in "xyz"] + [("p", f"b{i:03d}", v.tolist(), 8 + i % 60) for i, v in enumerate(far)]
+    points = spark.createDataFrame(rows, "paper_id string, chunk_id string, vector array<double>, cluster long")
+    u = trees._fuzzy_by_jobs(points, work, 8, 4, 1e-4, 0.25, "paper_id string, chunk_id string, cluster long, u double")
+    want = {(r.chunk_id, r.cluster): r.u for r in trees._fuzzy(4, 1e-4, 0.25)(points.toPandas()).itertuples()}
+    got = {(r.chunk_id, r.cluster): r.u for r in u.collect()}
+    assert got.keys() == want.keys() and len({c for c, _ in got}) < len(rows) / 2
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    none = trees._fuzzy_by_jobs(points, work, 8, 4, 1e-4, 1.1, "paper_id string, chunk_id string, cluster long, u double")
+    assert none.collect() == []
